@@ -158,3 +158,54 @@ def pair_corr(a: str, b: str) -> Column:
     xb = F.when(both, F.col(b).cast("double"))
     denom = F.stddev_pop(xa) * F.stddev_pop(xb)
     return F.covar_pop(xa, xb) / F.nullif(denom, F.lit(0.0))
+
+
+def correlation_row(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation of many column pairs as one row (columns r0, r1, ...).
+
+    Pass 1 (eager, d aggregates) gets each column's mean and null count.
+    Pass 2 is plain sums of mean-shifted values (cheap in generated code and
+    numerically safe): per-column sums when a pair has no nulls, per-pair
+    conditional sums (pairwise-complete rows) when it does.  A constant
+    column gives null."""
+    cols = sorted({c for p in pairs for c in p})
+    head = df.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+                  *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+    idx = {c: i for i, c in enumerate(cols)}
+    mean = {c: head[f"m_{idx[c]}"] or 0.0 for c in cols}
+    full = {c: head[f"n_{idx[c]}"] == head["__n"] for c in cols}
+    dev = {c: F.col(c).cast("double") - F.lit(mean[c]) for c in cols}
+    aggs, exprs = {}, []
+
+    def need(name, expr):
+        if name not in aggs:
+            aggs[name] = expr.alias(name)
+        return F.col(name)
+
+    for k, (a, b) in enumerate(pairs):
+        ia, ib = idx[a], idx[b]
+        if full[a] and full[b]:
+            n = need("__cnt", F.count(F.lit(1)).cast("double"))
+            sa, sb = need(f"s_{ia}", F.sum(dev[a])), need(f"s_{ib}", F.sum(dev[b]))
+            qa, qb = need(f"q_{ia}", F.sum(dev[a] * dev[a])), need(f"q_{ib}", F.sum(dev[b] * dev[b]))
+            lo, hi = min(ia, ib), max(ia, ib)
+            pab = need(f"p_{lo}_{hi}", F.sum(dev[cols[lo]] * dev[cols[hi]]))
+        else:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            da, db = F.when(both, dev[a]), F.when(both, dev[b])
+            lo, hi = min(ia, ib), max(ia, ib)
+            n = need(f"cn_{lo}_{hi}", F.count(F.when(both, 1)).cast("double"))
+            sa, sb = need(f"cs_{ia}_{ib}", F.sum(da)), need(f"cs_{ib}_{ia}", F.sum(db))
+            qa, qb = need(f"cq_{ia}_{ib}", F.sum(da * da)), need(f"cq_{ib}_{ia}", F.sum(db * db))
+            pab = need(f"cp_{lo}_{hi}", F.sum(da * db))
+        va = qa - sa * sa / n
+        vb = qb - sb * sb / n
+        cov = pab - sa * sb / n
+        denom = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
+        exprs.append((cov / F.nullif(denom, F.lit(0.0))).alias(f"r{k}"))
+    if not aggs:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"r{k}") for k in range(len(pairs))])
+    row = df.agg(*aggs.values())
+    # a constant column has a zero (or rounding-level) variance: null like pandas' NaN
+    return row.select(*exprs)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import pair_corr
+from ..functions.stats import correlation_row
 from .schema import is_numeric, numeric_columns, string_columns
 
 MAX_LEVELS = 1_000
@@ -52,8 +52,8 @@ def correlation_with(df: DataFrame, cols: list[str], target: str) -> list[tuple[
     with nulls last (stable on the input order)."""
     if not cols:
         return []
-    row = df.agg(*[F.abs(pair_corr(c, target)).alias(f"r{i}") for i, c in enumerate(cols)]).first()
-    vals = [(c, row[f"r{i}"]) for i, c in enumerate(cols)]
+    row = correlation_row(df, [(c, target) for c in cols]).first()
+    vals = [(c, abs(row[f"r{i}"]) if row[f"r{i}"] is not None else None) for i, c in enumerate(cols)]
     return sorted(vals, key=lambda t: (t[1] is None, -(t[1] or 0.0)))
 
 

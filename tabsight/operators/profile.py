@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjusted_skewness, pair_corr, quantiles
+from ..functions.stats import adjusted_skewness, correlation_row, quantiles
 from .schema import categorical_columns, distinct_counts, is_numeric, numeric_columns
 
 
@@ -100,20 +100,17 @@ def column_profile(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """D9 (pearson): long table (col_a, col_b, corr) for every ordered pair,
-    pairwise-complete rows, null for a constant column.  One pass."""
+    pairwise-complete rows, null for a constant column.  Two sum-only passes."""
     cols = cols if cols is not None else numeric_columns(df)
-    aggs, pairs = [], []
+    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    key = {p: k for k, p in enumerate(pairs)}
+    row = correlation_row(df, pairs)
+    out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if j < i:
-                continue
-            aggs.append(pair_corr(a, b).alias(f"r{i}_{j}"))
-    row = df.agg(*aggs)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = f"r{min(i, j)}_{max(i, j)}"
-            pairs.append((a, [F.lit(b), F.col(key)]))
-    return row.select(_stack(pairs, ["col_a", "col_b", "corr"]))
+            k = key[(a, b)] if j >= i else key[(b, a)]
+            out.append((a, [F.lit(b), F.col(f"r{k}")]))
+    return row.select(_stack(out, ["col_a", "col_b", "corr"]))
 
 
 def correlation_snippet(df: DataFrame) -> DataFrame:
@@ -133,12 +130,14 @@ def top_features(df: DataFrame, target: str | None = None, max_count: int = 5) -
         return df.sparkSession.createDataFrame([], "rank bigint, column_name string, score double")
     if target and target in num:
         others = [c for c in num if c != target]
-        pairs = [(c, [F.abs(pair_corr(c, target))]) for c in others]
+        if not others:
+            return df.sparkSession.createDataFrame([], "rank bigint, column_name string, score double")
+        r = correlation_row(df, [(c, target) for c in others])
+        pairs = [(c, None) for c in others]
+        scores = r.select(*[F.abs(F.col(f"r{i}")).alias(f"s{i}") for i in range(len(others))])
     else:
-        pairs = [(c, [F.stddev_samp(F.col(c).cast("double"))]) for c in num]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "rank bigint, column_name string, score double")
-    scores = df.agg(*[v[0].alias(f"s{i}") for i, (_, v) in enumerate(pairs)])
+        pairs = [(c, None) for c in num]
+        scores = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num)])
     long = scores.select(_stack([(c, [F.col(f"s{i}")]) for i, (c, _) in enumerate(pairs)],
                                 ["column_name", "score"]))
     w = Window.orderBy(F.col("score").desc_nulls_last(), F.col("column_name"))
