@@ -641,3 +641,115 @@ SELECT model, round(score, 6) AS score, train_order,
             (F.avg("o_totalprice") / 100000).alias("score")).withColumn(
             "train_order", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window
                                                .orderBy(F.col("model").desc())).cast("bigint")))))
+
+
+# ---------------------------------------------------------------- A1, A6, rows-only model and sample operators
+from ..session import scratch_path  # noqa: E402
+from ..sources.scan import read_csv  # noqa: E402
+
+
+@register("a1_csv_scan", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber,
+ round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount,
+ round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus FROM lineitem""")
+def _a1(spark, sf):
+    path = scratch_path(spark, "lineitem_csv")
+    li(spark, sf).drop("l_shipdate").write.option("header", True).csv(path)
+    return rounded(read_csv(spark, path))
+
+
+def _lineitem_features(spark, sf):
+    return li(spark, sf).drop("l_shipdate")
+
+
+def _quality_table(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return load(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id").drop("doc_id")
+
+
+@register("i_regression_leaderboard")
+def _i_reg(spark, sf):
+    from .analyze import analyze
+    a = analyze(_lineitem_features(spark, sf), target="l_extendedprice",
+                models=["linear_regression", "ridge", "lasso", "decision_tree"], n_iter=1,
+                run_views=False, post_training=False, refit=False)
+    return a.leaderboard.select("model", "position", "is_best")
+
+
+@register("i_classification_metrics")
+def _i_cls(spark, sf):
+    from .analyze import analyze
+    a = analyze(_quality_table(spark, sf), target="quality",
+                models=["logistic_regression", "naive_bayes", "decision_tree", "random_forest"], n_iter=1,
+                run_views=False, refit=False)
+    return a.metrics
+
+
+@register("j_clustering_metrics")
+def _j(spark, sf):
+    from .analyze import analyze
+    emb = load(spark, sf, "embeddings")
+    wide = emb.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    a = analyze(wide, target=None, run_views=False, models=["kmeans", "bisecting_kmeans"])
+    return a.metrics
+
+
+def _cluster_view(kind):
+    def run(spark, sf):
+        from . import cluster_views
+        cust = load(spark, sf, "customer").select("c_acctbal", "c_nationkey", "c_custkey")
+        return cluster_views.run(kind, cust, None, {}, {})
+    return run
+
+
+register("d29_pca_scatter")(_cluster_view("pca_scatter"))
+register("d30_elbow")(_cluster_view("elbow_curve"))
+register("d31_silhouette")(_cluster_view("silhouette_plot"))
+register("d32_cluster_sizes")(_cluster_view("cluster_size_bar"))
+
+register("d16_scatter")(lambda spark, sf: views.scatter(li(spark, sf), "l_quantity", "l_extendedprice", "l_returnflag"))
+register("d18_pairplot")(lambda spark, sf: views.pairplot(li(spark, sf), ["l_quantity", "l_extendedprice", "l_discount"],
+                                                          "l_returnflag"))
+register("d26_qq")(lambda spark, sf: rounded(views.qq_points(li(spark, sf), "l_quantity", "l_extendedprice")))
+
+
+@register("l1_score_batch")
+def _l1(spark, sf):
+    from .analyze import analyze, score
+    cust = load(spark, sf, "customer").drop("c_name")
+    a = analyze(cust, target="c_mktsegment", models=["logistic_regression", "decision_tree"], n_iter=1,
+                run_views=False, post_training=False)
+    return score(a, cust.drop("c_mktsegment")).select("c_custkey", "predicted_value")
+
+
+@register("l4_score_stream")
+def _l4(spark, sf):
+    from ..streaming.score_stream import read_stream, run_to_table, score_stream
+    from .analyze import analyze
+    cust = load(spark, sf, "customer").drop("c_name")
+    a = analyze(cust, target="c_mktsegment", models=["logistic_regression"], n_iter=1,
+                run_views=False, post_training=False)
+    src = table_path(sf, "customer")
+    stream = read_stream(spark, sf, spark.read.parquet(src).schema, glob="customer.parquet").drop(
+        "c_name", "c_mktsegment")
+    out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
+    q = run_to_table(score_stream(a, stream).select("c_custkey", "predicted_value"), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("a6_model_roundtrip")
+def _a6(spark, sf):
+    from ..sources.sinks import load_model, save_model
+    from .analyze import analyze
+    cust = load(spark, sf, "customer").drop("c_name")
+    a = analyze(cust, target="c_acctbal", models=["linear_regression"], n_iter=1, run_views=False,
+                post_training=False)
+    path = scratch_path(spark, "feature_model")
+    save_model(a.state["feature_model"], path)
+    fm = load_model(path)
+    from .analyze import apply_features
+    x = apply_features(cust, a.state)
+    from ..models.preprocess import with_bool_ints
+    return fm.transform(with_bool_ints(x, a.state["features"])).select(
+        "c_custkey", F.size(__import__("pyspark.ml.functions", fromlist=["vector_to_array"])
+                            .vector_to_array("features")).alias("n_features"))

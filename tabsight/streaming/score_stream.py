@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.analyze import Analysis, score
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None,
+                glob: str | None = None) -> DataFrame:
+    """A file stream over a folder (optionally only files matching ``glob``)."""
     r = spark.readStream.format(fmt).schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
