@@ -43,7 +43,7 @@ def k_sweep(data: DataFrame, n_rows: int, max_k: int = 10, seed: int = 42) -> Sw
     top = min(max_k, n_rows - 1)
     ks, inertia, sil, models = [], [], [], {}
     for k in range(2, top + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=30).fit(data)
+        m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=20).fit(data)
         ks.append(k)
         inertia.append(float(m.summary.trainingCost))
         sil.append(_silhouette(m.transform(data)))

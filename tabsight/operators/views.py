@@ -149,19 +149,18 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, by: str
         if s is None:
             return df.sparkSession.createDataFrame([], "grid_index int, x double, density double")
         j = weighted.select("*", *[F.lit(s[k]).alias(k) for k in ("__n", "__bw", "__g0", "__step")])
+    # each (group, value, weight) row contributes to every grid point: the
+    # grid is an in-row array, exploded and summed with map-side partial
+    # aggregation, so a task emits one row per grid point it touched
     v = F.col(col).cast("double")
-    aggs = []
-    for i in range(gridsize):
-        g = F.col("__g0") + F.lit(i) * F.col("__step")
-        z = (g - v) / F.col("__bw")
-        aggs.append(F.sum(F.col("__w") * F.exp(F.lit(-0.5) * z * z)).alias(f"d{i}"))
+    contrib = F.transform(F.sequence(F.lit(0), F.lit(gridsize - 1)), lambda i: F.col("__w") * F.exp(
+        F.lit(-0.5) * F.pow((F.col("__g0") + i * F.col("__step") - v) / F.col("__bw"), 2)))
     gk = keys + ["__n", "__bw", "__g0", "__step"]
-    sums = j.groupBy(*gk).agg(*aggs)
-    pairs = [(str(i), [F.col("__g0") + F.lit(i) * F.col("__step"),
-                       F.col(f"d{i}") / (F.col("__n") * F.col("__bw") * F.lit(SQRT_2PI))])
-             for i in range(gridsize)]
-    out = sums.select(*keys, _stack(pairs, ["grid_index", "x", "density"]))
-    return out.select(*keys, F.col("grid_index").cast("int").alias("grid_index"), "x", "density")
+    exploded = j.select(*gk, F.posexplode(contrib).alias("grid_index", "__d"))
+    sums = exploded.groupBy(*gk, "grid_index").agg(F.sum("__d").alias("__s"))
+    return sums.select(*keys, F.col("grid_index").cast("int").alias("grid_index"),
+                       (F.col("__g0") + F.col("grid_index") * F.col("__step")).alias("x"),
+                       (F.col("__s") / (F.col("__n") * F.col("__bw") * F.lit(SQRT_2PI))).alias("density"))
 
 
 # ------------------------------------------------------------------ D12, D21, B13
