@@ -41,59 +41,55 @@ def _window(c: Column, lo, hi) -> Column:
     return cond
 
 
-def _kth_values(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+def _kth_values(df: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
     """Exact k-th smallest non-null values (0-based ranks) by bracket refinement.
 
-    State per rank: a closed window [lo, hi] known to hold the answer and the
-    exact number of values below ``lo``."""
+    State per rank: a closed window [lo, hi] known to hold the answer, the
+    exact number of values below ``lo`` and the number inside.  Each round is
+    one sketch pass and one counting pass; a window small enough is fetched."""
     c = F.col(col)
     out: dict[int, float] = {}
-    state = {r: (None, None, 0) for r in sorted(set(ranks))}
+    state = {r: (None, None, 0, n) for r in sorted(set(ranks))}
+    eps = 4.0 / SKETCH_ACCURACY
     while state:
-        keys = list(state)
-        m = df.agg(*[F.count(F.when(_window(c, *state[r][:2]), 1)).alias(f"m{i}")
-                     for i, r in enumerate(keys)]).first()
-        big = []
-        for i, r in enumerate(keys):
-            lo, hi, below = state[r]
+        for r in list(state):
+            lo, hi, below, m = state[r]
             if lo is not None and lo == hi:
                 out[r] = float(lo)
                 del state[r]
-            elif m[f"m{i}"] <= FETCH_LIMIT:
-                vals = sorted(x[0] for x in df.filter(_window(c, lo, hi)).select(c).collect())
-                out[r] = float(vals[r - below])
-                del state[r]
-            else:
-                big.append((r, m[f"m{i}"]))
-        if not big:
+        small = [r for r in state if state[r][3] <= FETCH_LIMIT]
+        for r in small:
+            lo, hi, below, _ = state.pop(r)
+            vals = sorted(x[0] for x in df.filter(_window(c, lo, hi)).select(c).collect())
+            out[r] = float(vals[r - below])
+        if not state:
             break
-        eps = 4.0 / SKETCH_ACCURACY
+        keys = list(state)
         sketch = []
-        for i, (r, cnt) in enumerate(big):
-            lo, hi, below = state[r]
-            frac = (r - below) / max(cnt - 1, 1)
+        for i, r in enumerate(keys):
+            lo, hi, below, m = state[r]
+            frac = (r - below) / max(m - 1, 1)
             probs = [max(0.0, frac - eps), min(1.0, frac + eps)]
             sketch.append(F.percentile_approx(F.when(_window(c, lo, hi), c), probs, SKETCH_ACCURACY)
                           .alias(f"q{i}"))
         q = df.agg(*sketch).first()
-        bounds = {r: q[f"q{i}"] for i, (r, _) in enumerate(big)}
         counts = []
-        for i, (r, _) in enumerate(big):
-            qlo, qhi = bounds[r]
+        for i, r in enumerate(keys):
+            qlo, qhi = q[f"q{i}"]
             counts += [F.count(F.when(c < F.lit(qlo), 1)).alias(f"a{i}"),
                        F.count(F.when(c < F.lit(qhi), 1)).alias(f"b{i}"),
                        F.count(F.when(c <= F.lit(qhi), 1)).alias(f"e{i}")]
         k = df.agg(*counts).first()
-        for i, (r, _) in enumerate(big):
-            lo, hi, below = state[r]
-            qlo, qhi = bounds[r]
+        for i, r in enumerate(keys):
+            lo, hi, below, m = state[r]
+            qlo, qhi = q[f"q{i}"]
             below_lo, below_hi, upto_hi = k[f"a{i}"], k[f"b{i}"], k[f"e{i}"]
             if below_lo <= r < upto_hi:
-                state[r] = (qlo, qhi, below_lo)
-            elif r < below_lo:
-                state[r] = (lo, qlo, below)
-            else:
-                state[r] = (qhi, hi, below_hi)
+                state[r] = (qlo, qhi, below_lo, upto_hi - below_lo)
+            elif r < below_lo:      # sketch overshot: answer in [lo, qlo]
+                state[r] = (lo, qlo, below, below_lo - below + 1 if lo is not None else below_lo + 1)
+            else:                   # answer in [qhi, hi]
+                state[r] = (qhi, hi, below_hi, m - (below_hi - below))
     return out
 
 
@@ -128,7 +124,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         for p in probs:
             a, b, _ = _ranks_for(p, n[c])
             ranks += [a, b]
-        kth = _kth_values(df, c, ranks)
+        kth = _kth_values(df, c, ranks, n[c])
         vals = []
         for p in probs:
             a, b, w = _ranks_for(p, n[c])
