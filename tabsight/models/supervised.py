@@ -143,17 +143,18 @@ def random_search(est, grid: list, n_iter: int, seed: int = 42) -> list:
 
 
 def _params_of(model) -> dict:
-    est = model
-    out = {}
-    try:
-        for p, v in est.extractParamMap().items():
-            if est.hasDefault(p) and est.getDefault(p) == v:
-                continue
-            if isinstance(v, (int, float, str, bool)) or v is None:
-                out[p.name] = v
-    except Exception:  # noqa: BLE001
-        pass
-    return dict(sorted(out.items())[:30])
+    """Parameters that differ from the defaults (all scalar ones when
+    none differ), sorted, at most 30."""
+    est = model.getClassifier() if isinstance(model, OneVsRest) else model
+    changed, every = {}, {}
+    defaults = getattr(est, "_defaultParamMap", {})
+    for p, v in est.extractParamMap().items():
+        if not (isinstance(v, (int, float, str, bool)) or v is None):
+            continue
+        every[p.name] = v
+        if est.isSet(p) and (p not in defaults or defaults[p] != v):
+            changed[p.name] = v
+    return dict(sorted((changed or every).items())[:30])
 
 
 def train_supervised(data: DataFrame, problem_type: str, n_classes: int, n_features: int,
@@ -235,3 +236,35 @@ def voting_predictions(scored: DataFrame, members: list[str], problem_type: str)
     best = F.array_position(arr, F.array_max(arr)) - 1
     return g.select("__row", "label", best.cast("double").alias("prediction"), arr.alias("probability"),
                     F.lit("voting").alias("model"))
+
+
+def learning_curve(estimator, data: DataFrame, problem_type: str, folds: int = 3, steps: int = 5,
+                   seed: int = 42) -> DataFrame:
+    """Fit on growing nested fractions (20 %..100 %) of each fold's
+    training part, score on the held-out fold (R2, or weighted F1).  The
+    fraction is a hash threshold, so each size contains the smaller ones."""
+    spark = data.sparkSession
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__row")), F.lit(folds))
+    unit = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("__row")), F.lit(10_000)) / 10_000.0
+    d = data.select("features", "label", fold.alias("fold"), unit.alias("u"))
+    ev = (RegressionEvaluator(metricName="r2") if problem_type == "Regression"
+          else MulticlassClassificationEvaluator(metricName="f1"))
+    rows = []
+    for f in range(folds):
+        val = d.filter(F.col("fold") == f)
+        for s in range(1, steps + 1):
+            frac = s / steps
+            tr = d.filter((F.col("fold") != f) & (F.col("u") < frac))
+            n = tr.count()
+            if n < 2:
+                continue
+            m = estimator.fit(tr)
+            rows.append((frac, f, n, float(ev.evaluate(m.transform(val)))))
+    return spark.createDataFrame(rows, "train_fraction double, fold int, n_train bigint, score double")
+
+
+def params_table(spark, trained: list[Trained] | dict) -> DataFrame:
+    """Non-default parameters per model as (model, param, value)."""
+    items = trained.values() if isinstance(trained, dict) else trained
+    rows = [(t.name, k, str(v)) for t in items for k, v in sorted(t.params.items())]
+    return spark.createDataFrame(rows, "model string, param string, value string")

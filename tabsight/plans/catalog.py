@@ -753,3 +753,32 @@ def _a6(spark, sf):
     return fm.transform(with_bool_ints(x, a.state["features"])).select(
         "c_custkey", F.size(__import__("pyspark.ml.functions", fromlist=["vector_to_array"])
                             .vector_to_array("features")).alias("n_features"))
+
+
+DG_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+register("d22_distribution_grid", _union([f"SELECT * FROM ({_hist_sql(c, 'lineitem')})" for c in DG_COLS]))(
+    lambda spark, sf: rounded(views.histogram(li(spark, sf), DG_COLS)))
+
+register("d37_dataset_summary")(lambda spark, sf: profile.dataset_summary(li(spark, sf)))
+
+
+def _vectors(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    d = li(spark, sf).select("l_quantity", "l_discount", "l_tax", "l_extendedprice",
+                             F.xxhash64(*[F.col(c) for c in li(spark, sf).columns]).alias("__row"))
+    return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(
+        d).withColumn("label", F.col("l_extendedprice"))
+
+
+@register("k16_learning_curve")
+def _k16(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+    from ..models.supervised import learning_curve
+    return learning_curve(LinearRegression(), _vectors(spark, sf), "Regression", folds=3)
+
+
+@register("k18_model_params")
+def _k18(spark, sf):
+    from ..models.supervised import params_table, train_supervised
+    t = train_supervised(_vectors(spark, sf), "Regression", 0, 3, ["ridge", "decision_tree"], n_iter=2, folds=2)
+    return params_table(spark, t)
