@@ -23,6 +23,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import AdaBoostClassifier
+
 
 
 @dataclass
@@ -130,6 +132,7 @@ def classification_candidates(effort: str = "quick") -> list[Candidate]:
                                          ("impurity", ["gini", "entropy"])])),
         Candidate("gradient_boosting", gbt, gbt_grid),
         Candidate("mlp", mlp, lambda e, n: _grid(e, [("stepSize", [0.01, 0.03, 0.1])])),
+        Candidate("adaboost", lambda n, d, k: AdaBoostClassifier(n_rounds=50 if full else 10, n_classes=k)),
     ]
 
 
@@ -145,6 +148,8 @@ def random_search(est, grid: list, n_iter: int, seed: int = 42) -> list:
 def _params_of(model) -> dict:
     """Parameters that differ from the defaults (all scalar ones when
     none differ), sorted, at most 30."""
+    if not hasattr(model, "isSet"):
+        return {}
     est = model.getClassifier() if isinstance(model, OneVsRest) else model
     changed, every = {}, {}
     defaults = getattr(est, "_defaultParamMap", {})
@@ -208,8 +213,12 @@ def predict_all(models: list[Trained], data: DataFrame, problem_type: str) -> Da
         if t.model is None:
             continue
         p = t.model.transform(data)
-        prob = (vector_to_array(F.col("probability")) if "probability" in p.columns
-                else F.lit(None).cast("array<double>"))
+        if "probability" not in p.columns:
+            prob = F.lit(None).cast("array<double>")
+        elif p.schema["probability"].dataType.typeName() == "array":
+            prob = F.col("probability").cast("array<double>")
+        else:
+            prob = vector_to_array(F.col("probability"))
         parts.append(p.select(F.lit(t.name).alias("model"), F.col("label"), F.col("prediction"),
                               prob.alias("probability"), *([F.col("__row")] if "__row" in p.columns else [])))
     out = parts[0]

@@ -679,7 +679,7 @@ def _i_reg(spark, sf):
 def _i_cls(spark, sf):
     from .analyze import analyze
     a = analyze(_quality_table(spark, sf), target="quality",
-                models=["logistic_regression", "naive_bayes", "decision_tree", "random_forest"], n_iter=1,
+                models=["logistic_regression", "naive_bayes", "decision_tree", "random_forest", "adaboost"], n_iter=1,
                 run_views=False, refit=False)
     return a.metrics
 

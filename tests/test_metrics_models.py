@@ -68,3 +68,14 @@ def test_planted_binary_beats_majority(spark):
     acc = a.metrics.filter("model = 'decision_tree' and metric = 'accuracy'").first()["value"]
     assert acc > 0.95
     assert "roc_auc" in a.post
+
+
+def test_adaboost_learns_planted_rule(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from tabsight.models.boosting import AdaBoostClassifier
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        "l_quantity", "l_discount", F.expr("cast(l_quantity > 25 as double)").alias("label"))
+    data = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(li)
+    model = AdaBoostClassifier(n_rounds=3, n_classes=2).fit(data)
+    acc = model.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert acc > 0.99
