@@ -41,55 +41,67 @@ def _window(c: Column, lo, hi) -> Column:
     return cond
 
 
-def _kth_values(df: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
-    """Exact k-th smallest non-null values (0-based ranks) by bracket refinement.
-
-    State per rank: a closed window [lo, hi] known to hold the answer, the
-    exact number of values below ``lo`` and the number inside.  Each round is
-    one sketch pass and one counting pass; a window small enough is fetched."""
-    c = F.col(col)
-    out: dict[int, float] = {}
-    state = {r: (None, None, 0, n) for r in sorted(set(ranks))}
+def _kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple, float]:
+    """Exact k-th smallest non-null values (0-based ranks) of several columns
+    by bracket refinement; every round serves all columns and ranks with one
+    sketch pass and one counting pass.
+
+    State per (column, rank): a closed window [lo, hi] known to hold the
+    answer, the exact number of values below ``lo`` and the number inside."""
+    out: dict[tuple, float] = {}
+    state = {(col, r): (None, None, 0, counts[col]) for col, rs in wanted.items() for r in sorted(set(rs))}
     eps = 4.0 / SKETCH_ACCURACY
     while state:
-        for r in list(state):
-            lo, hi, below, m = state[r]
+        for key in list(state):
+            lo, hi, below, m = state[key]
             if lo is not None and lo == hi:
-                out[r] = float(lo)
-                del state[r]
-        small = [r for r in state if state[r][3] <= FETCH_LIMIT]
-        for r in small:
-            lo, hi, below, _ = state.pop(r)
-            vals = sorted(x[0] for x in df.filter(_window(c, lo, hi)).select(c).collect())
-            out[r] = float(vals[r - below])
+                out[key] = float(lo)
+                del state[key]
+        small = [key for key in state if state[key][3] <= FETCH_LIMIT]
+        for col in sorted({k[0] for k in small}):
+            # one fetch per column: the union of its small windows (bounded)
+            mine = [k for k in small if k[0] == col]
+            c = F.col(col)
+            cond = None
+            for k in mine:
+                w = _window(c, state[k][0], state[k][1])
+                cond = w if cond is None else (cond | w)
+            fetched = sorted(x[0] for x in df.filter(cond).select(c).collect())
+            for key in mine:
+                lo, hi, below, _ = state.pop(key)
+                vals = [v for v in fetched if (lo is None or v >= lo) and (hi is None or v <= hi)]
+                out[key] = float(vals[key[1] - below])
         if not state:
             break
         keys = list(state)
         sketch = []
-        for i, r in enumerate(keys):
-            lo, hi, below, m = state[r]
+        for i, (col, r) in enumerate(keys):
+            lo, hi, below, m = state[(col, r)]
+            c = F.col(col)
             frac = (r - below) / max(m - 1, 1)
             probs = [max(0.0, frac - eps), min(1.0, frac + eps)]
             sketch.append(F.percentile_approx(F.when(_window(c, lo, hi), c), probs, SKETCH_ACCURACY)
                           .alias(f"q{i}"))
         q = df.agg(*sketch).first()
-        counts = []
-        for i, r in enumerate(keys):
+        aggs = []
+        for i, (col, r) in enumerate(keys):
+            c = F.col(col)
             qlo, qhi = q[f"q{i}"]
-            counts += [F.count(F.when(c < F.lit(qlo), 1)).alias(f"a{i}"),
-                       F.count(F.when(c < F.lit(qhi), 1)).alias(f"b{i}"),
-                       F.count(F.when(c <= F.lit(qhi), 1)).alias(f"e{i}")]
-        k = df.agg(*counts).first()
-        for i, r in enumerate(keys):
-            lo, hi, below, m = state[r]
+            aggs += [F.count(F.when(c < F.lit(qlo), 1)).alias(f"a{i}"),
+                     F.count(F.when(c < F.lit(qhi), 1)).alias(f"b{i}"),
+                     F.count(F.when(c <= F.lit(qhi), 1)).alias(f"e{i}")]
+        k = df.agg(*aggs).first()
+        for i, key in enumerate(keys):
+            r = key[1]
+            lo, hi, below, m = state[key]
             qlo, qhi = q[f"q{i}"]
             below_lo, below_hi, upto_hi = k[f"a{i}"], k[f"b{i}"], k[f"e{i}"]
             if below_lo <= r < upto_hi:
-                state[r] = (qlo, qhi, below_lo, upto_hi - below_lo)
+                state[key] = (qlo, qhi, below_lo, upto_hi - below_lo)
             elif r < below_lo:      # sketch overshot: answer in [lo, qlo]
-                state[r] = (lo, qlo, below, below_lo - below + 1 if lo is not None else below_lo + 1)
+                state[key] = (lo, qlo, below, below_lo - below + 1)
             else:                   # answer in [qhi, hi]
-                state[r] = (qhi, hi, below_hi, m - (below_hi - below))
+                state[key] = (qhi, hi, below_hi, m - (below_hi - below))
     return out
 
 
@@ -117,19 +129,18 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
                        for i, c in enumerate(cheap)]).first()
         for i, c in enumerate(cheap):
             result[c] = [float(v) if v is not None else None for v in row[f"p_{i}"]]
-    for c in cols:
-        if c in result:
-            continue
-        ranks = []
-        for p in probs:
-            a, b, _ = _ranks_for(p, n[c])
-            ranks += [a, b]
-        kth = _kth_values(df, c, ranks, n[c])
-        vals = []
-        for p in probs:
-            a, b, w = _ranks_for(p, n[c])
-            vals.append(kth[a] + (kth[b] - kth[a]) * w)
-        result[c] = vals
+    rest = [c for c in cols if c not in result]
+    if rest:
+        wanted = {}
+        for c in rest:
+            wanted[c] = [x for p in probs for x in _ranks_for(p, n[c])[:2]]
+        kth = _kth_values(df, wanted, {c: n[c] for c in rest})
+        for c in rest:
+            vals = []
+            for p in probs:
+                a, b, w = _ranks_for(p, n[c])
+                vals.append(kth[(c, a)] + (kth[(c, b)] - kth[(c, a)]) * w)
+            result[c] = vals
     return result
 
 
