@@ -782,3 +782,34 @@ def _k18(spark, sf):
     from ..models.supervised import params_table, train_supervised
     t = train_supervised(_vectors(spark, sf), "Regression", 0, 3, ["ridge", "decision_tree"], n_iter=2, folds=2)
     return params_table(spark, t)
+
+
+# ---------------------------------------------------------------- B1, B15, L2, H4
+from ..operators.schema import numeric_columns  # noqa: E402
+
+register("b1_select_numeric", f"""SELECT {KEY_SQL}, round(l_quantity, 6) AS l_quantity,
+ round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax
+ FROM lineitem""")(
+    lambda spark, sf: rounded(li(spark, sf).select(*numeric_columns(li(spark, sf)))))
+
+NOISE_SRC = """SELECT CASE WHEN l_quantity > 45 THEN -1 ELSE floor(l_quantity / 17)::INT END AS cluster FROM lineitem"""
+register("b15_noise_mask", f"""SELECT cluster, count(*)::BIGINT AS size FROM ({NOISE_SRC}) WHERE cluster <> -1
+ GROUP BY 1""")(
+    lambda spark, sf: met.cluster_sizes(li(spark, sf).select(
+        F.expr("CASE WHEN l_quantity > 45 THEN -1 ELSE cast(floor(l_quantity / 17) as int) END").alias("cluster"))
+        .filter(F.col("cluster") != -1)))
+
+
+@register("l2_decode_labels", f"""SELECT {KEY_SQL}, l_returnflag AS decoded FROM lineitem""")
+def _l2(spark, sf):
+    d = li(spark, sf).select(*KEY, "l_returnflag")
+    enc, codes = cleanops.label_encode(d, ["l_returnflag"])
+    inv = codes.filter(F.col("column_name") == "l_returnflag").select(
+        F.col("code").alias("l_returnflag"), F.col("value").alias("decoded"))
+    return enc.join(F.broadcast(inv), "l_returnflag").select(*KEY, "decoded")  # code table: 3 rows
+
+
+@register("h4_feature_report")
+def _h4(spark, sf):
+    res = featops.engineer(load(spark, sf, "customer").drop("c_name"), "c_acctbal")
+    return featops.feature_report(spark, res)
