@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, quality, simhash
+from tabsight.llm import licenses, mixing, pii, quality, simhash
 from tabsight.llm.common import load
 
 
@@ -27,6 +27,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_mixing, op9_quality, op10_licenses)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op5_simhash, op6_mixing, op9_quality, op10_licenses)}
 
 SQL: dict[str, str] = {}
