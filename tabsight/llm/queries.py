@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, simhash
+from tabsight.llm import licenses, mixing, pii, quality, simhash, toxicity
 from tabsight.llm.common import load
 
 
@@ -31,6 +31,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_simhash, op6_mixing, op9_quality, op10_licenses)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op9_quality, op10_licenses)}
 
 SQL: dict[str, str] = {}
