@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, simhash, toxicity
+from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, toxicity
 from tabsight.llm.common import load
+from tabsight.session import scratch_path
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op9_quality, op10_licenses)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    token_files.write_tokens(load(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.digest(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op8_token_files, op9_quality, op10_licenses)}
 
 SQL: dict[str, str] = {}
