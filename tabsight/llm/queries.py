@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, toxicity
+from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, toxicity, warc
 from tabsight.llm.common import load
 from tabsight.session import scratch_path
 
@@ -36,12 +36,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = load(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_archives(pages, f"{path}/archives")
+    warc.write_index(spark, f"{path}/archives", f"{path}/index")
+    return warc.read_back(spark, f"{path}/archives", f"{path}/index", pages)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_files")
     token_files.write_tokens(load(spark, sf_dir, "documents"), path, end_id=2)
     return token_files.digest(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op8_token_files, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY h) AS last_id, count(*) OVER (PARTITION BY h) AS n FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM g""",
+}
