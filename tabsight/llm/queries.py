@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, toxicity, warc
+from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
 from tabsight.llm.common import load
 from tabsight.session import scratch_path
 
@@ -28,6 +28,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(load(spark, sf_dir, "documents"))
 
@@ -49,9 +54,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
 
 SQL: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         g AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
