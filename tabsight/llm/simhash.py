@@ -39,9 +39,10 @@ from tabsight.llm.common import connected_components, free_name, written
 
 SAMPLE = 16_384      # fingerprints the tree is fitted on
 LEAF_SAMPLE = 48     # stop cutting below this many sample points
-LEAF_POINTS = 1_500  # ... or below this many expected points
-MAX_DEPTH = 14
-CELL = 8_192         # points of one block of an oversized shard
+LEAF_POINTS = 1_500  # ... or below this many expected points, or LEAF_ROOT times the root of all points:
+LEAF_ROOT = 16       # every cut copies boundary points, so deeper trees trade comparisons for copies
+MAX_DEPTH = 16
+CELL = 65_536        # points of one block of an oversized shard
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -87,6 +88,7 @@ class VantageTree:
         self.leaves = 0
         rng = np.random.default_rng(seed)
         scale = total / max(1, len(sample))
+        self.leaf_points = max(LEAF_POINTS, LEAF_ROOT * total ** 0.5)
         self.root = self._grow(sample, scale, rng, 0)
 
     def _leaf(self) -> int:
@@ -94,7 +96,7 @@ class VantageTree:
         return -self.leaves
 
     def _grow(self, pts: np.ndarray, scale: float, rng, depth: int) -> int:
-        if len(pts) < LEAF_SAMPLE or len(pts) * scale < LEAF_POINTS or depth >= MAX_DEPTH:
+        if len(pts) < LEAF_SAMPLE or len(pts) * scale < self.leaf_points or depth >= MAX_DEPTH:
             return self._leaf()
         best = None
         for v in rng.choice(pts, size=min(8, len(pts)), replace=False):
@@ -144,16 +146,14 @@ def shard_forest(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[int,
     pts = np.concatenate([a, b])
     n, na = len(pts), len(a)
     step = max(1, (1 << 21) // max(1, n))
-    left, right = (pts, pts) if not len(b) else (a, b)
     busy = np.zeros(n, dtype=bool)
-    for i in range(0, len(left), step):
-        near = np.bitwise_count(left[i:i + step, None] ^ right[None, :]) <= max_bits
+    for i in range(0, na, step):
+        first = na if len(b) else i          # within one block: the upper triangle
+        near = np.bitwise_count(pts[i:min(na, i + step), None] ^ pts[None, first:]) <= max_bits
         if not len(b):
-            near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-            busy[i:i + len(near)] |= near.any(axis=1)
-        else:
-            busy[i:i + len(near)] |= near.any(axis=1)
-            busy[na:] |= near.any(axis=0)
+            near[np.arange(len(near)), np.arange(len(near))] = False
+        busy[i:i + len(near)] |= near.any(axis=1)
+        busy[first:] |= near.any(axis=0)
     open_ = np.flatnonzero(busy)
     edges = []
     while len(open_):
