@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
+from tabsight.llm import licenses, mixing, pii, quality, sentencepiece, simhash, token_files, topk, toxicity, warc
 from tabsight.llm.common import load
 from tabsight.session import scratch_path
 
@@ -28,6 +28,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it again."""
+    model = sentencepiece.PieceModel.load()
+    text = F.translate(F.coalesce("text", F.lit("")), sentencepiece.SPACE, " ")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(text).alias("h"))
+    coded = sentencepiece.encode(docs, model, keep=["doc_id", "h"])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        (F.xxhash64(sentencepiece.decoded(F.col("ids"), model)) == F.col("h")).alias("round_trip"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
@@ -54,7 +64,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
 
 SQL: dict[str, str] = {
     "op2_topk": """
