@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 1).
 
-Encoding.  Texts are dealt into buckets of about ``BUCKET_BYTES``; the distinct
-words of a bucket (a word keeps the spaces before it, as the normaliser's
-U+2581) are exploded into substrings of bounded length, which are equi-joined
-to the piece table; the matches of a word are its lattice edges, grouped by
-word, and a higher-order ``aggregate`` folds them into the word's ids.  The
-bucket's texts then take their ids from its words.  One shuffle moves the
-texts; distinct words, lattice and fold follow in the same partition.
+Encoding.  A text falls into words (a word keeps the spaces before it, as the
+normaliser's U+2581).  All words of all documents are counted; the most
+frequent ones, at most ``TABLE_WORDS`` (a fixed bound, so the result can be
+broadcast), are exploded into substrings of bounded length, which are
+equi-joined to the piece table; the matches of a word are its lattice edges,
+grouped by word, and a higher-order ``aggregate`` folds them into the word's
+ids.  Documents then take their ids from that word table in the scan: texts
+are never shuffled.  Words outside the table (rare ones, and those above
+``LONG`` code points, for which an array fold is quadratic) are folded in the
+task over the same piece table, by the same rules, each once per task.
 
 Two folds over the same lattice:
 
@@ -17,11 +20,9 @@ Two folds over the same lattice:
 
 Words never interact: a piece holds U+2581 only at its start, never a line
 break (checked when the model is read), and never a letter followed by one of
-the marks at which words are cut.  Words above ``LONG`` code points are left
-out of the lattice and folded in the task with a heap over the same pieces,
-because the array fold is quadratic in the word.
+the marks at which words are cut.
 
-Decoding is a higher-order function: ids to piece bytes, bytes to text.
+Decoding joins the bytes of the pieces (one lookup per id).
 
 Defined cases: null and empty texts have no ids and decode to an empty text;
 characters without a piece become byte pieces; a U+2581 in a text decodes as a
@@ -33,17 +34,17 @@ import heapq
 import re
 import string
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import free_name
+from tabsight.llm.common import free_name, written
 
-BUCKET_BYTES = 24 << 20
+TABLE_WORDS = 1 << 18
+MEMO_WORDS = 300_000
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
 SPACE = "▁"
@@ -232,11 +233,12 @@ def encode_words(words: DataFrame, model: PieceModel, keys: list[str] | None = N
     return lattice(words, model, keys).select(*keys, "word", ids.alias("ids"))
 
 
-class LongWords:
-    """Ids of words that are not in the lattice: the same folds in O(n log n)."""
+class OtherWords:
+    """The same folds for single words outside the table."""
 
     def __init__(self, model: PieceModel):
         self.model, self.table, self.base = model, model.priorities(), model.byte_base
+        self.rank = {p: r for p, (r, _, _) in self.table.items()}
         self.low = min(s for _, _, s in self.table.values()) - 10.0
 
     def _segments(self, parts) -> list[int]:
@@ -252,6 +254,18 @@ class LongWords:
     def _bpe(self, word: str) -> list[str]:
         n = len(word)
         part = list(word)
+        if n <= LONG:
+            rank = self.rank.get
+            pairs = [rank(a + b, -1) for a, b in zip(part, part[1:])]
+            while pairs and (best := max(pairs)) >= 0:
+                i = pairs.index(best)
+                part[i:i + 2] = [part[i] + part[i + 1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = rank(part[i - 1] + part[i], -1)
+                if i < len(pairs):
+                    pairs[i] = rank(part[i] + part[i + 1], -1)
+            return part
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list = []
 
@@ -295,64 +309,81 @@ class LongWords:
 
 # ------------------------------------------------------------------ documents
 
-def _bucket_ids(spark: SparkSession, n: int) -> list[int]:
-    """Bucket numbers that hash partitioning spreads over all ``n`` partitions."""
-    spread = (spark.range(40 * n).select(F.col("id").cast("int").alias("i")).withColumn("p", F.pmod(F.hash("i"), F.lit(n)))
-              .groupBy("p").agg(F.min("i").alias("i")).orderBy("p").collect())
-    return [r["i"] for r in spread]
+def word_counts(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts, words up to ``LONG`` code points."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = docs.select(F.explode(words_of(text, model)).alias("word")).filter(F.length("word") <= LONG)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _deal(docs: DataFrame, columns: list[str], text_col: str, name: str) -> DataFrame:
-    """``columns`` and a bucket number, one exchange, about BUCKET_BYTES a bucket."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b")).first()["b"] or 0
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    place = F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    if n <= 1024:
-        ids = _bucket_ids(spark, n)
-        place = F.element_at(F.array(*[F.lit(i) for i in ids]), F.pmod(F.xxhash64(*columns), F.lit(len(ids))).cast("int") + 1)
-    return docs.select(*columns, place.alias(name)).repartition(min(n, 50_000), name)
+def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most: int = TABLE_WORDS) -> DataFrame:
+    """(word, ids) of the most frequent words, at most ``most``: all words
+    above the smallest count that keeps within the bound."""
+    counts = written(word_counts(docs, model, text_col).filter("n > 1"), "sp_counts")
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    running = F.sum("words").over(Window.orderBy(F.col("n").desc()))       # one row per distinct count
+    least = levels.withColumn("running", running).filter(F.col("running") <= most).agg(F.min("n").alias("n")).first()["n"]
+    chosen = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
+    spread = 8 * docs.sparkSession.sparkContext.defaultParallelism
+    return written(encode_words(chosen.select("word").repartition(spread, "word"), model), "sp_words")
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "text",
-           keep: list[str] | None = None, ids_name: str = "ids") -> DataFrame:
+           keep: list[str] | None = None, ids_name: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
     """``keep`` columns (all but the text by default) and the ids of the text."""
     model = model or PieceModel.load()
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    bucket, words = free_name(docs, "sp_bucket"), free_name(docs, "sp_words")
     texts = free_name(docs, "sp_text")
-    src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(texts))
-    dealt = _deal(src, [*keep, texts], texts, bucket)
-    distinct = dealt.select(F.col(bucket).alias(words), F.explode(words_of(F.col(texts), model)).alias("word")).distinct()
-    coded = encode_words(distinct, model, [words])
+    rows = [(r["word"], np.asarray(r["ids"], dtype=np.int32).tobytes()) for r in word_table(docs, model, text_col, most).collect()]
+    table = docs.sparkSession.sparkContext.broadcast(rows)      # at most ``most`` words of at most LONG code points
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_name, T.ArrayType(T.IntegerType()))])
 
-    def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(right["word"], (x.tolist() for x in right["ids"])))
-        split, rest, ids = re.compile(model.pattern), LongWords(model), []
-        for text in left.pop(texts):
-            parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-            try:
-                got = list(chain.from_iterable(map(known.__getitem__, parts)))
-            except KeyError:
-                for w in parts:
-                    if w not in known:
-                        known[w] = rest.encode(w)
-                got = list(chain.from_iterable(map(known.__getitem__, parts)))
-            ids.append(np.array(got, dtype=np.int32))
-        left[ids_name] = ids
-        return left[[*keep, ids_name]]
-
-    return dealt.groupBy(bucket).cogroup(coded.groupBy(words)).applyInPandas(assemble, schema)
+    def run(frames):
+        known, split, other = dict(table.value), re.compile(model.pattern), OtherWords(model)
+        memo: dict[str, bytes] = {}
+        for pdf in frames:
+            whole, ids = pdf.pop(texts), []
+            for text in whole:
+                parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
+                try:
+                    got = b"".join(map(known.__getitem__, parts))
+                except KeyError:
+                    if len(memo) > MEMO_WORDS:
+                        memo.clear()
+                    out = []
+                    for w in parts:
+                        x = known.get(w) or memo.get(w)
+                        if x is None:
+                            x = np.array(other.encode(w), dtype=np.int32).tobytes()
+                            if len(w) <= LONG:
+                                memo[w] = x
+                        out.append(x)
+                    got = b"".join(out)
+                ids.append(np.frombuffer(got, dtype=np.int32))
+            pdf[ids_name] = ids
+            yield pdf[[*keep, ids_name]]
+
+    src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(texts))
+    return src.mapInPandas(run, schema)
 
 
 def decoded(ids: Column, model: PieceModel | None = None) -> Column:
-    """Text of an id array (a higher-order function over the piece bytes)."""
+    """Text of an id array: piece bytes joined, the dummy space dropped."""
     model = model or PieceModel.load()
-    def code(p, t):
-        if t == BYTE:
-            return p[3:5]
-        return "" if t == 3 else p.replace(SPACE, " ").encode().hex().upper() if t == NORMAL else " ⁇ ".encode().hex().upper()
-    table = F.lit([code(p, t) for p, _, t in model.pieces])
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
-    return F.when(text.startswith(" "), F.substring(text, 2, 2 ** 31 - 1)).otherwise(text)
+
+    def code(piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return piece.replace(SPACE, " ").encode() if kind == NORMAL else b"" if kind == 3 else " \u2047 ".encode()
+
+    table = [code(p, t) for p, _, t in model.pieces]
+
+    @F.pandas_udf(T.StringType())
+    def text(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            whole = b"".join(map(table.__getitem__, v.tolist())) if v is not None else b""
+            out.append((whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace"))
+        return pd.Series(out, dtype=object)
+
+    return text(ids)
