@@ -75,7 +75,7 @@ RULES: tuple[Rule, ...] = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("shouting", "2 * n_upper_words > n_words"),
     Rule("few_alphabetic", "10 * n_alpha_words < 5 * n_words"),

@@ -199,7 +199,7 @@ def links(points: DataFrame, max_bits: int = 3) -> DataFrame:
     cells = cells.select("leaf", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
     cells = cells.select("leaf", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), "s", "fp")
 
-    def pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fps, side = pdf["fp"].to_numpy(np.int64), pdf["s"].to_numpy()
         lo, hi = key[1], key[2]
         a = fps[side == lo]
