@@ -34,7 +34,8 @@ from tabsight.llm.common import written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 GAP = 3            # diagonals this far apart are merged
-COVERAGE = 0.7     # part of the template a span must cover
+COVERAGE = 0.7     # part of the template a span must cover ...
+WHOLE = 12         # ... but templates up to this many words must be covered whole: one word tells them apart
 DENSITY = 0.6      # covered words / words of the span
 
 # The phrases of the contract and public license notices.
@@ -132,7 +133,7 @@ def spans(found: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + k - 1)))))
     return (merged.withColumn("covered", covered)
             .withColumn("coverage", F.col("covered") / F.col("length"))
-            .withColumn("verified", (F.col("coverage") >= COVERAGE)
+            .withColumn("verified", (F.col("coverage") >= F.when(F.col("length") <= WHOLE, 1.0).otherwise(COVERAGE))
                         & (F.col("covered") >= DENSITY * (F.col("end") - F.col("start")))))
 
 

@@ -141,8 +141,8 @@ def ablations(entries: DataFrame, policy: Policy = DEFAULT, rules=RULES) -> Data
     hit = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
     mine = [(k, r.name) for k, r in enumerate(rules) if mask >> k & 1]
     each = patterns.select("n", hit.alias("hit"), F.explode(F.array(
-        *[F.struct(F.lit(k).alias("k"), F.lit(n).alias("rule")) for k, n in mine])).alias("r"))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("r.k"))
+        *[F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(n).alias("rule")) for k, n in mine])).alias("r"))
+    bit = F.col("r.bit")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     return each.groupBy(F.col("r.rule").alias("rule")).agg(
         total(F.col("hit").bitwiseAND(bit) != 0).alias("n_failed"),
