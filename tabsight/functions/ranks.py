@@ -2,21 +2,24 @@
 task.
 
 Rows are first grouped by the ordering value (map-side combined), so a hot
-value costs one row.  If the grouped table is small (size checked) a plain
-ordered window finishes it; otherwise the value range is cut into buckets
-at approximate quantiles, bucket totals (one row per bucket) give each
-bucket's offset through a small broadcast join, and the running sum inside a
-bucket is a window partitioned by bucket.
+value costs one row.  The grouped rows are range-partitioned on the ordering
+column itself (any orderable type) and written once to the checkpoint folder,
+so the ranges are fixed; one total per partition gives each partition's
+offset, and the running sum inside a partition is a window.  The same steps
+run at every size.
 """
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A grouped table up to this size is sorted in one task.
-SINGLE_TASK_ROWS = 2_000_000
-ROWS_PER_BUCKET = 1_000_000
+from ..session import cut_lineage
+
+
+def ranged(grouped: DataFrame, *order, part: str = "__part") -> DataFrame:
+    """``grouped`` in ranges of ``order``, with the range number, kept once."""
+    n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(grouped.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
 
 
 def running_sums(grouped: DataFrame, order_col: str, sum_cols: list[str],
@@ -24,28 +27,13 @@ def running_sums(grouped: DataFrame, order_col: str, sum_cols: list[str],
     """Inclusive running sums of ``sum_cols`` over ``grouped`` ordered by
     ``order_col`` (one row per distinct value expected)."""
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    n = grouped.count()
-    if n <= SINGLE_TASK_ROWS:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return grouped.select("*", *[F.sum(c).over(w).alias(prefix + c) for c in sum_cols])
-
-    n_buckets = max(2, min(10_000, n // ROWS_PER_BUCKET + 1))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000)).first()[0]
-    splits = [float("-inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(
-        grouped.withColumn("__v", F.col(order_col).cast("double")))
-    bucketed = bucketed.withColumn("__b", F.col("__b").cast("int"))
-    if descending:
-        bucketed = bucketed.withColumn("__b", F.lit(len(splits)) - F.col("__b"))
-    totals = bucketed.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__b", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias("__o_" + c)
-                                     for c in sum_cols])
-    w = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = bucketed.join(F.broadcast(offsets), "__b")  # one row per bucket: bounded
-    return joined.select(*grouped.columns,
-                         *[(F.sum(c).over(w) + F.col("__o_" + c)).alias(prefix + c) for c in sum_cols])
+    rows = ranged(grouped, order)
+    totals = rows.groupBy("__part").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("__o_" + c) for c in sum_cols])
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(F.broadcast(offsets), "__part")  # one row per shuffle partition: bounded
+    return joined.select(*grouped.columns, *[(F.sum(c).over(inside) + F.col("__o_" + c)).alias(prefix + c) for c in sum_cols])
 
 
 def average_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
@@ -57,10 +45,7 @@ def average_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
                       .cast("double").alias(out))
 
 
-def attach(df: DataFrame, small: DataFrame, key: str, small_rows: int | None = None,
-           broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Join a per-value table back to rows; broadcast only with a checked
-    size, otherwise a shuffle join (AQE splits skewed keys)."""
-    rows = small_rows if small_rows is not None else small.count()
-    right = F.broadcast(small) if rows <= broadcast_limit else small
-    return df.join(right, key, "left")
+def attach(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Join a per-value table back to rows.  AQE broadcasts it when its
+    measured bytes are small and splits hot keys otherwise."""
+    return df.join(small, key, "left")

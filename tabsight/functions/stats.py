@@ -1,152 +1,61 @@
 """Statistics used by many operators: exact quantiles that scale, moments,
 pairwise-complete correlation.
 
-Exact quantiles.  Spark's exact ``percentile`` keeps a value->count map per
-group, so its memory grows with the number of distinct values.  It is used
-only for columns whose distinct count is proven small (one approximate
-pass).  High-cardinality columns go through bracket refinement:
-``percentile_approx`` brackets the wanted rank, an exact count below the
-bracket fixes the offset, and the bracket is narrowed again until it holds
-few enough rows to fetch; each round is one filtered aggregate over the
-data and shrinks the bracket by the sketch's accuracy, so a trillion rows
-need about four rounds and the driver never sees more than a bounded slice.
+Exact quantiles.  All columns are unpivoted and grouped by (column, value), so
+a hot value is one row; the grouped rows are range-partitioned by (column,
+value) and kept once; totals per partition (one row per column and partition)
+tell which rows hold the wanted ranks.  Nothing is estimated, no values reach
+the driver but the wanted ones, and the steps are the same at every size.
 Results equal pandas' linear interpolation (``quantile_cont``).
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A value->count map of this many entries is fine in one aggregation buffer.
-EXACT_MAP_LIMIT = 200_000
-# At most this many values are fetched to settle a bracket.
-FETCH_LIMIT = 100_000
-SKETCH_ACCURACY = 10_000
+from .ranks import ranged
 
 
-def _ranks_for(p: float, n: int) -> tuple[int, int, float]:
-    pos = p * (n - 1)
-    lo = int(math.floor(pos))
-    return lo, min(lo + 1, n - 1), pos - lo
-
-
-def _window(c: Column, lo, hi) -> Column:
-    cond = c.isNotNull()
-    if lo is not None:
-        cond = cond & (c >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
-
-
-def _kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple, float]:
-    """Exact k-th smallest non-null values (0-based ranks) of several columns
-    by bracket refinement; every round serves all columns and ranks with one
-    sketch pass and one counting pass.
-
-    State per (column, rank): a closed window [lo, hi] known to hold the
-    answer, the exact number of values below ``lo`` and the number inside."""
-    out: dict[tuple, float] = {}
-    state = {(col, r): (None, None, 0, counts[col]) for col, rs in wanted.items() for r in sorted(set(rs))}
-    eps = 4.0 / SKETCH_ACCURACY
-    while state:
-        for key in list(state):
-            lo, hi, below, m = state[key]
-            if lo is not None and lo == hi:
-                out[key] = float(lo)
-                del state[key]
-        small = [key for key in state if state[key][3] <= FETCH_LIMIT]
-        for col in sorted({k[0] for k in small}):
-            # one fetch per column: the union of its small windows (bounded)
-            mine = [k for k in small if k[0] == col]
-            c = F.col(col)
-            cond = None
-            for k in mine:
-                w = _window(c, state[k][0], state[k][1])
-                cond = w if cond is None else (cond | w)
-            fetched = sorted(x[0] for x in df.filter(cond).select(c).collect())
-            for key in mine:
-                lo, hi, below, _ = state.pop(key)
-                vals = [v for v in fetched if (lo is None or v >= lo) and (hi is None or v <= hi)]
-                out[key] = float(vals[key[1] - below])
-        if not state:
-            break
-        keys = list(state)
-        sketch = []
-        for i, (col, r) in enumerate(keys):
-            lo, hi, below, m = state[(col, r)]
-            c = F.col(col)
-            frac = (r - below) / max(m - 1, 1)
-            probs = [max(0.0, frac - eps), min(1.0, frac + eps)]
-            sketch.append(F.percentile_approx(F.when(_window(c, lo, hi), c), probs, SKETCH_ACCURACY)
-                          .alias(f"q{i}"))
-        q = df.agg(*sketch).first()
-        aggs = []
-        for i, (col, r) in enumerate(keys):
-            c = F.col(col)
-            qlo, qhi = q[f"q{i}"]
-            aggs += [F.count(F.when(c < F.lit(qlo), 1)).alias(f"a{i}"),
-                     F.count(F.when(c < F.lit(qhi), 1)).alias(f"b{i}"),
-                     F.count(F.when(c <= F.lit(qhi), 1)).alias(f"e{i}")]
-        k = df.agg(*aggs).first()
-        for i, key in enumerate(keys):
-            r = key[1]
-            lo, hi, below, m = state[key]
-            qlo, qhi = q[f"q{i}"]
-            below_lo, below_hi, upto_hi = k[f"a{i}"], k[f"b{i}"], k[f"e{i}"]
-            if below_lo <= r < upto_hi:
-                state[key] = (qlo, qhi, below_lo, upto_hi - below_lo)
-            elif r < below_lo:      # sketch overshot: answer in [lo, qlo]
-                state[key] = (lo, qlo, below, below_lo - below + 1)
-            else:                   # answer in [qhi, hi]
-                state[key] = (qhi, hi, below_hi, m - (below_hi - below))
-    return out
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact, pandas-compatible quantiles of several columns.
-
-    One pass gets counts and distinct estimates; low-cardinality columns
-    are settled with ``percentile`` in one more pass; the rest by bracket
-    refinement."""
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact, pandas-compatible quantiles of several numeric columns."""
     if not cols:
         return {}
-    head = df.agg(*([F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)] +
-                    ([] if distinct else
-                     [F.approx_count_distinct(c, 0.05).alias(f"d_{i}") for i, c in enumerate(cols)]))).first()
-    n = {c: head[f"n_{i}"] for i, c in enumerate(cols)}
-    dcount = distinct or {c: head[f"d_{i}"] for i, c in enumerate(cols)}
-    result: dict[str, list[float | None]] = {}
-    cheap = [c for c in cols if n[c] > 0 and dcount.get(c, 0) <= EXACT_MAP_LIMIT]
-    for c in cols:
-        if n[c] == 0:
-            result[c] = [None] * len(probs)
-    if cheap:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"p_{i}")
-                       for i, c in enumerate(cheap)]).first()
-        for i, c in enumerate(cheap):
-            result[c] = [float(v) if v is not None else None for v in row[f"p_{i}"]]
-    rest = [c for c in cols if c not in result]
-    if rest:
-        wanted = {}
-        for c in rest:
-            wanted[c] = [x for p in probs for x in _ranks_for(p, n[c])[:2]]
-        kth = _kth_values(df, wanted, {c: n[c] for c in rest})
-        for c in rest:
-            vals = []
-            for p in probs:
-                a, b, w = _ranks_for(p, n[c])
-                vals.append(kth[(c, a)] + (kth[(c, b)] - kth[(c, a)]) * w)
-            result[c] = vals
-    return result
-
-
-def median_values(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    q = quantiles(df, cols, [0.5])
-    return {c: v[0] for c, v in q.items()}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))
+                                         for i, c in enumerate(cols)])).alias("kv")).select("kv.*")
+    grouped = long.filter(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = ranged(grouped, "k", "v")
+    parts = rows.groupBy("k", "__part").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy("k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("k")
+    offsets = parts.select("k", "__part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("below"),
+                           F.sum("m").over(every).alias("total"))
+    inside = Window.partitionBy("k", "__part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (rows.withColumn("upto", F.sum("n").over(inside))
+              .join(F.broadcast(offsets), ["k", "__part"])     # one row per column and shuffle partition
+              .withColumn("upto", F.col("upto") + F.col("below")))
+    position = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    wanted = F.array(*[F.struct(F.lit(j).alias("j"), rank.cast("long").alias("r")) for j, p in enumerate(probs)
+                       for rank in (F.floor(position(p)), F.least(F.floor(position(p)) + 1, F.col("total") - 1))])
+    hit = F.filter(wanted, lambda w: (w["r"] >= F.col("upto") - F.col("n")) & (w["r"] < F.col("upto")))
+    found = placed.select("k", "v", "total", F.explode(hit).alias("w")).select("k", "v", "total", "w.j", "w.r").collect()
+    at, total = {}, {}
+    for row in found:
+        at[(row["k"], row["j"], row["r"])] = row["v"]
+        total[row["k"]] = row["total"]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        if i not in total:
+            out[c] = [None] * len(probs)
+            continue
+        out[c] = []
+        for j, p in enumerate(probs):
+            pos = p * (total[i] - 1)
+            lo = int(math.floor(pos))
+            a, b = at[(i, j, lo)], at[(i, j, min(lo + 1, total[i] - 1))]
+            out[c].append(a if a == b else a + (b - a) * (pos - lo))
+    return out
 
 
 def adjusted_skewness(c) -> Column:
@@ -157,16 +66,6 @@ def adjusted_skewness(c) -> Column:
     return F.when(n >= 3, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def pair_corr(a: str, b: str) -> Column:
-    """Pearson correlation over rows where both values are present; null
-    when either side is constant (ANSI-safe)."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    xa = F.when(both, F.col(a).cast("double"))
-    xb = F.when(both, F.col(b).cast("double"))
-    denom = F.stddev_pop(xa) * F.stddev_pop(xb)
-    return F.covar_pop(xa, xb) / F.nullif(denom, F.lit(0.0))
-
-
 def correlation_row(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of many column pairs as one row (columns r0, r1, ...).
 

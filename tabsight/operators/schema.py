@@ -36,40 +36,24 @@ def existing(df: DataFrame, cols) -> list[str]:
     return [c for c in (cols or []) if c in have]
 
 
-def split_target(df: DataFrame, target: str | None) -> tuple[DataFrame, str | None]:
-    """features = every column but the target (all columns without one)."""
-    if target is None:
-        return df, None
-    if target not in df.columns:
-        raise ValueError(f"target {target!r} is not a column")
-    return df, target
-
-
 def align_columns(df: DataFrame, columns: list[str], fill_value=0) -> DataFrame:
     """Reindex to the training columns, missing ones filled."""
     have = set(df.columns)
     return df.select([F.col(c) if c in have else F.lit(fill_value).alias(c) for c in columns])
 
 
-def distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 100_000) -> dict[str, int]:
-    """One approximate pass (HyperLogLog) for every column; columns whose
-    estimate is small are recounted exactly in one more job: the columns
-    are unpivoted to (column, value) and de-duplicated together, so the
-    cost is one shuffle whatever the number of columns."""
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct non-null values of every column: the columns are
+    unpivoted to (column, value) and de-duplicated together (map-side first),
+    one shuffle whatever the number of columns."""
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    out = {c: int(approx[f"c{i}"]) for i, c in enumerate(cols)}
-    near = [c for c in cols if out[c] <= exact_below]
-    if near:
-        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
-                                    for i, c in enumerate(near)])).alias("kv")
-        exact = (df.select(pairs).select("kv.*").filter(F.col("v").isNotNull()).distinct()
-                 .groupBy("k").count().collect())
-        got = {r["k"]: r["count"] for r in exact}
-        for i, c in enumerate(near):
-            out[c] = int(got.get(i, 0))
-    return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
+                                for i, c in enumerate(cols)])).alias("kv")
+    exact = (df.select(pairs).select("kv.*").filter(F.col("v").isNotNull()).distinct()
+             .groupBy("k").count().collect())
+    got = {r["k"]: int(r["count"]) for r in exact}
+    return {c: got.get(i, 0) for i, c in enumerate(cols)}
 
 
 def infer_problem_type(df: DataFrame, target: str | None) -> str:

@@ -35,8 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the session names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when nothing is configured (local tests) a private folder is
-    created, so lineage cutting works everywhere.
+    as is. Only when nothing is configured on a single-process local master
+    (tests) a private folder is created; any other master without a shared
+    folder is an error, not a silent write to one machine's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tabsight-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()

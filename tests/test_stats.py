@@ -8,14 +8,12 @@ from tabsight.operators import clean, profile
 from tabsight.operators.schema import distinct_counts
 
 
-def test_quantiles_bracket_path_is_exact(spark, monkeypatch):
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 1.25), rng.exponential(size=1500)])
     df = spark.createDataFrame(pd.DataFrame({"x": vals}))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = np.percentile(vals, [p * 100 for p in probs])
-    monkeypatch.setattr(stats, "EXACT_MAP_LIMIT", 0)     # force bracket refinement
-    monkeypatch.setattr(stats, "FETCH_LIMIT", 200)
     got = stats.quantiles(df, ["x"], probs)["x"]
     assert np.allclose(got, want, rtol=0, atol=1e-12)
 
@@ -43,13 +41,11 @@ def test_label_order_code_points(spark):
     assert sorted(codes, key=codes.get) == ["Z", "nan", "x", "é"]
 
 
-def test_running_sums_bucketed_equals_single(spark, monkeypatch):
+def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"v": rng.integers(0, 5000, 20000).astype(float)})
     g = spark.createDataFrame(pdf).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    one = {r["v"]: r["cum_n"] for r in ranks.running_sums(g, "v", ["n"]).collect()}
-    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
-    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 300)
+    one = pdf["v"].value_counts().sort_index().cumsum().to_dict()
     many = {r["v"]: r["cum_n"] for r in ranks.running_sums(g, "v", ["n"]).collect()}
     assert one == many
     desc = {r["v"]: r["cum_n"] for r in ranks.running_sums(g, "v", ["n"], descending=True).collect()}
@@ -74,3 +70,23 @@ def test_correlation_constant_is_null(spark):
 def test_distinct_counts(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (2, None)], "i int, s string")
     assert distinct_counts(df, ["i", "s"]) == {"i": 2, "s": 1}
+
+
+def test_median_beside_a_hot_value(spark):
+    """Half of the rows are one value next to the wanted rank."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.col("id") / 7.0).alias("x"))
+    vals = [0.0 if i % 2 == 0 else i / 7.0 for i in range(60_000)]
+    got = stats.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]
+    assert np.allclose(got, np.quantile(vals, [0.25, 0.5, 0.75]), rtol=0, atol=1e-9)
+
+
+def test_running_sums_over_text(spark):
+    words = [f"w{i:05d}é" for i in range(3000)]
+    g = spark.createDataFrame([(w, 1) for w in reversed(words)], "w string, n int")
+    got = {r["w"]: r["cum_n"] for r in ranks.running_sums(g, "w", ["n"]).collect()}
+    assert got == {w: i + 1 for i, w in enumerate(words)}
+
+
+def test_distinct_counts_are_exact_when_large(spark):
+    df = spark.range(150_000).select(F.col("id").alias("a"), (F.col("id") % 120_001).alias("b"))
+    assert distinct_counts(df, ["a", "b"]) == {"a": 150_000, "b": 120_001}
