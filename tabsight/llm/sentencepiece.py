@@ -41,10 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import free_name, written
+from tabsight.llm.common import batches_of, free_name, written
 
 TABLE_WORDS = 1 << 18
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+SLICE_ROWS = 500
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
 SPACE = "▁"
@@ -329,61 +330,75 @@ def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most:
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "text",
-           keep: list[str] | None = None, ids_name: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
-    """``keep`` columns (all but the text by default) and the ids of the text."""
+           keep: list[str] | None = None, ids_name: str = "ids", most: int = TABLE_WORDS,
+           verify: str | None = None) -> DataFrame:
+    """``keep`` columns (all but the text by default) and the ids of the text.
+    ``verify`` names a boolean column: the ids were decoded again in the task
+    and give the text (spaces for U+2581)."""
     model = model or PieceModel.load()
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     texts = free_name(docs, "sp_text")
-    rows = [(r["word"], np.asarray(r["ids"], dtype=np.int32).tobytes()) for r in word_table(docs, model, text_col, most).collect()]
-    table = docs.sparkSession.sparkContext.broadcast(rows)      # at most ``most`` words of at most LONG code points
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_name, T.ArrayType(T.IntegerType()))])
+    # at most ``most`` words of at most LONG code points
+    rows = {r["word"]: np.asarray(r["ids"], dtype=np.int32).tobytes() for r in word_table(docs, model, text_col, most).collect()}
+    table = docs.sparkSession.sparkContext.broadcast(rows)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_name, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(verify, T.BooleanType())] if verify else [])])
+    back = piece_bytes(model) if verify else []
 
     def run(frames):
-        known, split, other = dict(table.value), re.compile(model.pattern), OtherWords(model)
+        known, split, other = table.value, re.compile(model.pattern), OtherWords(model)
         memo: dict[str, bytes] = {}
-        for pdf in frames:
-            whole, ids = pdf.pop(texts), []
-            for text in whole:
-                parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-                try:
-                    got = b"".join(map(known.__getitem__, parts))
-                except KeyError:
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                    out = []
-                    for w in parts:
-                        x = known.get(w) or memo.get(w)
-                        if x is None:
-                            x = np.array(other.encode(w), dtype=np.int32).tobytes()
-                            if len(w) <= LONG:
-                                memo[w] = x
-                        out.append(x)
-                    got = b"".join(out)
-                ids.append(np.frombuffer(got, dtype=np.int32))
-            pdf[ids_name] = ids
-            yield pdf[[*keep, ids_name]]
+
+        def ids_of(text: str) -> np.ndarray:
+            parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
+            try:
+                got = b"".join(map(known.__getitem__, parts))
+            except KeyError:
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                out = []
+                for w in parts:
+                    x = known.get(w) or memo.get(w)
+                    if x is None:
+                        x = np.array(other.encode(w), dtype=np.int32).tobytes()
+                        if len(w) <= LONG:
+                            memo[w] = x
+                    out.append(x)
+                got = b"".join(out)
+            return np.frombuffer(got, dtype=np.int32)
+
+        for pdf in batches_of(frames, SLICE_ROWS):      # small results: ids are larger than the text
+            out = pdf[keep].copy()
+            out[ids_name] = [ids_of(t) for t in pdf[texts]]
+            if verify:
+                out[verify] = [text_of(x, back) == t.replace(SPACE, " ") for x, t in zip(out[ids_name], pdf[texts])]
+            yield out[[*keep, ids_name, *([verify] if verify else [])]]
 
     src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(texts))
     return src.mapInPandas(run, schema)
 
 
-def decoded(ids: Column, model: PieceModel | None = None) -> Column:
-    """Text of an id array: piece bytes joined, the dummy space dropped."""
-    model = model or PieceModel.load()
-
-    def code(piece: str, kind: int) -> bytes:
+def piece_bytes(model: PieceModel) -> list[bytes]:
+    """What each id stands for."""
+    def one(piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE, " ").encode() if kind == NORMAL else b"" if kind == 3 else " \u2047 ".encode()
+    return [one(p, t) for p, _, t in model.pieces]
+
 
-    table = [code(p, t) for p, _, t in model.pieces]
+def text_of(ids, table: list[bytes]) -> str:
+    """Text of one row's ids: their bytes, the dummy space dropped."""
+    whole = b"".join(map(table.__getitem__, ids.tolist()))
+    return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
+
+
+def decoded(ids: Column, model: PieceModel | None = None) -> Column:
+    """Text of an id array; null ids decode to an empty text."""
+    table = piece_bytes(model or PieceModel.load())
 
     @F.pandas_udf(T.StringType())
     def text(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            whole = b"".join(map(table.__getitem__, v.tolist())) if v is not None else b""
-            out.append((whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return pd.Series(["" if v is None else text_of(v, table) for v in values], dtype=object)
 
     return text(ids)
