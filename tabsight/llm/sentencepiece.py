@@ -329,6 +329,24 @@ def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most:
     return written(encode_words(chosen.select("word").repartition(spread, "word"), model), "sp_words")
 
 
+class _Words(dict):
+    """Words a task has met: from the table, else folded; holds a bounded number."""
+
+    def __init__(self, table: dict[str, bytes], other: OtherWords):
+        super().__init__()
+        self.table, self.other = table, other
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.table.get(word)
+        if ids is None:
+            ids = np.array(self.other.encode(word), dtype=np.int32).tobytes()
+        if len(word) <= LONG:
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "text",
            keep: list[str] | None = None, ids_name: str = "ids", most: int = TABLE_WORDS,
            verify: str | None = None) -> DataFrame:
@@ -346,26 +364,11 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "te
     back = piece_bytes(model) if verify else []
 
     def run(frames):
-        known, split, other = table.value, re.compile(model.pattern), OtherWords(model)
-        memo: dict[str, bytes] = {}
+        split, words = re.compile(model.pattern), _Words(table.value, OtherWords(model))
 
         def ids_of(text: str) -> np.ndarray:
             parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-            try:
-                got = b"".join(map(known.__getitem__, parts))
-            except KeyError:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                out = []
-                for w in parts:
-                    x = known.get(w) or memo.get(w)
-                    if x is None:
-                        x = np.array(other.encode(w), dtype=np.int32).tobytes()
-                        if len(w) <= LONG:
-                            memo[w] = x
-                    out.append(x)
-                got = b"".join(out)
-            return np.frombuffer(got, dtype=np.int32)
+            return np.frombuffer(b"".join(map(words.__getitem__, parts)), dtype=np.int32)
 
         for pdf in batches_of(frames, SLICE_ROWS):      # small results: ids are larger than the text
             out = pdf[keep].copy()

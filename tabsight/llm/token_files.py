@@ -12,9 +12,9 @@ Rows are dealt by range of doc_id before they are tokenised, so the sampling
 pass and the shuffle move texts, never ids, and each task writes one sorted
 shard.
 
-Encoding.  A byte-level BPE encodes white-space separated chunks independently
-(its split pattern never joins text across a chunk border), so a task encodes
-each distinct chunk once with the library and looks the rest up; the memory is
+Encoding.  A byte-level BPE encodes chunks between white space or marks
+independently (its split pattern never joins text across a chunk border), so a
+task encodes each distinct chunk once with the library and looks the rest up; the memory is
 bounded (the table is emptied when it is full, long chunks are never kept).
 Texts with control characters on which white-space rules differ are encoded
 whole.
@@ -25,11 +25,12 @@ empty files.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,11 +38,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")  # one piece of the split pattern
 _UNLIKE = re.compile(r"[\x1c-\x1f\x85]")   # white space for one rule set and not for the other
 LONGEST_KEPT = 48
-MOST_KEPT = 400_000
-SLICE_CHARS = 4_000_000
+MOST_KEPT = 200_000
+SLICE_CHARS = 1_000_000
 
 SCHEMA = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
                        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -52,38 +56,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Encodes texts with a tokenizers file; remembers distinct chunks."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other
+    bytes for the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class Encoder(dict):
+    """chunk -> ids as little-endian int32 bytes (a fraction of a list's
+    memory); encodes a chunk with a tokenizers file when it is first asked for."""
 
     def __init__(self, model: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(model)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        chunks = [None if _UNLIKE.search(t) else CHUNK.findall(t) for t in texts]
-        known = self.known
-        if len(known) > MOST_KEPT:
-            known.clear()
-        new = {c for cs in chunks if cs for c in cs if c not in known}
-        rare: dict[str, list[int]] = {}
-        new = list(new)
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
-            for c, ids in zip(part, self.whole(part)):
-                (known if len(c) <= LONGEST_KEPT else rare)[c] = ids
-        for text, cs in zip(texts, chunks):
-            if cs is None:
-                yield self.whole([text])[0]
-            elif rare:
-                yield list(chain.from_iterable([known.get(c) or rare[c] for c in cs]))
-            else:
-                yield list(chain.from_iterable(map(known.__getitem__, cs)))
+        setup = json.loads(model)
+        pre = setup.get("pre_tokenizer") or {}
+        # then a plain chunk is one piece, and the model may be asked directly
+        self.direct = (setup.get("normalizer") is None and pre.get("type") == "ByteLevel"
+                       and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        self.pieces, self.letters = self.tok.model.tokenize, _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.direct and _PLAIN.match(chunk):
+            mapped = chunk.encode().decode("latin-1").translate(self.letters)
+            ids = array("i", [t.id for t in self.pieces(mapped)]).tobytes()
+        else:
+            ids = self.whole(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, as int32 arrays."""
+        for text in texts:
+            if len(self) > MOST_KEPT:
+                self.clear()
+            got = self.whole(text) if _UNLIKE.search(text) else b"".join(map(self.__getitem__, CHUNK.findall(text)))
+            yield np.frombuffer(got, dtype=np.int32)
 
 
 def _encoded(model: str, end_id: int, columns: list[str]):
@@ -98,7 +115,7 @@ def _encoded(model: str, end_id: int, columns: list[str]):
                 while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
                     chars += len(texts[j])
                     j += 1
-                ids = [np.append(np.array(x, dtype=np.int32), end) for x in encoder.encode(texts[i:j])]
+                ids = [np.append(x, end) for x in encoder.encode(texts[i:j])]
                 out = pdf.iloc[i:j][columns].reset_index(drop=True)
                 out["n_tokens"] = [len(x) for x in ids]
                 out["ids"] = ids
