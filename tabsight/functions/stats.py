@@ -54,7 +54,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, l
             pos = p * (total[i] - 1)
             lo = int(math.floor(pos))
             a, b = at[(i, j, lo)], at[(i, j, min(lo + 1, total[i] - 1))]
-            out[c].append(a if a == b else a + (b - a) * (pos - lo))
+            out[c].append(a if a == b else (lo + 1 - pos) * a + (pos - lo) * b)
     return out
 
 

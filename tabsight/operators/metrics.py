@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +190,12 @@ def _cluster_moments(df: DataFrame, features: list[str], cluster: str) -> DataFr
 def calinski_harabasz(df: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
     """K5: between / within dispersion ratio from per-cluster count, sum and
     sum of squares (one grouped pass, k rows)."""
-    m = _cluster_moments(df, features, cluster)
+    # sums of squares about the global mean: about zero they cancel far from the origin
+    mean = df.filter(F.col(cluster) != -1).agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}")
+                                                 for i, f in enumerate(features)]).first()
+    centred = df.select(F.col(cluster).alias("__cl"), *[(F.col(f).cast("double") - F.lit(mean[f"m{i}"] or 0.0)).alias(f"__x{i}")
+                                                        for i, f in enumerate(features)])
+    m = _cluster_moments(centred, [f"__x{i}" for i in range(len(features))], "__cl")
     d = len(features)
     mean_sq = sum(F.col(f"s{i}") * F.col(f"s{i}") for i in range(d)) / F.col("n")  # n_c * |mu_c|^2
     per = m.select("n", "sumsq", mean_sq.alias("nmu2"), *[F.col(f"s{i}") for i in range(d)])
@@ -216,16 +222,14 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster: str = "cluster")
     s = (df.filter(F.col(cluster) != -1).withColumn("__c", F.col(cluster)).join(F.broadcast(cen), "__c")
          .groupBy("__c").agg(F.avg(dist).alias("__s")))
     per = cen.join(s, "__c").collect()  # k rows, size-checked above
-    vecs = {r["__c"]: ([r[f"__m{i}"] for i in range(len(features))], r["__s"]) for r in per}
+    mu = np.array([[r[f"__m{i}"] for i in range(len(features))] for r in per], dtype=float).reshape(len(per), -1)
+    spread = np.array([r["__s"] for r in per], dtype=float)
     worst = []
-    for a, (ma, sa) in vecs.items():
-        best = 0.0
-        for b, (mb, sb) in vecs.items():
-            if a == b:
-                continue
-            m = math.sqrt(sum((x - z) ** 2 for x, z in zip(ma, mb)))
-            best = max(best, (sa + sb) / m if m > 0 else float("inf"))
-        worst.append(best)
+    for a in range(len(per)):
+        gap = np.sqrt(((mu - mu[a]) ** 2).sum(axis=1))
+        with np.errstate(divide="ignore"):
+            ratio = np.where(gap > 0, (spread + spread[a]) / gap, np.inf)
+        worst.append(float(np.delete(ratio, a).max(initial=0.0)))
     val = sum(worst) / len(worst) if len(worst) > 1 else None
     return df.sparkSession.createDataFrame([(val,)], "davies_bouldin double")
 

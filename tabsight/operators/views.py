@@ -2,15 +2,18 @@
 DataFrame (drawing is left to the caller).
 
 Scale rules followed here: statistics for all requested columns come out of
-one aggregate pass; binning is an expression plus one grouped count; the
-KDE is evaluated as a fixed number of sum() aggregates (one per grid point),
-so no grid x data product is materialised; samples are top-n by a seeded
+one aggregate pass; binning is an expression plus one grouped count; KDE sums
+are made per task in arrays, so no grid x data product is materialised;
+samples are top-n by a seeded
 hash, so exactly n rows leave each task whatever the partitioning.
 """
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from .profile import _stack, correlation_long, top_values, value_counts
 from .schema import distinct_counts, existing, is_numeric, numeric_columns
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
+QQ_PIECE = 10_000    # ranks that one row expands to at most
 
 
 class ViewRefused(ValueError):
@@ -84,12 +88,26 @@ def correlation(df: DataFrame, method: str = "pearson", cols: list[str] | None =
         method = "pearson"
     if method == "pearson":
         return correlation_long(df, cols)
+    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(cols)]).first()
+    holed = [c for i, c in enumerate(cols) if nulls[f"z{i}"]]
+    whole = [c for c in cols if c not in holed]
+    parts = [_rank_correlation(df, whole)] if whole else []
+    # a pair is ranked over its own complete rows, so pairs with a column that has nulls go one by one
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            if a in holed or b in holed:
+                both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+                one = _rank_correlation(both, [a] if a == b else [a, b])
+                parts.append(one if a == b else one.filter("col_a <> col_b"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rank_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlation of the average ranks of columns without nulls."""
     ranked = df.select(*cols)
     for c in cols:
-        ranks = average_ranks(df, c, out=f"__rk_{c}")
-        ranked = attach(ranked, ranks, c)
-    ranked = ranked.select([F.col(f"__rk_{c}").alias(c) for c in cols])
-    return correlation_long(ranked, cols)
+        ranked = attach(ranked, average_ranks(df, c, out=f"__rk_{c}"), c)
+    return correlation_long(ranked.select([F.col(f"__rk_{c}").alias(c) for c in cols]), cols)
 
 
 # ------------------------------------------------------------------ D10, D22
@@ -132,7 +150,8 @@ def histogram(df: DataFrame, cols: list[str] | str, bins: int | str = "auto") ->
 def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, by: str | None = None) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth (std * n^-1/5) on a grid
     from min - cut*bw to max + cut*bw.  Values are first grouped (a hot value
-    is one row with a weight); each grid point is one sum() aggregate."""
+    is one row with a weight); a task sums its values for every grid point in
+    arrays, so it emits one row per grid point and batch, never grid x values."""
     x = F.col(col).cast("double")
     keys = [by] if by else []
     weighted = df.filter(x.isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__w"))
@@ -149,22 +168,43 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, by: str
         if s is None:
             return df.sparkSession.createDataFrame([], "grid_index int, x double, density double")
         j = weighted.select("*", *[F.lit(s[k]).alias(k) for k in ("__n", "__bw", "__g0", "__step")])
-    # each (group, value, weight) row contributes to every grid point: the
-    # grid is an in-row array, exploded and summed with map-side partial
-    # aggregation, so a task emits one row per grid point it touched
-    v = F.col(col).cast("double")
-    contrib = F.transform(F.sequence(F.lit(0), F.lit(gridsize - 1)), lambda i: F.col("__w") * F.exp(
-        F.lit(-0.5) * F.pow((F.col("__g0") + i * F.col("__step") - v) / F.col("__bw"), 2)))
-    gk = keys + ["__n", "__bw", "__g0", "__step"]
-    exploded = j.select(*gk, F.posexplode(contrib).alias("grid_index", "__d"))
-    sums = exploded.groupBy(*gk, "grid_index").agg(F.sum("__d").alias("__s"))
-    return sums.select(*keys, F.col("grid_index").cast("int").alias("grid_index"),
+    gk = [*keys, "__n", "__bw", "__g0", "__step"]
+    j = j.select(*gk, F.col(col).cast("double").alias("__v"), "__w")
+
+    def partial(frames):
+        steps = np.arange(gridsize)
+        for pdf in frames:
+            for key, part in pdf.groupby(gk, dropna=False, sort=False):
+                bw, g0, step = key[-3:]
+                sums = np.zeros(gridsize)
+                for i in range(0, len(part), 4096):
+                    v, w = part["__v"].to_numpy()[i:i + 4096], part["__w"].to_numpy()[i:i + 4096]
+                    sums += np.exp(-0.5 * ((g0 + steps[:, None] * step - v[None, :]) / bw) ** 2) @ w
+                out = pd.DataFrame({"grid_index": steps, "__d": sums})
+                for name, value in zip(gk, key):
+                    out[name] = value
+                yield out[[*gk, "grid_index", "__d"]]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in j.schema.fields if f.name in gk)
+    sums = (j.mapInPandas(partial, f"{fields}, grid_index int, __d double")
+            .groupBy(*gk, "grid_index").agg(F.sum("__d").alias("__s")))
+    return sums.select(*keys, "grid_index",
                        (F.col("__g0") + F.col("grid_index") * F.col("__step")).alias("x"),
                        (F.col("__s") / (F.col("__n") * F.col("__bw") * F.lit(SQRT_2PI))).alias("density"))
 
 
+def violin(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
+    """Density over 100 grid points (cut 2) with the quartiles of each
+    group.  The caller bounds the number of groups."""
+    density = kde(df, col, 100, 2.0, by=by)
+    box = box_stats(df, [col], by).select("group", "q1", "median", "q3")
+    density = density.withColumn("group", as_label(F.col(by)) if by else F.lit(None).cast("string"))
+    on = density["group"].eqNullSafe(box["group"])
+    return density.join(box, on).select(density["group"], "grid_index", "x", "density", "q1", "median", "q3")
+
+
 # ------------------------------------------------------------------ D12, D21, B13
-def box_stats(df: DataFrame, cols: list[str], by: str | None = None, limit_cols: int = 6) -> DataFrame:
+def box_stats(df: DataFrame, cols: list[str], by: str | None = None, limit_cols: int | None = 6) -> DataFrame:
     """Quartiles, whiskers (extreme data inside 1.5 IQR) and flier
     counts per numeric column (and per group of ``by``)."""
     cols = [c for c in cols if is_numeric(df.schema[c].dataType)][:limit_cols]
@@ -172,16 +212,20 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, limit_cols:
         raise ViewRefused("box plot needs a numeric column")
     if by is None:
         q = quantiles(df, cols, [0.25, 0.5, 0.75])
-        parts = []
-        for c in cols:
+        aggs, pairs = [], []
+        for i, c in enumerate(cols):
             q1, med, q3 = q[c]
             if q1 is None:
                 continue
-            parts.append(_box_part(df, c, q1, med, q3))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            x, lo_f, hi_f = F.col(c).cast("double"), q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            aggs += [F.min(F.when(x >= lo_f, x)).alias(f"lo{i}"), F.max(F.when(x <= hi_f, x)).alias(f"hi{i}"),
+                     F.count(F.when((x < lo_f) | (x > hi_f), 1)).alias(f"f{i}"), F.count(x).alias(f"n{i}")]
+            pairs.append((c, [F.lit(None).cast("string"), F.lit(q1), F.lit(med), F.lit(q3),
+                              *[F.col(f"{k}{i}") for k in ("lo", "hi", "f", "n")]]))
+        if not pairs:
+            raise ViewRefused("no value in the numeric columns")
+        return df.agg(*aggs).select(_stack(pairs, ["column_name", "group", "q1", "median", "q3", "whisker_lo",
+                                                   "whisker_hi", "n_fliers", "n"]))
     # grouped: exact quartiles per group with percentile (groups are few:
     # callers check the group count; per-group value maps are bounded by it)
     x = F.col(cols[0]).cast("double")
@@ -199,20 +243,6 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, limit_cols:
         "whisker_lo", "whisker_hi", "n_fliers", "n")
 
 
-def _box_part(df: DataFrame, c: str, q1: float, med: float, q3: float) -> DataFrame:
-    x = F.col(c).cast("double")
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-    return df.agg(
-        F.min(F.when(x >= lo_f, x)).alias("whisker_lo"),
-        F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),
-        F.count(F.when((x < lo_f) | (x > hi_f), 1)).alias("n_fliers"),
-        F.count(x).alias("n")).select(
-        F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("group"),
-        F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
-        "whisker_lo", "whisker_hi", "n_fliers", "n")
-
-
 def outlier_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per column the IQR fences and inlier / outlier counts
     (strictly outside the fences is an outlier)."""
@@ -307,9 +337,14 @@ def crosstab(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFram
     d = distinct_counts(df, [a, b])
     if d[a] > 20 or d[b] > 10:
         raise ViewRefused("too many values for a crosstab")
-    g = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
-        F.col(a).cast("string").alias("row_value"), F.col(b).cast("string").alias("col_value")).agg(
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    counts = both.groupBy(F.col(a).cast("string").alias("row_value"), F.col(b).cast("string").alias("col_value")).agg(
         F.count(F.lit(1)).alias("count"))
+    # at most 20 x 10 cells: empty ones count 0
+    counts = counts.collect()
+    cells = {(r["row_value"], r["col_value"]): r["count"] for r in counts}
+    rows = [(x, y, cells.get((x, y), 0)) for x in sorted({x for x, _ in cells}) for y in sorted({y for _, y in cells})]
+    g = df.sparkSession.createDataFrame(rows, "row_value string, col_value string, count bigint")
     share = F.col("count") / F.sum("count").over(Window.partitionBy("row_value"))
     return g.select("row_value", "col_value", "count",
                     (share if normalize else F.col("count").cast("double")).alias("value"))
@@ -382,7 +417,11 @@ def qq_points(df: DataFrame, feat: str, target: str) -> DataFrame:
     g = r.groupBy("residual").agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(g, "residual", ["__c"])
     n = r.count()
-    rows = cum.select("residual", F.explode(F.sequence(F.col("cum___c") - F.col("__c") + 1, F.col("cum___c"))).alias("i"))
+    # a value with many copies is cut into pieces that spread over the tasks before they become rows
+    first, last_i = F.col("cum___c") - F.col("__c") + 1, F.col("cum___c")
+    pieces = cum.select("residual", last_i.alias("last"), F.explode(F.sequence(first, last_i, F.lit(QQ_PIECE).cast("long"))).alias("a"))
+    rows = pieces.repartition("a").select("residual", F.explode(F.sequence(
+        F.col("a"), F.least(F.col("a") + QQ_PIECE - 1, F.col("last")))).alias("i"))
     i = F.col("i").cast("double")
     last = 0.5 ** (1.0 / n) if n else 0.5
     m = (F.when(F.col("i") == n, F.lit(last)).when(F.col("i") == 1, F.lit(1.0 - last))
@@ -392,19 +431,23 @@ def qq_points(df: DataFrame, feat: str, target: str) -> DataFrame:
 
 
 def feature_variance(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Variance of each standardised numeric column after median fill
-    (1, or 0 for a constant: the reference's proxy), next to the raw
-    population variance, ascending."""
+    """Variance of each standardised numeric column after median fill,
+    next to the raw population variance, ascending."""
     cols = [c for c in numeric_columns(df) if c != target]
     if not cols:
         raise ViewRefused("no numeric column")
     med = {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in cols}
-    aggs = [F.var_pop(filled[c]).alias(f"v{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs)
-    pairs = [(c, [F.when(F.col(f"v{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.col(f"v{i}")])
-             for i, c in enumerate(cols)]
-    return row.select(_stack(pairs, ["column_name", "scaled_variance", "raw_variance"]))
+    first = df.agg(*[F.avg(filled[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(filled[c]).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        m, sd = first[f"m{i}"], first[f"s{i}"]
+        x = filled[c] - F.lit(m)
+        aggs += [F.var_pop(x / F.lit(sd) if sd else x).alias(f"z{i}"), F.var_pop(x).alias(f"v{i}")]
+    pairs = [(c, [F.col(f"z{i}"), F.col(f"v{i}")]) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(_stack(pairs, ["column_name", "scaled_variance", "raw_variance"])).orderBy(
+        F.round("scaled_variance", 9), "column_name")
 
 
 # ------------------------------------------------------------------ B12, F6, H2/H3 long form

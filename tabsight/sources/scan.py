@@ -29,9 +29,12 @@ PANDAS_TRUE = ["True", "TRUE", "true"]
 PANDAS_FALSE = ["False", "FALSE", "false"]
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A2: parquet scan; filters and projections reach the reader."""
-    return normalize_types(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """A2: parquet scan; projections reach the reader.  A filter given as
+    ``where`` is applied to the stored columns, before NaN becomes null, so it
+    is pushed into the scan whatever the column type."""
+    df = spark.read.parquet(path)
+    return normalize_types(df if where is None else df.filter(where))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -49,9 +52,13 @@ def _null_tokens(c: str) -> Column:
     return F.when(F.trim(raw).isin(PANDAS_NA_TOKENS) | raw.isNull(), F.lit(None)).otherwise(raw)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A1: CSV scan with pandas-like null tokens and type inference."""
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """A1: CSV scan with pandas-like null tokens and type inference.  Quotes
+    are doubled inside quoted fields, which may hold line breaks; a large file
+    without such breaks can be split over tasks with ``multi_line=False``."""
+    reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line))
     if schema is not None:
         return normalize_types(reader.schema(schema).csv(path))
     text = reader.option("inferSchema", False).csv(path)
