@@ -41,7 +41,6 @@ from pyspark.sql import types as T
 # Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")  # one piece of the split pattern
 _UNLIKE = re.compile(r"[\x1c-\x1f\x85]")   # white space for one rule set and not for the other
 LONGEST_KEPT = 48
 MOST_KEPT = 200_000
@@ -80,27 +79,57 @@ class Encoder(dict):
         self.direct = (setup.get("normalizer") is None and pre.get("type") == "ByteLevel"
                        and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.pieces, self.letters = self.tok.model.tokenize, _byte_letters()
+        self.words = _Words(self)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.direct and _PLAIN.match(chunk):
-            mapped = chunk.encode().decode("latin-1").translate(self.letters)
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if self.direct and letters.isalpha():      # letters are one piece of the split pattern
+            if not chunk.isascii():
+                mapped = chunk.encode().decode("latin-1").translate(self.letters)
+            else:
+                mapped = chunk if letters is chunk else self.letters[32] + letters
             ids = array("i", [t.id for t in self.pieces(mapped)]).tobytes()
         else:
             ids = self.whole(chunk)
         if len(chunk) <= LONGEST_KEPT:
+            if len(self) > MOST_KEPT:
+                self.clear()
             self[chunk] = ids
         return ids
 
+    def chunks(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as int32 arrays."""
         for text in texts:
+            if _UNLIKE.search(text):
+                got = self.whole(text)
+            elif "  " in text:
+                got = self.chunks(text)
+            else:       # every space opens a chunk: whole words are looked up first
+                first, *rest = text.split(" ")
+                got = b"".join([self.chunks(first), *map(self.words.__getitem__, rest)])
+            yield np.frombuffer(got, dtype=np.int32)
+
+
+class _Words(dict):
+    """word -> ids of the word with a space before it."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder.chunks(" " + word)
+        if len(word) <= LONGEST_KEPT:
             if len(self) > MOST_KEPT:
                 self.clear()
-            got = self.whole(text) if _UNLIKE.search(text) else b"".join(map(self.__getitem__, CHUNK.findall(text)))
-            yield np.frombuffer(got, dtype=np.int32)
+            self[word] = ids
+        return ids
 
 
 def _encoded(model: str, end_id: int, columns: list[str]):
