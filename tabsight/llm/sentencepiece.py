@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from tabsight.llm.common import batches_of, free_name, written
 
 TABLE_WORDS = 1 << 18
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 SLICE_ROWS = 500
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
@@ -340,9 +340,7 @@ class _Words(dict):
         ids = self.table.get(word)
         if ids is None:
             ids = np.array(self.other.encode(word), dtype=np.int32).tobytes()
-        if len(word) <= LONG:
-            if len(self) > MEMO_WORDS:
-                self.clear()
+        if len(word) <= LONG and len(self) < MEMO_WORDS:
             self[word] = ids
         return ids
 

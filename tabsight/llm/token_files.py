@@ -15,7 +15,7 @@ shard.
 Encoding.  A byte-level BPE encodes chunks between white space or marks
 independently (its split pattern never joins text across a chunk border), so a
 task encodes each distinct chunk once with the library and looks the rest up; the memory is
-bounded (the table is emptied when it is full, long chunks are never kept).
+bounded (a full table takes no more, long chunks are never kept).
 Texts with control characters on which white-space rules differ are encoded
 whole.
 
@@ -43,7 +43,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
 _UNLIKE = re.compile(r"[\x1c-\x1f\x85]")   # white space for one rule set and not for the other
 LONGEST_KEPT = 48
-MOST_KEPT = 200_000
+MOST_KEPT = 250_000   # frequent words come early: a full table is kept, the rest is encoded again
 SLICE_CHARS = 1_000_000
 
 SCHEMA = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
@@ -94,9 +94,7 @@ class Encoder(dict):
             ids = array("i", [t.id for t in self.pieces(mapped)]).tobytes()
         else:
             ids = self.whole(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) > MOST_KEPT:
-                self.clear()
+        if len(chunk) <= LONGEST_KEPT and len(self) < MOST_KEPT:
             self[chunk] = ids
         return ids
 
@@ -125,9 +123,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encoder.chunks(" " + word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) > MOST_KEPT:
-                self.clear()
+        if len(word) <= LONGEST_KEPT and len(self) < MOST_KEPT:
             self[word] = ids
         return ids
 
