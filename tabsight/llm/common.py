@@ -2,7 +2,9 @@
 written intermediate tables and connected components."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def per_process(name: str, key, make):
+    """One object per Python worker, kept between its tasks (functions travel
+    by value, so globals of their modules do not last).  Another ``key``
+    replaces it."""
+    state = sys.modules.setdefault("tabsight_worker_state", ModuleType("tabsight_worker_state"))
+    held = state.__dict__.get(name)
+    if held is None or held[0] != key:
+        held = (key, make())
+        state.__dict__[name] = held
+    return held[1]
+
+
 def batches_of(frames: Iterator, rows: int):
     """Cut each pandas frame into slices of at most ``rows`` rows."""
     for pdf in frames:

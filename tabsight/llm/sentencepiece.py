@@ -33,6 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 import string
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import batches_of, free_name, written
+from tabsight.llm.common import batches_of, free_name, per_process, written
 
 TABLE_WORDS = 1 << 18
 MEMO_WORDS = 250_000
@@ -356,13 +357,14 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "te
     texts = free_name(docs, "sp_text")
     # at most ``most`` words of at most LONG code points
     rows = {r["word"]: np.asarray(r["ids"], dtype=np.int32).tobytes() for r in word_table(docs, model, text_col, most).collect()}
-    table = docs.sparkSession.sparkContext.broadcast(rows)
+    table, run_id = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_name, T.ArrayType(T.IntegerType())),
                            *([T.StructField(verify, T.BooleanType())] if verify else [])])
     back = piece_bytes(model) if verify else []
 
     def run(frames):
-        split, words = re.compile(model.pattern), _Words(table.value, OtherWords(model))
+        split = re.compile(model.pattern)
+        words = per_process("sentencepiece", run_id, lambda: _Words(table.value, OtherWords(model)))
 
         def ids_of(text: str) -> np.ndarray:
             parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.llm.common import per_process
+
 # Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
@@ -130,7 +132,7 @@ class _Words(dict):
 
 def _encoded(model: str, end_id: int, columns: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model)
+        encoder = per_process("token_files", zlib.crc32(model.encode()), lambda: Encoder(model))
         end = np.array([end_id], dtype=np.int32)
         for pdf in frames:
             texts = ["" if t is None else t for t in pdf["text"]]
