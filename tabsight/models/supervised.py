@@ -9,6 +9,7 @@ in parallel threads (``parallelism``).
 """
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass, field
 
@@ -59,7 +60,7 @@ def _grid(est, pairs) -> list:
 
 
 # ---------------------------------------------------------------- regression
-# Search spaces: the reference's ranges mapped to Spark parameters
+# Search spaces, mapped to Spark parameters
 # (alpha -> regParam; sklearn's ridge alpha is on the summed loss, so /n).
 def regression_candidates(effort: str = "quick") -> list[Candidate]:
     full = effort == "full"
@@ -105,6 +106,10 @@ def classification_candidates(effort: str = "quick") -> list[Candidate]:
     def mlp(n, d, k):
         return MultilayerPerceptronClassifier(layers=[d, 64, max(k, 2)], seed=42, maxIter=100)
 
+    def mlp_grid(e, n):
+        first, last = e.getLayers()[0], e.getLayers()[-1]
+        return _grid(e, [("layers", [[first, 32, last], [first, 64, last], [first, 64, 32, last]]), ("maxIter", [100, 200])])
+
     def gbt_grid(e, n):
         base = e.getClassifier() if isinstance(e, OneVsRest) else e
         pm = _grid(base, [("maxIter", gbt_iter), ("stepSize", [0.01, 0.05, 0.1, 0.2]),
@@ -126,12 +131,12 @@ def classification_candidates(effort: str = "quick") -> list[Candidate]:
                   lambda e, n: _grid(e, [("maxDepth", [5, 10, 15, 20, 30]), ("minInstancesPerNode", [1, 2, 4, 8]),
                                          ("impurity", ["gini", "entropy"])])),
         Candidate("random_forest", lambda n, d, k: RandomForestClassifier(seed=42),
-                  lambda e, n: _grid(e, [("numTrees", trees), ("maxDepth", [5, 10]),
+                  lambda e, n: _grid(e, [("numTrees", trees), ("maxDepth", [5, 10, 20, 30] if full else [5, 10]),
                                          ("minInstancesPerNode", [1, 2, 4]),
                                          ("featureSubsetStrategy", ["sqrt", "log2", "0.5", "all"]),
                                          ("impurity", ["gini", "entropy"])])),
         Candidate("gradient_boosting", gbt, gbt_grid),
-        Candidate("mlp", mlp, lambda e, n: _grid(e, [("stepSize", [0.01, 0.03, 0.1])])),
+        Candidate("mlp", mlp, mlp_grid),
         Candidate("adaboost", lambda n, d, k: AdaBoostClassifier(n_rounds=50 if full else 10, n_classes=k)),
     ]
 
@@ -145,21 +150,20 @@ def random_search(est, grid: list, n_iter: int, seed: int = 42) -> list:
     return random.Random(seed).sample(grid, n_iter)
 
 
-def _params_of(model) -> dict:
-    """Parameters that differ from the defaults (all scalar ones when
-    none differ), sorted, at most 30."""
-    if not hasattr(model, "isSet"):
-        return {}
-    est = model.getClassifier() if isinstance(model, OneVsRest) else model
-    changed, every = {}, {}
-    defaults = getattr(est, "_defaultParamMap", {})
-    for p, v in est.extractParamMap().items():
-        if not (isinstance(v, (int, float, str, bool)) or v is None):
-            continue
-        every[p.name] = v
-        if est.isSet(p) and (p not in defaults or defaults[p] != v):
-            changed[p.name] = v
-    return dict(sorted((changed or every).items())[:30])
+def chosen_params(estimator, chosen: dict) -> dict:
+    """What the search chose, then what was set on the estimator, by
+    parameter name.  A wrapped classifier shows its own parameters."""
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if not hasattr(inner, "params"):       # not a Spark estimator: its plain public fields
+        return {k: v for k, v in sorted(vars(inner).items()) if isinstance(v, (int, float, str, bool))}
+    picked = {}
+    for p in inner.params:
+        if inner.isSet(p) and isinstance(inner.getOrDefault(p), (int, float, str, bool)):
+            picked[p.name] = inner.getOrDefault(p)
+    for p, v in chosen.items():
+        if isinstance(v, (int, float, str, bool)):
+            picked[p.name] = v
+    return dict(sorted(picked.items()))
 
 
 def train_supervised(data: DataFrame, problem_type: str, n_classes: int, n_features: int,
@@ -192,14 +196,21 @@ def train_supervised(data: DataFrame, problem_type: str, n_classes: int, n_featu
                                     foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
                 cvm = cv.fit(folded)
                 best = cvm.bestModel
-                metrics = list(cvm.avgMetrics)
-                score = float(max(metrics))
-                chosen = est.copy(maps[metrics.index(max(metrics))])
+                good = [(m, i) for i, m in enumerate(cvm.avgMetrics) if not math.isnan(m)]
+                if good:
+                    score, at = max(good, key=lambda x: (x[0], -x[1]))
+                    picked = maps[at]
+                    chosen = est.copy(picked)
+                    best = best if at == list(cvm.avgMetrics).index(score) and len(good) == len(maps) else chosen.fit(folded)
+                else:      # no candidate could be scored: the default fit
+                    score, picked, chosen = None, {}, est
+                    best = est.fit(folded)
             else:
-                chosen = est.copy(maps[0]) if maps and maps[0] else est
+                picked = maps[0] if maps else {}
+                chosen = est.copy(picked) if picked else est
                 best = chosen.fit(folded)
                 score = None
-            out.append(Trained(c.name, best, _params_of(best), score, None, chosen))
+            out.append(Trained(c.name, best, chosen_params(chosen, picked), score, None, chosen))
         except Exception as e:  # noqa: BLE001  (recorded, I20 / L6p)
             out.append(Trained(c.name, None, {}, None, f"{type(e).__name__}: {str(e)[:200]}"))
     return out
@@ -227,24 +238,35 @@ def predict_all(models: list[Trained], data: DataFrame, problem_type: str) -> Da
     return out
 
 
-def voting_predictions(scored: DataFrame, members: list[str], problem_type: str) -> DataFrame:
-    """Mean of member predictions (regression) or argmax of the
-    mean probability (soft voting); rows are matched by ``__row``."""
-    sub = scored.filter(F.col("model").isin(members))
+# The models that vote when they were trained.
+VOTERS = ("linear_regression", "logistic_regression", "random_forest", "gradient_boosting")
+
+
+def votes_with_probability(model, frame: DataFrame) -> bool:
+    return "probability" in model.transform(frame.limit(0)).columns
+
+
+def vote(models: list, frame: DataFrame, problem_type: str, n_classes: int = 0) -> DataFrame:
+    """Every member scores the same rows in one projection chain; the
+    mean prediction (regression) or the argmax of the mean probability
+    (classification) is the vote.  Used for the holdout and for new rows."""
+    cur, outs = frame, []
+    for i, m in enumerate(models):
+        cur = m.transform(cur)
+        if problem_type == "Regression":
+            cur = cur.withColumn(f"__p{i}", F.col("prediction"))
+        elif cur.schema["probability"].dataType.typeName() == "array":
+            cur = cur.withColumn(f"__p{i}", F.col("probability"))
+        else:
+            cur = cur.withColumn(f"__p{i}", vector_to_array("probability"))
+        outs.append(F.col(f"__p{i}"))
+        cur = cur.drop("prediction", "probability", "rawPrediction")
+    names = [f"__p{i}" for i in range(len(outs))]
     if problem_type == "Regression":
-        return sub.groupBy("__row").agg(F.first("label").alias("label"),
-                                        F.avg("prediction").alias("prediction")).withColumn("model", F.lit("voting"))
-    has_prob = sub.filter(F.col("probability").isNotNull())
-    k = has_prob.select(F.size("probability")).first()
-    if k is None:
-        raise ValueError("no member has probabilities")
-    k = k[0]
-    g = has_prob.groupBy("__row").agg(F.first("label").alias("label"),
-                                      *[F.avg(F.col("probability")[i]).alias(f"p{i}") for i in range(k)])
-    arr = F.array(*[F.col(f"p{i}") for i in range(k)])
-    best = F.array_position(arr, F.array_max(arr)) - 1
-    return g.select("__row", "label", best.cast("double").alias("prediction"), arr.alias("probability"),
-                    F.lit("voting").alias("model"))
+        return cur.withColumn("prediction", sum(outs) / len(outs)).drop(*names)
+    mean = F.array(*[sum(o[j] for o in outs) / len(outs) for j in range(n_classes)])
+    return cur.withColumn("probability", mean).withColumn(
+        "prediction", (F.array_position(F.col("probability"), F.array_max("probability")) - 1).cast("double")).drop(*names)
 
 
 def learning_curve(estimator, data: DataFrame, problem_type: str, folds: int = 3, steps: int = 5,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import running_sums
 from ..functions.stats import quantiles
+from ..session import cut_lineage
 from .profile import value_counts
 from .schema import is_numeric, string_columns
 
@@ -64,26 +65,33 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def impute(df: DataFrame, cols: list[str] | None = None):
+def impute(df: DataFrame, cols: list[str] | None = None, keep_all: bool = False):
     """Numeric columns with nulls get the exact median; others the
     mode, or 'Unknown' when every value is missing.  An all-null numeric
-    column stays null (its median is undefined) and is reported."""
+    column stays null (its median is undefined) and is reported.
+
+    ``keep_all`` returns the median or mode of every column, also of those
+    without nulls here: rows scored later may have nulls anywhere."""
     cols = cols if cols is not None else df.columns
     nulls = null_counts(df.select(cols)) if cols else {}
-    todo = [c for c in cols if nulls[c] > 0]
-    num = [c for c in todo if is_numeric(df.schema[c].dataType)]
-    cat = [c for c in todo if c not in num]
+    wanted = [c for c in cols if keep_all or nulls[c] > 0]
+    num = [c for c in wanted if is_numeric(df.schema[c].dataType)]
+    cat = [c for c in wanted if c not in num]
     med = {c: v[0] for c, v in quantiles(df, num, [0.5]).items()} if num else {}
     mode = modes(df, cat)
     report = []
     repl = {}
     for c in num:
+        if nulls[c] == 0:
+            continue
         if med[c] is None:
             report.append(("impute", c, "all_null_numeric_left", nulls[c], None, None))
             continue
         repl[c] = F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)).alias(c)
         report.append(("impute", c, "median", nulls[c], float(med[c]), None))
     for c in cat:
+        if nulls[c] == 0:
+            continue
         val = mode[c]
         if val is None:
             repl[c] = F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c)
@@ -116,18 +124,18 @@ def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, cols: list[str], broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Replace each column by its code through an equi join per column;
-    the code table is broadcast only when its size is checked small."""
+def apply_codes(df: DataFrame, codes: DataFrame, cols: list[str], unseen: dict[str, int] | None = None) -> DataFrame:
+    """Replace each column by its code through an equi join per column (AQE
+    picks broadcast or shuffle from the measured size).  A value without a
+    code gets ``unseen[column]`` where that is given, else null."""
     out = df
     for c in cols:
         table = codes.filter(F.col("column_name") == c).select(F.col("value").alias("__v"),
                                                                 F.col("code").alias("__code"))
-        n = table.count()
-        right = F.broadcast(table) if n <= broadcast_limit else table
         key = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        out = (out.withColumn("__v", key).join(right, "__v", "left")
-               .withColumn(c, F.col("__code")).drop("__v", "__code"))
+        code = F.coalesce(F.col("__code"), F.lit(unseen[c])) if unseen and c in unseen else F.col("__code")
+        out = (out.withColumn("__v", key).join(table, "__v", "left")
+               .withColumn(c, code).drop("__v", "__code"))
     return out.select(df.columns)
 
 
@@ -137,24 +145,25 @@ def label_encode(df: DataFrame, cols: list[str] | None = None):
     return apply_codes(df, codes, cols), codes
 
 
-def clean(df: DataFrame, encode: bool = True, count_duplicates: bool = True) -> CleanResult:
-    """B4-B9 in the reference's order: dedupe, impute, encode; the report
-    lists every action, or one 'none' row."""
+def clean(df: DataFrame, encode: bool = True, count_duplicates: bool = True, keep_all: bool = False) -> CleanResult:
+    """Dedupe, impute, encode; the report lists every action, or one
+    'none' row.  The de-duplicated rows are written once, and every later
+    statistic reads them; the code table is kept the same way, so scoring
+    never goes back to the training rows."""
     spark = df.sparkSession
     report = []
-    dropped = 0
-    if count_duplicates:
-        dropped = int(duplicate_counts(df).first()["n_dropped"])
-    data = drop_duplicates(df)
+    data = cut_lineage(drop_duplicates(df))
+    dropped = int(df.count() - data.count()) if count_duplicates else 0
     if dropped:
         report.append(("dedupe", None, "drop_duplicates", dropped, None, None))
-    data, imp_report, med, mode = impute(data)
+    data, imp_report, med, mode = impute(data, keep_all=keep_all)
     report += imp_report
     codes = None
     if encode:
         cols = string_columns(data)
         if cols:
-            data, codes = label_encode(data, cols)
+            codes = cut_lineage(label_codes(data, cols))
+            data = apply_codes(data, codes, cols)
             report += [("encode", c, "label_encode", None, None, None) for c in cols]
     if not report:
         report.append(("none", None, "no_cleaning_needed", 0, None, None))

@@ -3,15 +3,17 @@ scaled input and one k sweep (the reference refits them per view)."""
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..models.cluster import k_sweep
+from ..models.preprocess import population_scaler
 from ..operators.schema import numeric_columns
 from ..operators.views import ViewRefused
+from ..session import cut_lineage
 
 
 def scaled_numeric(df: DataFrame, target: str | None, ctx: dict) -> tuple[DataFrame, list[str]]:
@@ -25,9 +27,10 @@ def scaled_numeric(df: DataFrame, target: str | None, ctx: dict) -> tuple[DataFr
     med = {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}
     filled = df.select([F.coalesce(F.col(c).cast("double"), F.lit(med[c] if med[c] is not None else 0.0)).alias(c)
                         for c in cols] + ([F.col(target)] if target else []))
+    filled = cut_lineage(filled)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="__raw"),
-                            StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)])
-    scaled = pipe.fit(filled).transform(filled).drop("__raw")
+                            *population_scaler("__raw", "features", filled.count(), len(cols))])
+    scaled = cut_lineage(pipe.fit(filled).transform(filled).drop("__raw", "features__s"))   # every fit reads it
     ctx["scaled"], ctx["scaled_cols"] = scaled, cols
     return scaled, cols
 
