@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,6 +235,36 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster: str = "cluster")
     return df.sparkSession.createDataFrame([(val,)], "davies_bouldin double")
 
 
+def silhouette_points(df: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
+    """K4: every clustered row with its own silhouette (squared Euclidean
+    distance, noise excluded).  Mean distances come from the count, mean and
+    mean square of each cluster, so no pairs are made; the k rows of cluster
+    moments travel with the tasks."""
+    rows = df.filter(F.col(cluster) != -1)
+    mean = rows.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    x = [F.col(f).cast("double") - F.lit(mean[f"m{i}"] or 0.0) for i, f in enumerate(features)]
+    per = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(sum(c * c for c in x)).alias("q"),
+                                    *[F.avg(c).alias(f"a{i}") for i, c in enumerate(x)]).collect()
+    if len(per) > MAX_CLASSES:
+        raise ValueError("too many clusters")
+    ids = np.array([r[cluster] for r in per])
+    n, q = np.array([r["n"] for r in per], dtype=float), np.array([r["q"] for r in per], dtype=float)
+    mu = np.array([[r[f"a{i}"] for i in range(len(features))] for r in per], dtype=float).reshape(len(per), -1)
+
+    @F.pandas_udf("double")
+    def one(own: pd.Series, *cols: pd.Series) -> pd.Series:
+        p = np.stack([c.to_numpy(dtype=float) for c in cols], axis=1)
+        d = (p * p).sum(1)[:, None] - 2.0 * p @ mu.T + q[None, :]
+        at = own.to_numpy()[:, None] == ids[None, :]
+        size = (at * n).sum(1)
+        a = np.where(size > 1, (at * d * n).sum(1) / np.maximum(size - 1, 1), 0.0)
+        b = np.where(at, np.inf, d).min(axis=1, initial=np.inf)
+        top = np.maximum(a, b)
+        return pd.Series(np.where((size > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0))
+
+    return rows.withColumn("silhouette", one(F.col(cluster), *x))
+
+
 def silhouette_sq(df: DataFrame, features_col: str = "features", cluster: str = "cluster") -> float | None:
     """K3 (scalable form): mean silhouette with squared Euclidean distance
     (Spark's evaluator, O(n k)); noise rows excluded, None under 2 clusters."""

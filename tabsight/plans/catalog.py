@@ -813,3 +813,6 @@ def _l2(spark, sf):
 def _h4(spark, sf):
     res = featops.engineer(load(spark, sf, "customer").drop("c_name"), "c_acctbal")
     return featops.feature_report(spark, res)
+
+
+from . import catalog_models  # noqa: E402,F401  (registers the model checks)
