@@ -63,7 +63,54 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op6_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+                     ('0x' || substr(md5('6:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+                     2.0 * source_size AS stop FROM s),
+        l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / weight, source
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY stop / weight, source
+                     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        f AS (SELECT min_by(level, stop / weight) FILTER (level < stop / weight) AS water FROM l),
+        t AS (SELECT source, source_size, least(stop, coalesce(water * weight, stop)) AS target FROM l, f),
+        q AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               (greatest(0, least(size, floor(target) - ahead))
+                + greatest(0, least(size, floor(target) - ahead - source_size)))::BIGINT AS taken FROM q""",
+    "op9_quality": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        v AS (SELECT doc_id, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM u
+              WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, b, c) AS n FROM v WHERE c IS NOT NULL),
+        r AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words
+              FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM g WHERE n > 1) GROUP BY 1),
+        t AS (SELECT doc_id, max(n) AS top_word, sum(n) FILTER (strlen(word) > 1 AND regexp_matches(word, '[A-Z]')
+                AND NOT regexp_matches(word, '[a-z]')) AS n_upper,
+                sum(n) FILTER (regexp_matches(word, '^[A-Za-z]') OR unicode(word) > 127) AS n_alpha
+              FROM (SELECT doc_id, word, count(*) AS n FROM u GROUP BY 1, 2) GROUP BY 1),
+        l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+        m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                coalesce(n_lines, 0) AS n_lines, coalesce(n_upper, 0) AS n_upper, coalesce(n_alpha, 0) AS n_alpha,
+                coalesce(top_word, 0) AS top_word
+              FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)),
+        b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+                + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT
+                + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 32 * (2 * n_upper > n_words)::BIGINT
+                + 64 * (10 * n_alpha < 5 * n_words)::BIGINT + 128 * (10 * top_word > 4 * n_words)::BIGINT AS fail_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
+               fail_bits = 0 AS kept, fail_bits FROM b""",
     "op2_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings),

@@ -147,7 +147,7 @@ def _term_counts(frames):
         toxic, clean = Counter(), Counter()
         for text, label in zip(pdf["text"], pdf["toxic"]):
             (toxic if label else clean).update(_terms(text))
-        yield pd.DataFrame([(t, toxic[t], clean[t]) for t in toxic], columns=["term", "toxic", "clean"])
+        yield pd.DataFrame([(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()], columns=["term", "toxic", "clean"])
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -158,7 +158,6 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         return {}
     terms = (rows.mapInPandas(_term_counts, "term string, toxic long, clean long").groupBy("term")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    # a batch reports its clean counts only for terms it saw in a toxic text, so the odds are checked again below
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
     best = (terms.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
             .orderBy(F.col("odds").desc(), "term").limit(LEXICON_SIZE))
