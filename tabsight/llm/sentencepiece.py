@@ -34,6 +34,7 @@ import heapq
 import re
 import string
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,7 +92,7 @@ class PieceModel:
             raise ValueError("a piece joins several spaces with a word")
         follows = set(re.findall(rf"[{LETTERS}](?=([^\w\s]))", "\n".join(normal)))
         marks = "".join(re.escape(c) for c in string.punctuation if c != "_" and c not in follows)
-        cut = f"{SPACE}*[{LETTERS}]+(?=[{marks}])|" if marks else ""
+        cut = f"{SPACE}*+[{LETTERS}]++(?=[{marks}])|" if marks else ""     # possessive: no way back into a word
         return PieceModel(pieces, m.trainer_spec.model_type, f"{cut}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n",
                           max(map(len, normal)))
 
@@ -258,15 +259,15 @@ class OtherWords:
         part = list(word)
         if n <= LONG:
             rank = self.rank.get
-            pairs = [rank(a + b, -1) for a, b in zip(part, part[1:])]
+            pairs = [rank(word[i:i + 2], -1) for i in range(n - 1)]
             while pairs and (best := max(pairs)) >= 0:
                 i = pairs.index(best)
-                part[i:i + 2] = [part[i] + part[i + 1]]
-                del pairs[i]
+                part[i] = both = part[i] + part[i + 1]
+                del part[i + 1], pairs[i]
                 if i:
-                    pairs[i - 1] = rank(part[i - 1] + part[i], -1)
+                    pairs[i - 1] = rank(part[i - 1] + both, -1)
                 if i < len(pairs):
-                    pairs[i] = rank(part[i] + part[i + 1], -1)
+                    pairs[i] = rank(both + part[i + 1], -1)
             return part
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list = []
@@ -331,17 +332,15 @@ def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most:
 
 
 class _Words(dict):
-    """Words a task has met: from the table, else folded; holds a bounded number."""
+    """The word table and a bounded number of other words that tasks have folded."""
 
     def __init__(self, table: dict[str, bytes], other: OtherWords):
-        super().__init__()
-        self.table, self.other = table, other
+        super().__init__(table)
+        self.other, self.most = other, len(table) + MEMO_WORDS
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.table.get(word)
-        if ids is None:
-            ids = np.array(self.other.encode(word), dtype=np.int32).tobytes()
-        if len(word) <= LONG and len(self) < MEMO_WORDS:
+        ids = array("i", self.other.encode(word)).tobytes()
+        if len(word) <= LONG and len(self) < self.most:
             self[word] = ids
         return ids
 
