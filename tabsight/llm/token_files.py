@@ -43,9 +43,10 @@ from tabsight.llm.common import per_process
 # Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
-_UNLIKE = re.compile(r"[\x1c-\x1f\x85]")   # white space for one rule set and not for the other
+_UNLIKE = "\x1c\x1d\x1e\x1f\x85"   # white space for one rule set and not for the other
 LONGEST_KEPT = 48
-MOST_KEPT = 250_000   # frequent words come early: a full table is kept, the rest is encoded again
+MOST_WORDS = 600_000   # frequent words come early: a full table is kept, the rest is encoded again
+MOST_CHUNKS = 100_000
 SLICE_CHARS = 1_000_000
 
 SCHEMA = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
@@ -86,17 +87,22 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
+    def one(self, chunk: str) -> bytes:
         letters = chunk[1:] if chunk[0] == " " else chunk
-        if self.direct and letters.isalpha():      # letters are one piece of the split pattern
-            if not chunk.isascii():
-                mapped = chunk.encode().decode("latin-1").translate(self.letters)
-            else:
-                mapped = chunk if letters is chunk else self.letters[32] + letters
-            ids = array("i", [t.id for t in self.pieces(mapped)]).tobytes()
+        if not self.direct or not letters.isalpha():
+            return self.whole(chunk)
+        # letters are one piece of the split pattern
+        if not chunk.isascii():
+            mapped = chunk.encode().decode("latin-1").translate(self.letters)
         else:
-            ids = self.whole(chunk)
-        if len(chunk) <= LONGEST_KEPT and len(self) < MOST_KEPT:
+            mapped = chunk if letters is chunk else self.letters[32] + letters
+        return array("i", [t.id for t in self.pieces(mapped)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[0] == " " and chunk[1:].isalpha():
+            return self.words[chunk[1:]]
+        ids = self.one(chunk)
+        if len(chunk) <= LONGEST_KEPT and len(self) < MOST_CHUNKS:
             self[chunk] = ids
         return ids
 
@@ -106,7 +112,7 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as int32 arrays."""
         for text in texts:
-            if _UNLIKE.search(text):
+            if any(map(text.__contains__, _UNLIKE)):
                 got = self.whole(text)
             elif "  " in text:
                 got = self.chunks(text)
@@ -124,8 +130,8 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.chunks(" " + word)
-        if len(word) <= LONGEST_KEPT and len(self) < MOST_KEPT:
+        ids = self.encoder.one(" " + word) if word.isalpha() else self.encoder.chunks(" " + word)
+        if len(word) <= LONGEST_KEPT and len(self) < MOST_WORDS:
             self[word] = ids
         return ids
 
