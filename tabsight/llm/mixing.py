@@ -67,10 +67,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return s.select("key", "source_size", "weight", target.alias("target"))
 
 
-def _queue(rows: DataFrame, totals_from: DataFrame, names: dict[str, str], weights, share, cap) -> DataFrame:
+def _queue(rows: DataFrame, names: dict[str, str], weights, share, cap) -> DataFrame:
     """``rows`` with source size, target and the words queued before each row."""
     key, part, size, h, tie = (names[k] for k in ("key", "slice", "size", "h", "tie"))
-    totals = (totals_from.groupBy(F.col(key).alias("key"), F.col(part).alias("slice"))
+    totals = (rows.groupBy(F.col(key).alias("key"), F.col(part).alias("slice"))
               .agg(F.first(names["source"]).alias("source"), F.sum(size).alias("words")))
     totals = cut_lineage(totals)
     targets = source_targets(totals.groupBy("key").agg(F.first("source").alias("source"),
@@ -108,9 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     rows = rows.withColumn(names["slice"], F.floor(F.col(names["h"]) / F.lit((1 << 60) // SLICES)).cast("int"))
     if carry is None:
         rows = cut_lineage(rows)      # narrow rows: the texts are read once
-        queued = _queue(rows, rows, names, weights, share, cap)
-    else:
-        queued = _queue(rows, rows, names, weights, share, cap)
+    queued = _queue(rows, names, weights, share, cap)
     size, total, target, ahead = (F.col(names[k]) for k in ("size", "source_size", "target", "ahead"))
     passes = max(1, int(-(-cap // 1)))
     whole = F.floor(target)
