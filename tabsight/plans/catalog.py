@@ -657,10 +657,6 @@ def _a1(spark, sf):
     return rounded(read_csv(spark, path))
 
 
-def _lineitem_features(spark, sf):
-    return li(spark, sf).drop("l_shipdate")
-
-
 def _quality_table(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
     return load(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id").drop("doc_id")
@@ -669,8 +665,8 @@ def _quality_table(spark, sf):
 @register("i_regression_leaderboard")
 def _i_reg(spark, sf):
     from .analyze import analyze
-    a = analyze(_lineitem_features(spark, sf), target="l_extendedprice",
-                models=["linear_regression", "ridge", "lasso", "decision_tree"], n_iter=1,
+    a = analyze(li(spark, sf), target="l_extendedprice",
+                models=["linear_regression", "ridge", "lasso", "decision_tree"], n_iter=2, folds=2,
                 run_views=False, post_training=False, refit=False)
     return a.leaderboard.select("model", "position", "is_best")
 
@@ -715,7 +711,7 @@ register("d26_qq")(lambda spark, sf: rounded(views.qq_points(li(spark, sf), "l_q
 @register("l1_score_batch")
 def _l1(spark, sf):
     from .analyze import analyze, score
-    cust = load(spark, sf, "customer").drop("c_name")
+    cust = load(spark, sf, "customer")
     a = analyze(cust, target="c_mktsegment", models=["logistic_regression", "decision_tree"], n_iter=1,
                 run_views=False, post_training=False)
     return score(a, cust.drop("c_mktsegment")).select("c_custkey", "predicted_value")
@@ -725,12 +721,11 @@ def _l1(spark, sf):
 def _l4(spark, sf):
     from ..streaming.score_stream import read_stream, run_to_table, score_stream
     from .analyze import analyze
-    cust = load(spark, sf, "customer").drop("c_name")
+    cust = load(spark, sf, "customer")
     a = analyze(cust, target="c_mktsegment", models=["logistic_regression"], n_iter=1,
                 run_views=False, post_training=False)
     src = table_path(sf, "customer")
-    stream = read_stream(spark, sf, spark.read.parquet(src).schema, glob="customer.parquet").drop(
-        "c_name", "c_mktsegment")
+    stream = read_stream(spark, sf, spark.read.parquet(src).schema, glob="customer.parquet").drop("c_mktsegment")
     out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     q = run_to_table(score_stream(a, stream).select("c_custkey", "predicted_value"), out, ckpt)
     q.awaitTermination()
@@ -741,7 +736,7 @@ def _l4(spark, sf):
 def _a6(spark, sf):
     from ..sources.sinks import load_model, save_model
     from .analyze import analyze
-    cust = load(spark, sf, "customer").drop("c_name")
+    cust = load(spark, sf, "customer")
     a = analyze(cust, target="c_acctbal", models=["linear_regression"], n_iter=1, run_views=False,
                 post_training=False)
     path = scratch_path(spark, "feature_model")
