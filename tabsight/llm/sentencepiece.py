@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from tabsight.llm.common import batches_of, free_name, per_process, written
 
 TABLE_WORDS = 1 << 18
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 SLICE_ROWS = 500
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
