@@ -4,6 +4,8 @@ KMeans candidate (J1).  Silhouette is Spark's O(n k) squared-Euclidean
 form."""
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -29,30 +31,39 @@ class Sweep:
         return k_best
 
 
-def _silhouette(pred: DataFrame, col: str = "prediction") -> float:
-    """0.0 when fewer than 2 clusters came out (reference's sweep rule)."""
-    if pred.select(col).distinct().limit(2).count() < 2:
-        return 0.0
+def _silhouette(pred: DataFrame, n_rows: int, col: str = "prediction") -> float:
+    """-1 when fewer than 2 clusters came out, or every row is its own."""
+    found = pred.groupBy(col).count().count()
+    if found < 2 or found >= n_rows:
+        return -1.0
     ev = ClusteringEvaluator(featuresCol="features", predictionCol=col, metricName="silhouette",
                              distanceMeasure="squaredEuclidean")
     return float(ev.evaluate(pred))
 
 
-def k_sweep(data: DataFrame, n_rows: int, max_k: int = 10, seed: int = 42) -> Sweep:
-    """k = 2..min(max_k, n-1)."""
-    top = min(max_k, n_rows - 1)
-    ks, inertia, sil, models = [], [], [], {}
-    for k in range(2, top + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=20).fit(data)
-        ks.append(k)
-        inertia.append(float(m.summary.trainingCost))
-        sil.append(_silhouette(m.transform(data)))
-        models[k] = m
-    return Sweep(ks, inertia, sil, models)
+def best_kmeans(data: DataFrame, k: int, seeds: list[int]):
+    """The fit with the lowest inertia over several starts."""
+    fits = [KMeans(k=k, seed=s, featuresCol="features", maxIter=20).fit(data) for s in seeds]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def k_sweep(data: DataFrame, n_rows: int, max_k: int = 10, seed: int = 42, n_init: int = 3, threads: int = 4) -> Sweep:
+    """k = 2..min(max_k, n-1); ``data`` is kept by the caller.
+    The fits are many small jobs, so several ks run at a time."""
+    ks = list(range(2, min(max_k, n_rows - 1) + 1))
+    seeds = [seed + i for i in range(n_init)]
+
+    def one(k: int):
+        m = best_kmeans(data, k, seeds)
+        return m, float(m.summary.trainingCost), _silhouette(m.transform(data), n_rows)
+
+    with ThreadPoolExecutor(threads) as pool:
+        fits = list(pool.map(one, ks))
+    return Sweep(ks, [f[1] for f in fits], [f[2] for f in fits], {k: f[0] for k, f in zip(ks, fits)})
 
 
 def fit_clusterers(data: DataFrame, sweep: Sweep, models: list[str] | None = None, seed: int = 42,
-                   gmm_max_k: int = 5) -> dict:
+                   gmm_max_k: int = 10) -> dict:
     """KMeans at the best k, bisecting k-means (divisive stand-in
     for agglomerative) at the best k, Gaussian mixture chosen by BIC."""
     out = {}
@@ -78,7 +89,6 @@ def best_gmm(data: DataFrame, ks, seed: int = 42):
     n = data.count()
     d = len(data.select("features").first()[0])
     best, best_bic = None, None
-    import math
     for k in ks:
         m = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data)
         ll = m.summary.logLikelihood
