@@ -16,8 +16,8 @@ Encoding.  A byte-level BPE encodes chunks between white space or marks
 independently (its split pattern never joins text across a chunk border), so a
 task encodes each distinct chunk once with the library and looks the rest up; the memory is
 bounded (a full table takes no more, long chunks are never kept).
-Texts with control characters on which white-space rules differ are encoded
-whole.
+Texts with control characters on which white-space rules differ, and texts that
+hold an added token of the file (``<|endoftext|>``), are encoded whole.
 
 Defined cases: null and empty texts hold only the end id; equal doc_ids are
 ordered by a hash of the text; null doc_ids come first; an empty table gives
@@ -75,9 +75,11 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(model)
-        self.tok.encode_special_tokens = True
         setup = json.loads(model)
         pre = setup.get("pre_tokenizer") or {}
+        # an added token is cut out before the split pattern is; a normalizer may make one of any text
+        added = [t["content"] for t in setup.get("added_tokens") or []]
+        self.uncut = [*_UNLIKE, *(added if setup.get("normalizer") is None else [""] * bool(added))]
         # then a plain chunk is one piece, and the model may be asked directly
         self.direct = (setup.get("normalizer") is None and pre.get("type") == "ByteLevel"
                        and not pre.get("add_prefix_space") and pre.get("use_regex", True))
@@ -112,7 +114,7 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as int32 arrays."""
         for text in texts:
-            if any(map(text.__contains__, _UNLIKE)):
+            if any(map(text.__contains__, self.uncut)):
                 got = self.whole(text)
             elif "  " in text:
                 got = self.chunks(text)

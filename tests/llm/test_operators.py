@@ -502,6 +502,17 @@ def test_encoder_equals_the_library(texts):
 _ENCODERS = []
 
 
+def test_added_tokens_equal_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "x <|endoftext|><|endoftext|>\n", "<|endoftext|",
+             "plain words", "tail <|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["ids"]) for r in token_files.encode(docs).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert got[0] == [505, 220, 50256, 734, 2]
+
+
 # ------------------------------------------------------------- op9
 
 def _measures_brute(text):
