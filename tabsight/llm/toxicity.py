@@ -121,7 +121,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
                 else:
                     pending = [p for p in pending if i - p <= 5] + [i]
     spelled = sum(s in SEED or s in lexicon for s in _spelled(tokens)) if any(len(t) == 1 for t in counts) else 0
-    letters = sum(map(str.isalpha, text)) if len(text) < 4096 else len(text)
+    letters = sum(map(str.isalpha, text))
     caps = sum(map(str.isupper, text)) if text != low else 0
     upper = sum(1 for w in text.split() if len(w) > 1 and w.isupper()) if caps else 0
     return [seed / n, math.log1p(seed), term / n, stem / n, weight / n, math.log1p(term + stem), near / n, person / n,

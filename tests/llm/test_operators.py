@@ -245,6 +245,11 @@ def test_toxicity_features_see_disguise():
     assert toxicity.features(None, {}) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_toxicity_rates_do_not_jump_with_length():
+    short, long = (dict(zip(toxicity.FEATURES, toxicity.features("ABc 12, de. " * n, {}))) for n in (10, 1000))
+    assert short["capitals"] == long["capitals"] == 0.4
+
+
 # ------------------------------------------------------------- op5
 
 def _fp_brute(text):
