@@ -11,8 +11,9 @@ Labelled rows are split by crc32(doc_id as text) mod 5: 0 is held out and never
 read; 1 and 2 give the learned lexicon; 3 trains the trees; 4 fits the
 calibration, so no part is fitted on rows another part has already seen.  The
 labelled rows used are a hash sample of at most ``LABELLED_ROWS`` (the
-documented bound of the fit); scoring covers every row.  Labels, lang, source
-and doc_id are never features.
+documented bound of the fit), half of it kept for each label where there are
+so many; trees and calibration weight the rows back to the table's shares.
+Scoring covers every row.  Labels, lang, source and doc_id are never features.
 
 Defined cases: null and empty texts get an all-zero row and the score the
 model gives it; labels outside 0/1 or without a document are ignored, of
@@ -170,13 +171,19 @@ def remainder(doc_id: Column) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """The bounded sample of labelled rows outside the held-out fold:
-    (part, text, toxic)."""
+    (part, text, toxic, weight).  A label rarer than half the bound is kept
+    whole; ``weight`` is the number of labelled rows a row stands for."""
     good = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    sample = good.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), "doc_id").limit(most)
+    n = {0: 0, 1: 0, **{r["toxic"]: r["n"] for r in good.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}}
+    order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.col("doc_id")]
+    kept = {t: min(n[t], max(most // 2, most - n[1 - t])) for t in (0, 1)}
+    first, second = [good.filter(F.col("toxic") == t).orderBy(*order).limit(kept[t])
+                     .withColumn("weight", F.lit(n[t] / max(1, kept[t]))) for t in (0, 1)]
+    sample = first.union(second)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id")    # at most ``most`` ids
-    return written(rows.select(remainder(F.col("doc_id")).alias("part"), "text", "toxic").repartition(12), "toxic_rows")
+    return written(rows.select(remainder(F.col("doc_id")).alias("part"), "text", "toxic", "weight").repartition(12), "toxic_rows")
 
 
 class ToxicityModel:
@@ -208,14 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = learn_lexicon(rows.filter("part in (1, 2)").select("text", "toxic"))
     if min(n.get((p, t), 0) for p in (3, 4) for t in (0, 1)) < MIN_CLASS:
         return ToxicityModel(lexicon, None, None)
-    made = rows.filter("part in (3, 4)").select("part", F.col("toxic").cast("double").alias("label"),
+    made = rows.filter("part in (3, 4)").select("part", F.col("toxic").cast("double").alias("label"), "weight",
                                                 _rows(lexicon)("text").alias("f"))
     made = _assembled(written(made, "toxic_features"))
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed,
+    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed,
                         subsamplingRate=0.8, minInstancesPerNode=5)
-    model = gbt.fit(made.filter("part = 3").select("x", "label").repartition(6))
-    rest = model.transform(made.filter("part = 4")).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(rest)
+    model = gbt.fit(made.filter("part = 3").select("x", "label", "weight").repartition(6))
+    rest = model.transform(made.filter("part = 4")).select("label", "weight", vector_to_array("probability")[1].alias("raw"))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(rest)
     return ToxicityModel(lexicon, model, calibration)
 
 

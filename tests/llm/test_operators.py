@@ -245,6 +245,19 @@ def test_toxicity_features_see_disguise():
     assert toxicity.features(None, {}) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_toxicity_fit_keeps_rare_labels(spark):
+    docs, labels = _toxic_tables(spark, 3000)
+    rare = labels.filter("toxic = 0 or doc_id % 12 = 0")      # about 250 toxic rows
+    rows = toxicity.labelled(docs, rare, "doc_id", "text", 400).groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    got = {r["toxic"]: (r["n"], round(r["w"])) for r in rows.collect()}
+    all_rows = {r["toxic"]: r["n"] for r in toxicity.labelled(docs, rare, "doc_id", "text", 10_000).groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(n for n, _ in got.values()) == 400 and got[1][0] == min(200, all_rows[1])
+    assert {t: w for t, (_, w) in got.items()} == all_rows
+    assert toxicity.fit(docs, rare, most=400, trees=2, depth=2).trees is not None
+
+
 def test_toxicity_rates_do_not_jump_with_length():
     short, long = (dict(zip(toxicity.FEATURES, toxicity.features("ABc 12, de. " * n, {}))) for n in (10, 1000))
     assert short["capitals"] == long["capitals"] == 0.4
