@@ -2,8 +2,10 @@
 
 Vectors become integers, floor(scale * x).  Candidates are sorted into buckets
 of similar length (norm) and cut into blocks of ``BLOCK`` rows; the stated
-queries are cut into blocks too, and each query block meets candidate blocks
-by an equi-join on the block number, never row by row.
+queries are cut into blocks too, and query blocks meet candidate blocks by an
+equi-join on the block numbers, never row by row.  A task holds one candidate
+block and at most ``TOGETHER`` query blocks at a time, so nothing it loads grows
+with the table; a candidate block is repeated for every such group.
 
 Two rounds.  Round one scores every query against seed blocks (the longest
 vectors and one spread sample block) and so gives each query a lower bound
@@ -37,6 +39,7 @@ from tabsight.llm.common import written
 
 BLOCK = 8192         # candidates of a block
 QUERY_BLOCK = 1024   # queries of a block
+TOGETHER = 8         # query blocks that meet a candidate block in one group: as many rows as BLOCK
 HIGH_COSINE = 0.75   # local threshold from which coordinates prune
 FOCUS = 3            # coordinates looked at
 SLACK = 1e-9
@@ -194,7 +197,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
               .withColumn("by_hash", order(Window.partitionBy("dim").orderBy(F.xxhash64("bucket", "block"))))
               .filter("by_norm = 1 or by_hash = 1").select("dim", "bucket", "block"))
     none = asks.withColumn("theta", F.lit(None).cast("long"))
-    seeds = _meet(cands, none, firsts, k)
+    seeds = _meet(cands, none, firsts.join(asks.select("dim", "qblock").distinct(), "dim"), k)
     theta = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")) \
         .select("query_id", F.try_element_at("s", F.lit(k)).alias("theta"))
     bounded = written(asks.join(theta, asks["vec_id"] == theta["query_id"], "left").drop("query_id"), "topk_bounds")
@@ -213,10 +216,12 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
 
 def _meet(cands: DataFrame, asks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Score query blocks against candidate blocks.  ``pairs`` names the blocks
-    that meet (with or without ``qblock``); a task gets one candidate block
-    and the query blocks that meet it."""
-    keys = ["dim", "bucket", "block"]
-    routed = asks.join(pairs, ["dim", "qblock"] if "qblock" in pairs.columns else ["dim"])
+    that meet; a group holds one candidate block and at most ``TOGETHER`` of
+    the query blocks that meet it."""
+    keys = ["dim", "bucket", "block", "qgroup"]
+    qgroup = F.floor(F.col("qblock") / TOGETHER).cast("int").alias("qgroup")
+    routed = asks.join(pairs, ["dim", "qblock"]).select("*", qgroup)
+    repeated = cands.join(pairs.select(*keys[:3], qgroup).distinct(), keys[:3])
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -229,4 +234,4 @@ def _meet(cands: DataFrame, asks: DataFrame, pairs: DataFrame, k: int) -> DataFr
                 out += search_block(_matrix(part["v"], dim), part["vec_id"].to_numpy(np.int64), theta, c, cids, k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return cands.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(score, _OUT)
+    return repeated.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(score, _OUT)

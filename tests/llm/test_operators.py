@@ -127,6 +127,30 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(none, none).collect() == []
 
 
+def test_top_k_groups_do_not_grow_with_the_queries(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(size=3)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    plain, most = PandasCogroupedOps.applyInPandas, 100
+
+    def watched(self, func, schema):
+        def run(key, left, right):
+            assert len(right) <= most, f"{len(right)} queries in one group"
+            return func(key, left, right)
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
+    got = topk.top_k(df, df.filter("vec_id % 2 = 0"), buckets=2).collect()
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
+    want = []
+    for q in range(0, 600, 2):
+        best = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_search_block_prunes_without_loss():
     rng = np.random.default_rng(1)
     for trial in range(60):
