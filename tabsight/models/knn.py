@@ -1,28 +1,30 @@
-"""K nearest neighbours against a bounded set of labelled rows.
+"""K nearest neighbours, exact over all labelled rows.
 
-An exact neighbour join of two large tables needs every pair, so the model
-keeps at most ``max_rows`` labelled rows (a documented bound, chosen by a
-portable hash of the row key); every row to be predicted is then scored
-against all of them in array blocks, inside its own task.
+An exact neighbour join needs every pair: labelled rows and rows to be
+predicted are dealt into blocks, every pair of blocks meets in one task, each
+returns at most k rows a query, and the k best of all blocks vote.  With
+``max_rows`` only so many labelled rows are kept (chosen by a portable hash of
+the row key) and scored inside the task of the row to be predicted.
 """
 from __future__ import annotations
 
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ROWS = 5_000
+from ..session import cut_lineage
+
 BLOCK = 2_048
 
 
 class NearestNeighbours:
-    """``k`` is cut to the number of kept rows.  Ties in distance go to the row
+    """``k`` is cut to the number of labelled rows.  Ties in distance go to the row
     that comes first in hash order, ties in the vote to the smallest label."""
 
-    def __init__(self, features: list[str], label: str, k: int = 5, max_rows: int = MAX_ROWS, classify: bool = True):
+    def __init__(self, features: list[str], label: str, k: int = 5, max_rows: int | None = None, classify: bool = True):
         self.features, self.label, self.k, self.max_rows, self.classify = features, label, k, max_rows, classify
         self.points, self.labels = np.empty((0, len(features))), []
 
@@ -31,11 +33,16 @@ class NearestNeighbours:
         rows = (train.filter(" and ".join(f"`{c}` is not null" for c in [*self.features, self.label]))
                 .select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.features)],
                         F.col(self.label).alias("y"), order.alias("o"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(key)])
-                .orderBy("o", *[f"k{i}" for i in range(len(key))]).limit(self.max_rows).collect())
+        )
+        self.kind = train.schema[self.label].dataType if self.classify else T.DoubleType()
+        self.order = ["o", *[f"k{i}" for i in range(len(key))]]
+        if self.max_rows is None:
+            self.train = cut_lineage(rows)
+            return self
+        rows = rows.orderBy(*self.order).limit(self.max_rows).collect()
         self.points = np.array([[r[f"x{i}"] for i in range(len(self.features))] for r in rows], dtype=float).reshape(
             len(rows), len(self.features))
         self.labels = [r["y"] for r in rows]
-        self.kind = train.schema[self.label].dataType if self.classify else T.DoubleType()
         return self
 
     def _predict(self, x: np.ndarray) -> list:
@@ -57,7 +64,53 @@ class NearestNeighbours:
                     out.append(float(np.mean(ys)))
         return out
 
+    def _joined(self, df: DataFrame) -> DataFrame:
+        """Every block of ``df`` against every block of labelled rows."""
+        xs, order, k = [f"x{i}" for i in range(len(self.features))], self.order, self.k
+        asked = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))     # ids that stay
+        blocks = [max(1, -(-x.count() // BLOCK)) for x in (self.train, asked)]
+        held = self.train.withColumn("b", F.pmod(F.xxhash64(*order), F.lit(blocks[0])).cast("int"))
+        rows = asked.select("_row", *[F.col(c).cast("double").alias(x) for c, x in zip(self.features, xs)],
+                            F.pmod(F.xxhash64("_row"), F.lit(blocks[1])).cast("int").alias("q"))
+        held = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
+        rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
+        out = T.StructType([T.StructField("_row", T.LongType()), T.StructField("d", T.DoubleType()),
+                            *[self.train.schema[c] for c in ("y", *order)]])
+
+        def meet(left, right):
+            import pandas as pd
+            if not len(left) or not len(right):
+                return pd.DataFrame({f.name: [] for f in out.fields})
+            left = left.sort_values(order, kind="stable")
+            c, x = left[xs].to_numpy(dtype=float), right[xs].to_numpy(dtype=float)
+            found = []
+            for i in range(0, len(x), 256):
+                part = x[i:i + 256]
+                d = np.zeros((len(part), len(c)))
+                for j in range(x.shape[1]):
+                    gap = part[:, j, None] - c[None, :, j]
+                    d += gap * gap
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                got = left[["y", *order]].iloc[near.ravel()].reset_index(drop=True)
+                got.insert(0, "d", np.take_along_axis(d, near, axis=1).ravel())
+                got.insert(0, "_row", np.repeat(right["_row"].to_numpy()[i:i + 256], near.shape[1]))
+                found.append(got)
+            return pd.concat(found)
+
+        near = held.groupBy("b", "q").cogroup(rows.groupBy("b", "q")).applyInPandas(meet, out)
+        best = Window.partitionBy("_row").orderBy(F.col("d").asc_nulls_last(), *order)
+        near = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+        if self.classify:
+            votes = near.groupBy("_row", "y").agg(F.count(F.lit(1)).alias("c"))
+            first = Window.partitionBy("_row").orderBy(F.col("c").desc(), "y")
+            votes = votes.withColumn("n", F.row_number().over(first)).filter("n = 1").select("_row", F.col("y").alias("prediction"))
+        else:
+            votes = near.groupBy("_row").agg(F.avg("y").alias("prediction"))
+        return asked.join(votes, "_row", "left").drop("_row")
+
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.max_rows is None:
+            return self._joined(df)
         model, features = self, self.features
 
         @F.pandas_udf(self.kind)

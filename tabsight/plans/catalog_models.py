@@ -102,12 +102,22 @@ def _scores(spark, sf):
  w AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c DESC, y) AS k FROM v)
  SELECT c_custkey, y AS prediction FROM w WHERE k = 1""")
 def _knn(spark, sf):
-    d = load(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"),
-                                           F.col("c_nationkey").cast("double").alias("z"), "c_mktsegment")
+    d = _knn_rows(spark, sf)
     m = NearestNeighbours(["x", "z"], "c_mktsegment", k=5, max_rows=300).fit(d, ["c_custkey"])
     return m.transform(d).select("c_custkey", "prediction")
 
 
+@register("i5_knn_all")
+def _knn_all(spark, sf):
+    d = _knn_rows(spark, sf)
+    return NearestNeighbours(["x", "z"], "c_mktsegment", k=5).fit(d, ["c_custkey"]).transform(d).select("c_custkey", "prediction")
+
+
+def _knn_rows(spark, sf):
+    return load(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"),
+                                              F.col("c_nationkey").cast("double").alias("z"), "c_mktsegment")
+
+
 # ---------------------------------------------------------------- H4
 base.SQL["h4_feature_report"] = """WITH lv AS (SELECT DISTINCT c_mktsegment AS v FROM customer),
  d AS (SELECT v FROM lv WHERE v <> (SELECT min(v) FROM lv)),

@@ -79,3 +79,26 @@ def test_adaboost_learns_planted_rule(spark):
     model = AdaBoostClassifier(n_rounds=3, n_classes=2).fit(data)
     acc = model.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc > 0.99
+
+
+def test_neighbours_come_from_all_labelled_rows(spark, monkeypatch):
+    import hashlib
+    from collections import Counter
+    from tabsight.models import knn
+    monkeypatch.setattr(knn, "BLOCK", 64)                # several blocks on both sides
+    rows = [(i, float(i * 37 % 101), float(i * 53 % 29), "abc"[i * 7 % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, y string")
+    got = {r["id"]: r["prediction"] for r in knn.NearestNeighbours(["x", "z"], "y", k=5).fit(df, ["id"]).transform(df).collect()}
+    tie = {i: hashlib.md5(f"42|{i}".encode()).hexdigest() for i, *_ in rows}
+    for i, x, z, _ in rows:
+        near = sorted(rows, key=lambda r: ((r[1] - x) ** 2 + (r[2] - z) ** 2, tie[r[0]]))[:5]
+        votes = Counter(r[3] for r in near)
+        assert got[i] == min(votes, key=lambda y: (-votes[y], y))
+
+
+def test_registered_neighbours_without_a_bound(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    got = E.queries()["i5_knn_all"](spark, SF_SMALL)
+    assert got.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    assert got.filter("prediction is null").count() == 0
