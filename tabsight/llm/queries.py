@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import licenses, mixing, pii, quality, sentencepiece, simhash, token_files, topk, toxicity, warc
+from tabsight.llm import (codes, jaccard, licenses, mixing, pii, quality, ranked, sentencepiece, simhash, token_files, topk,
+                          toxicity, warc)
 from tabsight.llm.common import load
 from tabsight.session import scratch_path
 
@@ -61,11 +62,78 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc, op8_token_files, op9_quality, op10_licenses)}
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"), n=5, percent=80)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(load(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_pii, op4_toxicity, op5_simhash, op6_mixing, op7_warc,
+                                   op8_token_files, op9_quality, op10_licenses, op11_ranked, op12_jaccard, op13_codes)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')"
+
+
+def _codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round written out: nearest entries, then floored means."""
+    near = lambda book: f"""SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+            SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN {book} b ON p.part = b.part) GROUP BY 1, 2"""
+    out = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, g.part, list_slice(x, g.part * len(x) // {parts} + 1, (g.part + 1) * len(x) // {parts}) AS x
+            FROM v, (SELECT unnest(range({parts})) AS part) g),
+        b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS r
+            FROM p) WHERE r <= {entries})"""]
+    for i in range(rounds):
+        out.append(f"""a{i} AS MATERIALIZED ({near(f'b{i}')}),
+        m{i} AS (SELECT part, entry, list(s ORDER BY j) AS x FROM (SELECT a.part, a.entry, j, CAST(floor(sum(p.x[j]) / count(*)) AS BIGINT) AS s
+            FROM a{i} a JOIN p USING (vec_id, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS j) WHERE j <= len(p.x)
+            GROUP BY ALL) GROUP BY 1, 2),
+        b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))""")
+    return "WITH " + ",\n        ".join(out) + f""",
+        f AS MATERIALIZED ({near(f'b{rounds}')}),
+        c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY 1),
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM c JOIN v USING (vec_id), h"""
+
+
 SQL: dict[str, str] = {
+    "op11_ranked": f"""
+        WITH d AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)),
+        s AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS l FROM d),
+        f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM d GROUP BY 1, 2),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+              FROM f GROUP BY 1),
+        q AS (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark),
+        r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * (SELECT docs FROM s)) // (SELECT l FROM s)))))::BIGINT
+              AS score FROM q JOIN w USING (term) JOIN f USING (term) GROUP BY 1, 2),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 20""",
+    "op12_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM w),
+        u AS MATERIALIZED (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM s),
+        l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        c AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.other = l.a)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(other) FROM c WHERE c.doc_id = s.doc_id) AS component_id FROM s""",
+    "op13_codes": _codes_sql(),
     "op6_mixing": f"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
                      ('0x' || substr(md5('6:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
