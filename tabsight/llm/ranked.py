@@ -35,6 +35,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,42 +94,44 @@ class _Block:
         self.sizes.append(n)
         self.entries += len(hashes)
 
-    def row(self) -> dict:
+    def row(self) -> pa.RecordBatch:
         width = -(-len(self.keys) // 8)
-        slices = np.zeros((self.bits, width), dtype=np.uint8)
+        slices = np.zeros(self.bits * width, dtype=np.uint8)
         doc = np.concatenate(self.docs)
         at = positions(np.concatenate(self.hashes), self.bits)
         bit = (np.uint8(1) << (doc & 7).astype(np.uint8))
         for j in range(HASHES):
-            np.bitwise_or.at(slices, (at[:, j], doc >> 3), bit)
-        return {"bits": self.bits, "keys": np.array(self.keys, dtype="<i8").tobytes(),
-                "sizes": np.array(self.sizes, dtype="<i8").tobytes(), "slices": slices.tobytes(),
-                "n_docs": len(self.keys), "n_terms": int(sum(self.sizes))}
+            np.bitwise_or.at(slices, at[:, j] * width + (doc >> 3), bit)
+        return _batch(bits=[self.bits], keys=[np.array(self.keys, dtype="<i8").tobytes()],
+                      sizes=[np.array(self.sizes, dtype="<i8").tobytes()], slices=[slices.tobytes()],
+                      n_docs=[len(self.keys)], n_terms=[int(sum(self.sizes))])
 
 
 _INDEX = "term binary, df long, bits long, keys binary, sizes binary, slices binary, n_docs long, n_terms long"
-_COLUMNS = [c.split()[0] for c in _INDEX.split(", ")]
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in ("df", "bits", "n_docs", "n_terms"):
-        out[c] = out[c].astype("Int64")
-    return out
+def _batch(**columns) -> pa.RecordBatch:
+    """Rows of the index; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    fields = [c.split() for c in _INDEX.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in fields],
+                                      names=[c for c, _ in fields])
 
 
-def _build(frames):
+def _build(batches):
     """Term counts and signature blocks of a task's documents."""
     df, hash_of, blocks = Counter(), {}, {}
     digest = xxhash.xxh64_intdigest
-    for pdf in frames:
-        for key, text in zip(pdf["key"], pdf["text"]):
+    for batch in batches:
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+            text = text.as_py()
             words = terms(text)
             if not words:
                 continue
             count = Counter(words)
             df.update(count.keys())
-            for w in count.keys() - hash_of.keys():
+            for w in [w for w in count if w not in hash_of]:
                 hash_of[w] = digest(w)
             h = np.fromiter(map(hash_of.__getitem__, count), np.uint64, len(count))
             tf = np.fromiter(count.values(), np.int64, len(count))
@@ -143,14 +146,14 @@ def _build(frames):
             block = blocks.setdefault(bits, _Block(bits))
             block.add(key, len(words), entries)
             if len(block.keys) >= BLOCK_DOCS or block.entries >= BLOCK_ENTRIES:
-                yield _frame([blocks.pop(bits).row()])
+                yield blocks.pop(bits).row()
             if len(df) >= VOCABULARY:
-                yield _frame([{"term": t, "df": n} for t, n in df.items()])
+                yield _batch(term=list(df), df=list(df.values()))
                 df, hash_of = Counter(), {}
     for block in blocks.values():
-        yield _frame([block.row()])
+        yield block.row()
     if df:
-        yield _frame([{"term": t, "df": n} for t, n in df.items()])
+        yield _batch(term=list(df), df=list(df.values()))
 
 
 class Index:
@@ -160,12 +163,16 @@ class Index:
         self.spark: SparkSession = docs.sparkSession
         text = F.col(text_col).cast("string")
         self.docs = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
-        rows = written(self.docs.select("key", "text").mapInPandas(_build, _INDEX), "ranked_index")
+        rows = written(self.docs.select("key", "text").mapInArrow(_build, _INDEX), "ranked_index")
         self.blocks = rows.filter("n_docs is not null").select("bits", "keys", "sizes", "slices", "n_docs", "n_terms")
-        self.frequencies = rows.filter("df is not null").groupBy("term").agg(F.sum("df").alias("df"))
+        self.counted = rows.filter("df is not null").select("term", "df")
         total = self.blocks.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).first()
         self.n_docs, self.n_terms = total["n"] or 0, total["l"] or 0
 
+    def frequencies(self, asked: DataFrame) -> DataFrame:
+        """(term, df) of the terms of ``asked``."""
+        return self.counted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+
 
 # ---------------------------------------------------------------- bounds
 
@@ -306,8 +313,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     index = Index(docs, id_col, text_col)
     asks = written(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"),
                                 F.col(item_text).cast("string").alias("text")), "ranked_items")
-    held = written(asks.select("item", "text").mapInPandas(_item_terms, "item long, term binary, times long")
-                   .join(index.frequencies, "term"), "ranked_item_terms")
+    wanted = written(asks.select("item", "text").mapInPandas(_item_terms, "item long, term binary, times long"), "ranked_terms")
+    held = written(wanted.join(index.frequencies(wanted), "term"), "ranked_item_terms")
     size = held.agg(F.count_distinct("item").alias("items"), F.count(F.lit(1)).alias("terms")).first()
     blocks = max(-(-size["items"] // ITEMS), -(-size["terms"] // ITEM_TERMS))
     found = None

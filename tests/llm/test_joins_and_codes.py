@@ -95,7 +95,7 @@ def test_bounds_exclude_most_documents_and_no_match():
     asked = ranked.Asked([(0, t, n, df[t]) for t, n in Counter(ranked.terms(texts[3])).items()], len(texts), total)
     loose = 0
     for b in blocks.values():
-        row = b.row()
+        row = b.row().to_pylist()[0]
         sizes = np.frombuffer(row["sizes"], dtype="<i8")
         bound = asked.bounds(row["bits"], sizes, row["slices"])[0]
         for i, n, u in zip(b.keys, sizes, bound):
