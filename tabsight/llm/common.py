@@ -14,6 +14,7 @@ from tabsight.session import cut_lineage, scratch_path, table_path
 # The word rule of the contracts: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,14 @@ def word_count(text: Column) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, so later
     readers (and retries after a lost executor) start from files."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    held = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")       # the files are the result: its shuffles may go at once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -12,13 +12,15 @@ hash sample; it decides the order only, never what is compared), tiles with the
 same documents are compared once, and equal sets are one point.
 
 In a tile hashed bitmaps come first: a bit that only one side has is an
-n-gram that only this side has, so bit counts bound the overlap from above.
-Only documents with a partner that passes go on; their sorted arrays are made
-again from the texts and intersected.  A tile emits a forest of its links, so
-large groups of copies stay linear.  First each document meets one tile (its
-largest, in blocks that share a few documents), then tiles that still hold
-documents of different components are compared whole.  Tiles above a bounded
-number of rows or bytes are cut into blocks that meet in block pairs.
+n-gram that only this side has, so bit counts bound the overlap from above.  A
+tile emits a forest of the pairs that pass; the components of all forests hold
+every link, and each document is in one of them.  Their texts are read again,
+and inside a component the sorted arrays of pairs that pass the bitmaps are
+intersected, until its documents are joined or all pairs are done; what leaves
+the task is a forest of links, so large groups of copies stay linear.  Tiles
+and components above a bounded number of rows or bytes are cut into blocks:
+components first compare blocks that share a few documents, and only those
+that still hold separate documents meet in block pairs.
 
 Defined cases: null, empty and wordless texts have no set and link with
 nothing; with fewer than n words the whole sequence is the one n-gram; repeated
@@ -33,7 +35,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import connected_components, written
@@ -74,22 +76,41 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(held, bitorder="little").view(np.uint64)
 
 
-def folded(maps: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of one tile at its shortest length: halves are ORed together."""
-    words = min(map(len, maps))
-    return np.stack([m if len(m) == words else np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in maps])
-
-
 def needed(a, b, percent: int):
     """Least overlap of two linked sets of sizes a and b."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def possible(maps: np.ndarray, sizes: np.ndarray, ones: np.ndarray, i: int, js, percent: int) -> np.ndarray:
-    """Which of ``js`` the bit counts leave as partners of i."""
-    both = np.bitwise_count(maps[i] & maps[js]).sum(axis=1, dtype=np.int64)
-    most = np.minimum(sizes[i] - (ones[i] - both), sizes[js] - (ones[js] - both))
-    return most >= needed(sizes[i], sizes[js], percent)
+class Maps:
+    """Bitmaps of several sets; a longer one is folded (halves ORed) to meet a
+    shorter one."""
+
+    def __init__(self, maps: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.words = np.fromiter(map(len, maps), np.int64, len(maps))
+        self.held, self.place = {}, np.zeros(len(maps), dtype=np.int64)
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.held[w] = np.stack([maps[i] for i in at])
+
+    def _at(self, rows: np.ndarray, have: int, words: int) -> np.ndarray:
+        got = self.held[have][self.place[rows]]
+        return got if have == words else np.bitwise_or.reduce(got.reshape(len(rows), -1, words), axis=1)
+
+    def possible(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of ``js`` that the bit counts leave as partners of i."""
+        ok, mine = np.zeros(len(js), dtype=bool), int(self.words[i])
+        for w in np.unique(self.words[js]).tolist():
+            some = np.flatnonzero(self.words[js] == w)
+            least = min(w, mine)
+            left, right = self._at(np.array([i]), mine, least), self._at(js[some], w, least)
+            both = np.bitwise_count(left & right).sum(axis=1, dtype=np.int64)
+            only_left = np.bitwise_count(left).sum(dtype=np.int64) - both
+            only_right = np.bitwise_count(right).sum(axis=1, dtype=np.int64) - both
+            a, b = self.sizes[i], self.sizes[js[some]]
+            ok[some] = np.minimum(a - only_left, b - only_right) >= needed(a, b, self.percent)
+        return js[ok]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -143,162 +164,120 @@ def _described(late: np.ndarray, n: int, percent: int):
 
 
 def _arrays(n: int):
-    """Sorted arrays of the texts whose digest is the point's."""
+    """Sorted arrays and bitmaps of the texts whose digest is the point's."""
     def run(frames):
         for pdf in frames:
             out = []
             for rid, text, digest in zip(pdf["rid"], pdf["text"], pdf["digest"]):
                 h = ngram_set(text, n)
                 if xxhash.xxh3_128_digest(h.tobytes()) == bytes(digest):
-                    out.append((rid, h.tobytes()))
-            yield pd.DataFrame(out, columns=["rid", "hashes"])
+                    out.append((rid, h.tobytes(), bitmap(h).tobytes()))
+            yield pd.DataFrame(out, columns=["rid", "hashes", "bits"])
     return run
 
 
 # ---------------------------------------------------------------- tiles
 
-def tiles(points: DataFrame, percent: int) -> DataFrame:
-    """(key, band, own, rid, n): documents of every tile in which a pair can meet."""
-    rows = points.select("rid", F.col("n").alias("n"), F.explode("prefix").alias("key"))
+def tiles(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(tile, own, rid, n, c, total): documents of every tile in which a pair can
+    meet, from (rid, n, prefix); c rows with total n-grams a tile."""
+    rows = prefixes.select("rid", "n", F.explode("prefix").alias("key"))
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rid")).alias("x"),
                                   F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).filter(F.col("c") > 1)
     one = met.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")     # tiles of the same documents: one
     # bands a little wider than the ratio, so that rounding parts no pair by two bands
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent * 1.0001 if percent < 100 else 1.0001)).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent * 1.0001)).cast("int")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
                              F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("b")
-    rows = written(rows.join(one, "key").select("key", "rid", "n", both).select("key", "b.band", "b.own", "rid", "n"), "jaccard_tiles")
-    return rows.join(_worth(rows), ["key", "band"])
-
-
-def _worth(rows: DataFrame) -> DataFrame:
-    """Tiles with two rows, one of them of the own band."""
-    size = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"),
-                                           F.max("own").alias("any"))
-    return size.filter((F.col("c") > 1) & F.col("any")).select("key", "band", "c", "total")
+    rows = rows.join(one, "key").select("key", "rid", "n", both)
+    rows = written(rows.select(F.struct("key", "b.band").alias("tile"), "b.own", "rid", "n"), "jaccard_tiles")
+    size = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"), F.max("own").alias("any"))
+    return rows.join(size.filter((F.col("c") > 1) & F.col("any")).drop("any"), "tile")
 
 
 def _cells(rows: DataFrame, bytes_each: float, paired: bool = True) -> DataFrame:
-    """Rows with the group (cell, lo, hi) they are compared in and their side s.
-    Small tiles are gathered; large ones are cut into blocks, which meet in
-    pairs or (``paired`` false) only share a few documents."""
+    """Rows (tile, c, total, rid, n, ...) with the group (cell, lo, hi) they are
+    compared in and their side s.  Small tiles are gathered; large ones are cut
+    into blocks, which meet in pairs or (``paired`` false) only share a few rows."""
     spread = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    each = F.col("total") * bytes_each
-    k = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(each / BLOCK_BYTES)).cast("int")
+    k = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("total") * bytes_each / BLOCK_BYTES)).cast("int")
     all_bytes = rows.agg(F.sum(F.col("n") * bytes_each).alias("b")).first()["b"] or 0
     groups = max(int(spread), math.ceil(all_bytes / GROUP_BYTES))
-    tile = F.xxhash64("key", "band")
     rows = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rid"), k).cast("int"))
-    cell = F.when(F.col("k") == 1, F.pmod(tile, F.lit(groups))).otherwise(tile).alias("cell")
+    cell = F.when(F.col("k") == 1, F.pmod(F.xxhash64("tile"), F.lit(groups))).otherwise(F.xxhash64("tile")).alias("cell")
+    blocks = F.sequence(F.lit(0), F.col("k") - 1)
     if paired:
-        other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-        rows = rows.select("*", cell, other)
+        rows = rows.select("*", cell, F.explode(blocks).alias("other"))
         return rows.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                           F.col("block").alias("s")).drop("k", "block", "other")
+                           F.col("block").alias("s")).drop("k", "block", "other", "c", "total")
     pivot = F.pmod(F.xxhash64("rid", F.lit(7)), F.col("c")) < PIVOTS
-    to = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))).alias("lo")
-    rows = rows.select("*", cell, to)
-    return rows.select("*", F.col("lo").alias("hi"), F.col("lo").alias("s")).drop("k", "block")
-
-
-def _tiles_of(pdf: pd.DataFrame):
-    """Row positions of each tile of a group."""
-    key, band = pdf["key"].to_numpy(), pdf["band"].to_numpy()
-    order = np.lexsort((band, key))
-    cut = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(band[order]) != 0)) + 1
-    return [part for part in np.split(order, cut) if len(part) > 1]
-
-
-class _Tile:
-    """The rows of one tile: who may be compared with whom."""
-
-    def __init__(self, pdf: pd.DataFrame, at: np.ndarray, percent: int, lo: int, hi: int):
-        self.percent = percent
-        self.sizes, self.own = pdf["n"].to_numpy()[at], pdf["own"].to_numpy()[at].astype(bool)
-        self.left, self.two = pdf["s"].to_numpy()[at] == lo, hi != lo
-        self.maps = folded([np.frombuffer(b, dtype=np.uint64) for b in pdf["bits"].iloc[at]])
-        self.ones = np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+    rows = rows.select("*", cell, F.explode(F.when(pivot, blocks).otherwise(F.array("block"))).alias("lo"))
+    return rows.select("*", F.col("lo").alias("hi"), F.col("lo").alias("s")).drop("k", "block", "c", "total")
 
-    def partners(self, i: int, js: np.ndarray) -> np.ndarray:
-        """Those of ``js`` that can link with row i."""
-        small, large = np.minimum(self.sizes[i], self.sizes[js]), np.maximum(self.sizes[i], self.sizes[js])
-        ok = (100 * small >= self.percent * large) & (self.own[i] | self.own[js])
-        if self.two:
-            ok &= self.left[i] != self.left[js]
-        js = js[ok]
-        return js[possible(self.maps, self.sizes, self.ones, i, js, self.percent)] if len(js) else js
 
-
-def _with_partner(percent: int):
-    """Rows (key, band, rid) that have a partner by the bitmaps."""
-    def run(key, pdf):
-        found = []
-        for at in _tiles_of(pdf):
-            tile = _Tile(pdf, at, percent, key[1], key[2])
-            seen = np.zeros(len(at), dtype=bool)
-            for i in range(len(at) - 1):
-                js = np.arange(i + 1, len(at))
-                js = js if not seen[i] else js[~seen[js]]          # both known: nothing to learn
-                got = tile.partners(i, js) if len(js) else js
-                if len(got):
-                    seen[i] = True
-                    seen[got] = True
-            found.append(at[seen])
-        at = np.concatenate([np.empty(0, dtype=np.int64), *found])
-        return pdf[["key", "band", "rid"]].iloc[at]
-    return run
-
-
-def _links(percent: int):
-    """Forest of the links between rows of different components: (a, b)."""
+def _forest(percent: int, exact: bool):
+    """Per group: a forest (a, b) over the components of its rows, of pairs that
+    pass the bitmaps and, if ``exact``, whose arrays overlap enough."""
     def run(key, pdf):
-        edges = []
-        hashes, rid, comp = pdf["hashes"], pdf["rid"].to_numpy(), pdf["comp"].to_numpy()
-        for at in _tiles_of(pdf):
-            tile = _Tile(pdf, at, percent, key[1], key[2])
-            sets = [np.frombuffer(b, dtype=np.uint64) for b in hashes.iloc[at]]
+        edges, two = [], key[1] != key[2]
+        code = np.unique(pdf["at"].to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        n, comp, own = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy().astype(bool)
+        left = pdf["s"].to_numpy() == key[1]
+        for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
             root = np.unique(comp[at], return_inverse=True)[1]
+            if len(at) < 2 or not root.any():
+                continue
+            sizes = n[at]
+            maps = Maps([np.frombuffer(b, dtype=np.uint64) for b in pdf["bits"].iloc[at]], sizes, percent)
+            sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["hashes"].iloc[at]] if exact else None
             for i in range(len(at) - 1):
                 js = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-                for j in tile.partners(i, js) if len(js) else ():
-                    if root[i] != root[j] and overlap(sets[i], sets[j]) >= needed(len(sets[i]), len(sets[j]), percent):
+                ok = (100 * np.minimum(sizes[i], sizes[js]) >= percent * np.maximum(sizes[i], sizes[js])) & (own[at[i]] | own[at[js]])
+                if two:
+                    ok &= left[at[i]] != left[at[js]]
+                js = js[ok]
+                for j in maps.possible(i, js) if len(js) else ():
+                    if root[i] != root[j] and (not exact or overlap(sets[i], sets[j]) >= needed(sizes[i], sizes[j], percent)):
                         edges.append((comp[at[i]], comp[at[j]]))
                         root[root == root[j]] = root[i]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
     return run
 
 
-def _found(rows: DataFrame, arrays: DataFrame, percent: int, paired: bool) -> DataFrame:
-    """Links (a, b) between components from rows (key, band, own, rid, n, comp)."""
-    rows = rows.join(_worth(rows), ["key", "band"])
-    cells = _cells(rows, 8.5, paired).join(arrays, "rid")
-    return written(cells.groupBy("cell", "lo", "hi").applyInPandas(_links(percent), "a long, b long"), "jaccard_links")
+def _linked(cells: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(node, label) of the components that the forests of all groups join."""
+    rows = cells.withColumn("at", F.xxhash64("tile")).drop("tile")
+    edges = rows.groupBy("cell", "lo", "hi").applyInPandas(_forest(percent, exact), "a long, b long")
+    return connected_components(written(edges, "jaccard_links"))
 
 
-def similar_sets(points: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def similar_sets(points: DataFrame, prefixes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(rid, comp) of the points that link with another one."""
-    rows = written(tiles(points, percent), "jaccard_rows")
-    cells = _cells(rows, 0.5).join(points.select("rid", "bits"), "rid")
-    marked = cells.groupBy("cell", "lo", "hi").applyInPandas(_with_partner(percent), "key long, band int, rid long")
-    rows = written(rows.drop("c", "total").join(marked.distinct(), ["key", "band", "rid"]), "jaccard_marked")
-    asked = points.select("rid", "key", "digest").join(rows.select("rid").distinct(), "rid")
-    texts = docs.join(asked, "key").select("rid", "digest", "text").dropDuplicates(["rid"])
-    arrays = written(texts.mapInPandas(_arrays(n), "rid long, hashes binary").join(points.select("rid", "bits"), "rid"),
-                     "jaccard_arrays")
-
-    # first pass: every document in its largest tile
-    size = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("rid").orderBy(F.col("c").desc(), "key", "band")
-    lead = rows.join(size, ["key", "band"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") == 1)
-    lead = written(lead.select("key", "band", "own", "rid", "n", F.col("rid").alias("comp")), "jaccard_lead")
-    first = connected_components(_found(lead, arrays, percent, paired=False))
-    comp = written(rows.select("rid").distinct().join(first.select(F.col("node").alias("rid"), "label"), "rid", "left")
+    rows = written(tiles(prefixes, percent), "jaccard_rows")
+    cells = _cells(rows, 0.5).withColumn("comp", F.col("rid")).join(points.select("rid", "bits"), "rid")
+    near = written(_linked(cells, percent, exact=False), "jaccard_candidates")
+
+    group = near.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    asked = near.join(group, "label").select(F.col("node").alias("rid"), F.col("label").alias("tile"), "c")
+    asked = asked.join(points.select("rid", "n", "key", "digest"), "rid")
+    size = asked.groupBy("tile").agg(F.sum("n").alias("total"))
+    asked = written(asked.join(size, "tile").withColumn("own", F.lit(True)), "jaccard_asked")
+    texts = docs.join(asked.select("rid", "key", "digest"), "key").select("key", "rid", "digest", "text").dropDuplicates(["key", "rid"])
+    arrays = written(texts.mapInPandas(_arrays(n), "rid long, hashes binary, bits binary"), "jaccard_arrays")
+
+    # blocks of a component share a few documents: most large groups are joined here
+    rows = asked.select("tile", "c", "total", "own", "rid", "n", F.col("rid").alias("comp"))
+    first = _linked(_cells(rows, 8.5, paired=False).join(arrays, "rid"), percent, exact=True)
+    comp = written(rows.select("rid").join(first.select(F.col("node").alias("rid"), "label"), "rid", "left")
                    .select("rid", F.coalesce("label", "rid").alias("comp")), "jaccard_first")
-
-    # second pass: whole tiles that hold different components
-    rows = written(rows.join(comp, "rid"), "jaccard_open")
-    open_ = rows.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key", "band")
-    second = connected_components(_found(written(rows.join(open_, ["key", "band"]), "jaccard_rest"), arrays, percent, paired=True))
+    # components of several blocks that still hold separate documents: all block pairs
+    rows = rows.drop("comp").join(comp, "rid").filter((F.col("c") > BLOCK_ROWS) | (F.col("total") * 8.5 > BLOCK_BYTES))
+    open_ = rows.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("tile")
+    rows = written(rows.join(open_, "tile"), "jaccard_open")
+    if rows.isEmpty():
+        return comp
+    second = _linked(_cells(rows, 8.5).join(arrays, "rid"), percent, exact=True)
     return (comp.join(second.withColumnRenamed("node", "comp"), "comp", "left")
             .select("rid", F.coalesce("label", "comp").alias("comp")))
 
@@ -309,10 +288,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     late = frequent(docs, n)
     described = docs.select("doc_id", "key", _described(late, n, percent)("text").alias("m")).select("doc_id", "key", "m.*")
-    sets = written(described, "jaccard_sets")
-    points = sets.filter("n > 0").select("digest", "n", "prefix", "bits", "key").dropDuplicates(["digest"])
-    points = written(points.withColumn("rid", F.monotonically_increasing_id()), "jaccard_points")
-    comps = similar_sets(points.select("rid", "n", "prefix", "bits", "key", "digest"), docs.select("key", "text"), n, percent)
+    sets = written(described.withColumn("row", F.monotonically_increasing_id()), "jaccard_sets")
+    some = sets.filter("n > 0").groupBy("digest")
+    points = written(some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+                              F.min_by("key", "row").alias("key")), "jaccard_points")
+    prefixes = some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    comps = similar_sets(points, prefixes, docs.select("key", "text"), n, percent)
     ids = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     member = (ids.join(points.select("digest", "rid"), "digest").join(comps, "rid", "left")
               .select("digest", "first_id", F.coalesce("comp", "rid").alias("comp")))
