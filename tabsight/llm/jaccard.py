@@ -189,7 +189,8 @@ def tiles(prefixes: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent * 1.0001)).cast("int")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
                              F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("b")
-    rows = rows.join(one, "key").select("key", "rid", "n", both)
+    # neither side has a bound: a merge join at every size
+    rows = rows.join(one.hint("merge"), "key").select("key", "rid", "n", both)
     rows = written(rows.select(F.struct("key", "b.band").alias("tile"), "b.own", "rid", "n"), "jaccard_tiles")
     size = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"), F.max("own").alias("any"))
     return rows.join(size.filter((F.col("c") > 1) & F.col("any")).drop("any"), "tile")
@@ -263,7 +264,7 @@ def similar_sets(points: DataFrame, prefixes: DataFrame, docs: DataFrame, n: int
     asked = asked.join(points.select("rid", "n", "key", "digest"), "rid")
     size = asked.groupBy("tile").agg(F.sum("n").alias("total"))
     asked = written(asked.join(size, "tile").withColumn("own", F.lit(True)), "jaccard_asked")
-    texts = docs.join(asked.select("rid", "key", "digest"), "key").select("key", "rid", "digest", "text").dropDuplicates(["key", "rid"])
+    texts = docs.join(asked.select("rid", "key", "digest").hint("merge"), "key").select("key", "rid", "digest", "text").dropDuplicates(["key", "rid"])
     arrays = written(texts.mapInPandas(_arrays(n), "rid long, hashes binary, bits binary"), "jaccard_arrays")
 
     # blocks of a component share a few documents: most large groups are joined here

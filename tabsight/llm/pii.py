@@ -87,6 +87,12 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, last))
 
 
+def _octet(part: str) -> bool:
+    """At most 255, whatever the number of zeros before it."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _ips(text: str):
     for m in _DOTTED.finditer(text):
         run = m.group()
@@ -96,7 +102,7 @@ def _ips(text: str):
         for i in range(0, len(parts) - 3, 4):
             four = parts[i:i + 4]
             end = pos + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(_octet(p) for p in four):
                 yield pos, end
             pos = end + 1
 
@@ -161,7 +167,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         pattern = _say("." in s.rpartition("@")[2], ".." in s)
         listed = _say(s.rpartition(".")[2].lower() in _TLDS, s.rpartition(".")[2].isdigit())
     elif kind == "ip":
-        pattern = _say(all(p == str(int(p)) for p in s.split(".")), True)
+        pattern = _say(all(p == "0" or p[0] != "0" for p in s.split(".")), True)
         listed = _say(False, s.startswith(("0.", "255.")))
     elif kind == "card":
         digits = s.replace(" ", "").replace("-", "")

@@ -23,10 +23,10 @@ What is left is verified with exact integer products.  A block returns at most
 k rows per query, so nothing grows with ties or copies.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
-take no part; vectors of different dimension are not compared; a query's own
+take no part, nor do rows without id; vectors of different dimension are not compared; a query's own
 rows (same id) are no candidates; equal scores go to the smaller id; repeated
 ids count as separate candidates; an empty table gives an empty result.
-Components are expected to keep the product inside 64 bits.
+Components whose product could leave 64 bits are an error.
 """
 from __future__ import annotations
 
@@ -45,6 +45,7 @@ FOCUS = 3            # coordinates looked at
 SLACK = 1e-9
 
 _OUT = "query_id long, vec_id long, score long"
+_EACH = F.monotonically_increasing_id   # deals repeated rows to all blocks; written once, so blocks stay
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -52,7 +53,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
     x = F.col(vec_col)
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
     v = F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale))).cast("long"))
-    rows = df.filter(x.isNotNull()).filter(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = df.filter(x.isNotNull() & F.col(id_col).isNotNull()).filter(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     return rows.withColumn("dim", F.size("v")).withColumn("norm", norm)
 
@@ -71,7 +72,10 @@ def _matrix(blobs, dim: int) -> np.ndarray:
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products; through doubles where they stay exact."""
-    top = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(c).max(initial=0))) * max(1, q.shape[1])
+    most = [max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) for x in (q, c)]
+    top = most[0] * most[1] * max(1, q.shape[1])
+    if top >= 2.0 ** 63:
+        raise ValueError("components too large for exact 64-bit products")
     if top < 1 << 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     return q @ c.T
@@ -174,7 +178,7 @@ def _blocked(rows: DataFrame, buckets: int) -> DataFrame:
     table = spark.createDataFrame([(d, b, max(1, -(-n // BLOCK))) for (d, b), n in sizes.items()] or [(-1, -1, 1)],
                                   "dim int, bucket int, blocks int")
     return (rows.join(F.broadcast(table), ["dim", "bucket"])      # one row per dimension and bucket
-            .withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).drop("blocks"))
+            .withColumn("block", F.pmod(F.xxhash64("vec_id", _EACH()), F.col("blocks")).cast("int")).drop("blocks"))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -186,7 +190,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     asks = integer_vectors(queries, id_col, vec_col, scale).mapInPandas(_pack, packed)
     n_asks = asks.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()
     most = max([r["n"] for r in n_asks], default=1)
-    asks = written(asks.withColumn("qblock", F.pmod(F.xxhash64("vec_id", "v"), F.lit(-(-most // QUERY_BLOCK))).cast("int")),
+    asks = written(asks.withColumn("qblock", F.pmod(F.xxhash64("vec_id", _EACH()), F.lit(-(-most // QUERY_BLOCK))).cast("int")),
                    "topk_queries")
     blocks = cands.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"))
     blocks = written(blocks, "topk_blocks")
