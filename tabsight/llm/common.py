@@ -2,6 +2,7 @@
 written intermediate tables and connected components."""
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -14,6 +15,8 @@ from tabsight.session import cut_lineage, scratch_path, table_path
 # The word rule of the contracts: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,11 +58,22 @@ def per_process(name: str, key, make):
     state = sys.modules.setdefault("tabsight_worker_state", ModuleType("tabsight_worker_state"))
     held = state.__dict__.get(name)
     if held is None or held[0] != key:
+        held = None
+        state.__dict__.pop(name, None)      # the old object goes before the new one is made
+        gc.collect()
         held = (key, make())
         state.__dict__[name] = held
     return held[1]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most ``BATCH_BYTES`` (Spark
+    counts rows only, and ten thousand long texts fill a worker)."""
+    held = (spark.conf.get(_BATCH) or "").rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def batches_of(frames: Iterator, rows: int):
     """Cut each pandas frame into slices of at most ``rows`` rows."""
     for pdf in frames:

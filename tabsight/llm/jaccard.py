@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import connected_components, written
+from tabsight.llm.common import bounded_batches, connected_components, written
 
 SAMPLE = 2_048           # documents whose n-grams tell the frequent ones
 SAMPLE_NGRAMS = 8_192    # n-grams of such a document looked at
@@ -287,6 +287,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    bounded_batches(docs.sparkSession)
     late = frequent(docs, n)
     described = docs.select("doc_id", "key", _described(late, n, percent)("text").alias("m")).select("doc_id", "key", "m.*")
     sets = written(described.withColumn("row", F.monotonically_increasing_id()), "jaccard_sets")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import free_name, written
+from tabsight.llm.common import bounded_batches, free_name, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "secret", "ssn")
@@ -215,6 +215,7 @@ def _scan(texts: pd.Series) -> pd.Series:
 
 def candidates(docs: DataFrame, text_col: str = "text", keep: list | None = None, name: str = "spans") -> DataFrame:
     """``keep`` columns and the array of judged candidates, written once."""
+    bounded_batches(docs.sparkSession)
     return written(docs.select(*(keep or ["doc_id"]), _scan(F.col(text_col).cast("string")).alias(name)), "pii_spans")
 
 

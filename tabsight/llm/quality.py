@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.llm.common import bounded_batches
+
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -109,6 +111,7 @@ def _measures(columns: list[str]):
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """``doc_id``, the measurements and ``fail_bits`` (long) of every document."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]
                           + [T.StructField(m, T.LongType()) for m in MEASURES])
@@ -158,6 +161,7 @@ def kept_documents(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "t
     def measured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=MEASURES)
 
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("doc"), measured(F.col(text_col).cast("string")).alias("m"))
     judged = apply_policy(packed.select("doc", "m.*").withColumn("fail_bits", fail_bits()), policy)

@@ -37,11 +37,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import free_name, written
+from tabsight.llm.common import bounded_batches, free_name, written
 
 LEVELS = [1, 2, 3, 5, 9, 17, 33, 65, 129]    # a level is held where the frequency reaches it
 HASHES = 4                                   # bits of an entry
@@ -160,7 +160,7 @@ class Index:
     """Signature blocks and document frequencies of a table of documents."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.spark: SparkSession = docs.sparkSession
+        bounded_batches(docs.sparkSession)
         text = F.col(text_col).cast("string")
         self.docs = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
         rows = written(self.docs.select("key", "text").mapInArrow(_build, _INDEX), "ranked_index")

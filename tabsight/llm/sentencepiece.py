@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import batches_of, free_name, per_process, written
+from tabsight.llm.common import batches_of, bounded_batches, free_name, per_process, written
 
 TABLE_WORDS = 1 << 18
 MEMO_WORDS = 120_000
@@ -351,6 +351,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "te
     """``keep`` columns (all but the text by default) and the ids of the text.
     ``verify`` names a boolean column: the ids were decoded again in the task
     and give the text (spaces for U+2581)."""
+    bounded_batches(docs.sparkSession)
     model = model or PieceModel.load()
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     texts = free_name(docs, "sp_text")

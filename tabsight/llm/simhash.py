@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import connected_components, free_name, written
+from tabsight.llm.common import bounded_batches, connected_components, free_name, written
 
 SAMPLE = 16_384      # fingerprints the tree is fitted on
 LEAF_SAMPLE = 48     # stop cutting below this many sample points
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", keep
         got = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
         return pd.Series(got.view(np.int64))
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*(keep or ["doc_id"]), fp(F.col(text_col).cast("string")).alias(name))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import per_process
+from tabsight.llm.common import bounded_batches, per_process
 
 # Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -164,6 +164,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, id_co
     """(doc_id, n_tokens, ids) in ascending doc_id order, one range of ids per partition."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         model = f.read()                       # the file itself travels with the tasks
+    bounded_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import written
+from tabsight.llm.common import bounded_batches, written
 
 LABELLED_ROWS = 24_000   # labelled rows used by the fit
 LEXICON_SIZE = 400       # learned terms kept
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, **kw)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = model.score(rows)

@@ -127,6 +127,18 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(none, none).collect() == []
 
 
+def test_top_k_keeps_ids_beside_null_ids_and_repeated_rows(spark):
+    high = 1 << 53
+    rows = [(50, [1.0, 2.0]), (None, [9.0, 9.0]), (high + 1, [3.0, 1.0]), (high + 3, [2.0, 2.0]), (None, None)]
+    rows += [(7, [0.5, 0.5])] * 40                                           # one row many times
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r)[1:3] for r in topk.top_k(df, df.filter("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(1, high + 3), (2, high + 1), (3, 7), (4, 7), (5, 7)]
+    with pytest.raises(Exception, match="too large for exact"):
+        big = spark.createDataFrame([(50, [1e30]), (51, [1e30])], "vec_id long, embedding array<double>")
+        topk.top_k(big, big).collect()
+
+
 def test_top_k_groups_do_not_grow_with_the_queries(spark, monkeypatch):
     from pyspark.sql.pandas.group_ops import PandasCogroupedOps
     rng = np.random.default_rng(4)
@@ -194,6 +206,17 @@ def test_base_spans_equal_the_patterns(text):
     assert pii.base_spans(text) == _base_brute(text)
 
 
+@pytest.mark.parametrize("n", [5000, 4301])
+def test_long_digit_runs_do_not_stop_the_scan(n):
+    zero, nine = "0" * n, "9" * n
+    for text in [f"x {zero}.1.1.1 y", f"1.{zero}255.1.{zero}", f"1.1.1.{nine} 10.1.1.1", f"+{nine} +{zero}1", f"{nine} {zero}-{zero}",
+                 f"DE{zero}", f"a@{zero}.{nine}", f"token {zero}a{nine}"]:
+        spans = pii.scan(text)
+        assert [(s["kind"], s["start"], s["end"]) for s in spans if s["base"]] == pii.base_spans(text)
+    assert pii.base_spans(f"x {zero}.1.1.1 y") == [("ip", 2, n + 8)]
+    assert pii.base_spans(f"1.1.1.{nine}") == []
+
+
 def test_personal_data_on_odd_rows(spark):
     docs = odd_documents(spark)
     rows = pii.personal_data(docs).collect()
