@@ -7,9 +7,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..models import supervised as sup
+from ..models.density import dbscan
 from ..models.knn import NearestNeighbours
 from ..operators import metrics as met
 from ..operators import views
+from ..operators.near import epsilon_pairs
 from . import catalog as base
 from . import plan
 
@@ -94,25 +96,64 @@ def _scores(spark, sf):
     return rounded(score(a, d.drop("y")).select(*KEY, F.col("predicted_value").alias("predicted")), 3)
 
 
-@register("i5_knn", """WITH f AS (SELECT c_custkey, c_acctbal / 1000.0 AS x, c_nationkey::DOUBLE AS z, c_mktsegment AS y FROM customer),
+_KNN = """WITH f AS (SELECT c_custkey, c_acctbal / 1000.0 AS x, c_nationkey::DOUBLE AS z, c_mktsegment AS y FROM customer),
  t AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) AS o FROM f),
  n AS (SELECT f.c_custkey, t.y, row_number() OVER (PARTITION BY f.c_custkey
- ORDER BY (f.x - t.x) * (f.x - t.x) + (f.z - t.z) * (f.z - t.z), t.o) AS r FROM f JOIN t ON t.o <= 300),
+ ORDER BY (f.x - t.x) * (f.x - t.x) + (f.z - t.z) * (f.z - t.z), t.o) AS r FROM f, t),
  v AS (SELECT c_custkey, y, count(*) AS c FROM n WHERE r <= 5 GROUP BY ALL),
  w AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c DESC, y) AS k FROM v)
- SELECT c_custkey, y AS prediction FROM w WHERE k = 1""")
-def _knn(spark, sf):
-    d = _knn_rows(spark, sf)
-    m = NearestNeighbours(["x", "z"], "c_mktsegment", k=5, max_rows=300).fit(d, ["c_custkey"])
-    return m.transform(d).select("c_custkey", "prediction")
+ SELECT c_custkey, y AS prediction FROM w WHERE k = 1"""
 
 
-@register("i5_knn_all")
-def _knn_all(spark, sf):
+@register("i5_knn", _KNN)
+def _knn(spark, sf):
     d = _knn_rows(spark, sf)
     return NearestNeighbours(["x", "z"], "c_mktsegment", k=5).fit(d, ["c_custkey"]).transform(d).select("c_custkey", "prediction")
 
 
+register("i5_knn_all", _KNN)(_knn)
+
+
+@register("i5_knn_regression", """WITH f AS (SELECT c_custkey, c_acctbal AS y, c_nationkey::DOUBLE AS x, c_custkey::DOUBLE AS z FROM customer),
+ t AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) AS o FROM f),
+ n AS (SELECT f.c_custkey, t.y, abs(f.x - t.x) + abs(f.z - 0.5 - t.z) AS d, row_number() OVER (PARTITION BY f.c_custkey
+ ORDER BY abs(f.x - t.x) + abs(f.z - 0.5 - t.z), t.o) AS r FROM f, t)
+ SELECT c_custkey, round(sum(y / d) / sum(1 / d), 4) AS prediction FROM n WHERE r <= 7 GROUP BY 1""")
+def _knn_regression(spark, sf):
+    d = load(spark, sf, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("x"),
+                                           F.col("c_custkey").cast("double").alias("z"))
+    m = NearestNeighbours(["x", "z"], "c_acctbal", k=7, classify=False, weights="distance", norm=1).fit(d, ["c_custkey"])
+    return rounded(m.transform(d.withColumn("z", F.col("z") - 0.5)).select("c_custkey", "prediction"), 4)
+
+
+# ---------------------------------------------------------------- C5, J4
+_NEAR = """p AS (SELECT c_custkey AS id, c_acctbal / 100.0 AS x, c_nationkey::DOUBLE AS z FROM customer),
+ e AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) AS distance
+ FROM p a JOIN p b ON a.z = b.z AND abs(a.x - b.x) <= {eps} AND a.id <> b.id
+ WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) <= {eps})"""
+
+
+def _customers(spark, sf):
+    return load(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 100.0).alias("x"),
+                                              F.col("c_nationkey").cast("double").alias("z"))
+
+
+@register("c5_epsilon_pairs", f"WITH {_NEAR.format(eps=0.4)} SELECT a, b, round(distance, 6) AS distance FROM e WHERE a < b")
+def _pairs(spark, sf):
+    return rounded(epsilon_pairs(_customers(spark, sf), ["x", "z"], 0.4, "c_custkey"))
+
+
+@register("j4_dbscan", f"""WITH RECURSIVE {_NEAR.format(eps=0.8)},
+ k AS MATERIALIZED (SELECT id FROM p LEFT JOIN e ON id = a GROUP BY id HAVING count(b) + 1 >= 4),
+ l AS MATERIALIZED (SELECT a, b FROM e WHERE a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)),
+ r AS (SELECT id, id AS other FROM k UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+ c AS (SELECT id, dense_rank() OVER (ORDER BY first) - 1 AS cluster FROM (SELECT id, min(other) AS first FROM r GROUP BY 1)),
+ o AS (SELECT e.a AS id, min(cluster) AS cluster FROM e JOIN c ON c.id = e.b WHERE e.a NOT IN (SELECT id FROM k) GROUP BY 1)
+ SELECT p.id AS c_custkey, coalesce(c.cluster, o.cluster, -1)::INT AS cluster FROM p LEFT JOIN c USING (id) LEFT JOIN o USING (id)""")
+def _dbscan(spark, sf):
+    return dbscan(_customers(spark, sf), ["x", "z"], 0.8, 4, "c_custkey").select("c_custkey", "cluster")
+
+
 def _knn_rows(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"),
                                               F.col("c_nationkey").cast("double").alias("z"), "c_mktsegment")
