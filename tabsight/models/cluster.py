@@ -10,9 +10,16 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.silhouette import silhouette
+from .centres import bandwidth, birch, mean_shift
+from .density import DensityModel
+
+SCORED = 2_000       # rows of a seeded sample that score a setting of a search
+
 
 @dataclass
 class Sweep:
@@ -62,18 +69,55 @@ def k_sweep(data: DataFrame, n_rows: int, max_k: int = 10, seed: int = 42, n_ini
     return Sweep(ks, [f[1] for f in fits], [f[2] for f in fits], {k: f[0] for k, f in zip(ks, fits)})
 
 
+def _searched(data: DataFrame, made) -> object:
+    """The model with the best exact silhouette (the first of equals) on a
+    seeded sample of SCORED rows; all models are fitted on all rows."""
+    best, top = None, -1.0
+    for m in made:
+        s = silhouette(m.transform(data), vector_to_array(F.col("features")), "prediction", rows=SCORED)
+        if s > top:
+            best, top = m, s
+    return best
+
+
 def fit_clusterers(data: DataFrame, sweep: Sweep, models: list[str] | None = None, seed: int = 42,
-                   gmm_max_k: int = 10) -> dict:
-    """KMeans at the best k, bisecting k-means (divisive stand-in
-    for agglomerative) at the best k, Gaussian mixture chosen by BIC."""
+                   gmm_max_k: int = 10, effort: str = "quick") -> dict:
+    """KMeans at the best k, bisecting k-means (divisive stand-in
+    for agglomerative), DBSCAN, mean shift and BIRCH searched by silhouette,
+    Gaussian mixture chosen by BIC.  ``quick`` searches part of each grid."""
     out = {}
-    k = sweep.best_k
+    k, full = sweep.best_k, effort == "full"
     want = set(models or ["kmeans", "bisecting_kmeans", "gaussian_mixture"])
+    # The search grids.
+    eps = [0.2, 0.3, 0.5, 0.7, 1.0, 1.5] if full else [0.3, 0.5, 1.0]
+    samples = [3, 5, 8, 10, 15] if full else [5]
+    factors = [0.5, 0.75, 1.0, 1.25, 1.5] if full else [0.5, 1.0]
+    grid = [(t, b) for t in ([0.2, 0.3, 0.5, 0.7, 1.0] if full else [0.3, 0.7]) for b in ([30, 50, 100] if full else [50])]
+
+    def shifts():
+        width = bandwidth(data, seed=seed)
+        for f in factors if width > 0 else []:
+            yield mean_shift(data, width * f)
+
+    searches = {"dbscan": lambda: (DensityModel(e, s) for e in eps for s in samples), "mean_shift": shifts,
+                "birch": lambda: (birch(data, k, t, b, seed) for t, b in grid)}
+    for name, made in searches.items():
+        if name in want:
+            try:
+                found = _searched(data, made())
+                if found is not None:
+                    out[name] = found
+                elif name == "mean_shift":
+                    out[name] = mean_shift(data)
+            except Exception as e:  # noqa: BLE001
+                out[name] = e
     if "kmeans" in want and k in sweep.models:
         out["kmeans"] = sweep.models[k]
     if "bisecting_kmeans" in want:
         try:
-            out["bisecting_kmeans"] = BisectingKMeans(k=k, seed=seed).fit(data)
+            ks = sweep.ks if full else [k]
+            out["bisecting_kmeans"] = _searched(data, (BisectingKMeans(k=i, seed=seed).fit(data) for i in ks)) \
+                or BisectingKMeans(k=k, seed=seed).fit(data)
         except Exception as e:  # noqa: BLE001
             out["bisecting_kmeans"] = e
     if "gaussian_mixture" in want:

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running_sums
@@ -64,10 +65,20 @@ def _links(eps: float, norm: int):
     return run
 
 
-def dbscan(df: DataFrame, features: list[str], eps: float, min_samples: int, order_col: str | None = None,
+class DensityModel:
+    """DBSCAN as a clusterer of a ``features`` vector; it labels the rows it is given."""
+
+    def __init__(self, eps: float, min_samples: int):
+        self.eps, self.min_samples = eps, min_samples
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        return dbscan(data, vector_to_array(F.col("features")), self.eps, self.min_samples, out="prediction")
+
+
+def dbscan(df: DataFrame, features: list[str] | Column, eps: float, min_samples: int, order_col: str | None = None,
            norm: int = 2, out: str = "cluster") -> DataFrame:
     """``df`` with the cluster of every row."""
-    x = point(features)
+    x = point(features) if isinstance(features, list) else features
     rows = df.withColumn("__x", F.when(whole(x), x))
     key = F.col(order_col) if order_col else F.col("__x")
     points = (rows.filter(F.col("__x").isNotNull()).groupBy(F.col("__x").alias("x"))

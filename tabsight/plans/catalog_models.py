@@ -12,6 +12,7 @@ from ..models.knn import NearestNeighbours
 from ..operators import metrics as met
 from ..operators import views
 from ..operators.near import epsilon_pairs
+from ..operators.silhouette import silhouette_values
 from . import catalog as base
 from . import plan
 
@@ -54,6 +55,29 @@ register("k4_silhouette_by_cluster", f"""{_SIL} SELECT cluster, round(sum(s * co
         F.avg("silhouette").alias("mean"), F.min("silhouette").alias("low"), F.max("silhouette").alias("high"))))
 
 
+_EXACT = f"""WITH t AS (SELECT l_quantity AS q, l_discount * 100 AS d, cluster, count(*) AS w FROM
+ (SELECT l_quantity, l_discount, floor(l_quantity / 17)::INT AS cluster FROM lineitem) GROUP BY ALL),
+ n AS (SELECT cluster AS other, sum(w) AS n FROM t GROUP BY 1),
+ s AS (SELECT a.q, a.d, a.cluster, a.w, b.cluster AS other, sum(b.w * sqrt((a.q - b.q) * (a.q - b.q) + (a.d - b.d) * (a.d - b.d))) AS total
+ FROM t a, t b GROUP BY ALL),
+ m AS (SELECT q, d, cluster, any_value(w) AS w, max(CASE WHEN other = cluster THEN total / greatest(n - 1, 1) END) AS a,
+ min(CASE WHEN other <> cluster THEN total / n END) AS b, max(CASE WHEN other = cluster THEN n END) AS n FROM s JOIN n USING (other)
+ GROUP BY q, d, cluster), v AS (SELECT cluster, w, CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM m)"""
+
+
+def _silhouettes(spark, sf):
+    rows = base.clusters(spark, sf).withColumn("d", F.col("l_discount") * 100)
+    return silhouette_values(rows, ["l_quantity", "d"])
+
+
+register("k3_silhouette_euclidean", f"{_EXACT} SELECT round(sum(s * w) / sum(w), 6) AS silhouette FROM v")(
+    lambda spark, sf: rounded(_silhouettes(spark, sf).agg((F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))))
+register("k4_silhouette_distribution", f"""{_EXACT} SELECT cluster::BIGINT AS cluster, floor(s * 20)::INT AS bin, sum(w)::BIGINT AS n
+ FROM v GROUP BY ALL""")(
+    lambda spark, sf: _silhouettes(spark, sf).groupBy("cluster", F.floor(F.col("silhouette") * 20).cast("int").alias("bin"))
+    .agg(F.sum("w").alias("n")))
+
+
 # ---------------------------------------------------------------- I1, I5, I9, I14, L1
 def _vector(df, cols):
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
