@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +77,62 @@ class AdaBoostClassifier:
             cur = cut_lineage(scored.select("features", "label",
                                             (F.col("__w") * F.exp(F.lit(alpha) * wrong)).alias("__w")))
         return AdaBoostModel(trees, alphas, k)
+
+
+class AdaBoostR2Model:
+    def __init__(self, trees, weights):
+        self.trees, self.weights = trees, weights
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Weighted median: the smallest prediction at which half of the weight is reached."""
+        cur = df
+        for i, t in enumerate(self.trees):
+            cur = t.setPredictionCol(f"__ab{i}").transform(cur)
+        names = [f"__ab{i}" for i in range(len(self.trees))]
+        pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(float(w)).alias("w")) for c, w in zip(names, self.weights)]))
+        half = 0.5 * sum(self.weights)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+        walked = F.aggregate(pairs, start, lambda a, x: F.struct(
+            (a["sum"] + x["w"]).alias("sum"), F.coalesce(a["at"], F.when(a["sum"] + x["w"] >= half, x["p"])).alias("at")))
+        return cur.withColumn("prediction", F.coalesce(walked["at"], F.element_at(pairs, -1)["p"])).drop(*names)
+
+    def extractParamMap(self):
+        return {}
+
+
+class AdaBoostRegressor:
+    """AdaBoost.R2: errors are divided by the round's largest one, the loss is
+    linear, square or exponential, and a round whose mean loss reaches a half ends
+    the search.  Trees are fitted on the weighted rows (no resampling)."""
+
+    def __init__(self, n_rounds: int = 50, learning_rate: float = 1.0, max_depth: int = 3, loss: str = "linear", seed: int = 42):
+        self.n_rounds, self.learning_rate, self.max_depth, self.loss, self.seed = n_rounds, learning_rate, max_depth, loss, seed
+
+    def copy(self, extra=None):
+        return AdaBoostRegressor(**{**vars(self), **(extra or {})})
+
+    def fit(self, data: DataFrame) -> AdaBoostR2Model:
+        cur = cut_lineage(data.select("features", "label", F.lit(1.0).alias("__w")))
+        trees, weights = [], []
+        for _ in range(self.n_rounds):
+            tree = DecisionTreeRegressor(maxDepth=self.max_depth, weightCol="__w", seed=self.seed).fit(cur)
+            scored = tree.transform(cur).withColumn("__e", F.abs(F.col("prediction") - F.col("label")))
+            worst = scored.agg(F.max(F.when(F.col("__w") > 0, F.col("__e")))).first()[0] or 0.0
+            share = F.col("__e") / F.lit(worst) if worst > 0 else F.lit(0.0)
+            loss = {"linear": share, "square": share * share, "exponential": 1.0 - F.exp(-share)}[self.loss]
+            row = scored.agg(F.sum(F.col("__w") * loss).alias("e"), F.sum("__w").alias("t")).first()
+            err = row["e"] / row["t"] if row["t"] else 0.0
+            if err <= 0.0:
+                trees.append(tree)
+                weights.append(1.0)
+                break
+            if err >= 0.5:
+                if not trees:
+                    trees, weights = [tree], [1.0]
+                break
+            beta = err / (1.0 - err)
+            trees.append(tree)
+            weights.append(self.learning_rate * math.log(1.0 / beta))
+            fresh = F.col("__w") * F.pow(F.lit(beta), (1.0 - loss) * self.learning_rate) / F.lit(row["t"])
+            cur = cut_lineage(scored.select("features", "label", fresh.alias("__w")))
+        return AdaBoostR2Model(trees, weights)

@@ -4,11 +4,10 @@ KMeans candidate (J1).  Silhouette is Spark's O(n k) squared-Euclidean
 form."""
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.silhouette import silhouette
 from .centres import bandwidth, birch, mean_shift
 from .density import DensityModel
+from .mixture import best_mixture
 
 SCORED = 2_000       # rows of a seeded sample that score a setting of a search
 
@@ -81,7 +81,7 @@ def _searched(data: DataFrame, made) -> object:
 
 
 def fit_clusterers(data: DataFrame, sweep: Sweep, models: list[str] | None = None, seed: int = 42,
-                   gmm_max_k: int = 10, effort: str = "quick") -> dict:
+                   effort: str = "quick") -> dict:
     """KMeans at the best k, bisecting k-means (divisive stand-in
     for agglomerative), DBSCAN, mean shift and BIRCH searched by silhouette,
     Gaussian mixture chosen by BIC.  ``quick`` searches part of each grid."""
@@ -122,26 +122,12 @@ def fit_clusterers(data: DataFrame, sweep: Sweep, models: list[str] | None = Non
             out["bisecting_kmeans"] = e
     if "gaussian_mixture" in want:
         try:
-            out["gaussian_mixture"] = best_gmm(data, range(2, max(3, min(gmm_max_k, max(sweep.ks or [2])) + 1)), seed)
+            out["gaussian_mixture"] = best_mixture(data, sweep.ks or [2], seed=seed) if full else \
+                best_mixture(data, [k], starts=1, seed=seed)
         except Exception as e:  # noqa: BLE001
             out["gaussian_mixture"] = e
     return out
 
 
-def best_gmm(data: DataFrame, ks, seed: int = 42):
-    """Lowest BIC = p ln(n) - 2 logL, p = k d + k d(d+1)/2 + k - 1."""
-    n = data.count()
-    d = len(data.select("features").first()[0])
-    best, best_bic = None, None
-    for k in ks:
-        m = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data)
-        ll = m.summary.logLikelihood
-        p = k * d + k * d * (d + 1) / 2 + k - 1
-        bic = p * math.log(n) - 2 * ll
-        if best_bic is None or bic < best_bic:
-            best, best_bic = m, bic
-    return best
-
-
 def assign(model, data: DataFrame) -> DataFrame:
     return model.transform(data).withColumn("cluster", F.col("prediction").cast("int"))

@@ -24,7 +24,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import AdaBoostClassifier
+from ..operators.split import stratified_folds
+from ..session import cut_lineage
+from .boosting import AdaBoostClassifier, AdaBoostRegressor
+from .knn import NearestNeighbours, k_ceiling
 
 
 
@@ -86,6 +89,8 @@ def regression_candidates(effort: str = "quick") -> list[Candidate]:
         Candidate("gradient_boosting", lambda n, d, k: GBTRegressor(seed=42),
                   lambda e, n: _grid(e, [("maxIter", gbt_iter), ("stepSize", [0.01, 0.05, 0.1, 0.2]),
                                          ("maxDepth", [2, 3, 5, 7]), ("subsamplingRate", [0.6, 0.8, 1.0])])),
+        Candidate("knn", lambda n, d, k: NearestNeighbours(None, "label", classify=False, vector="features")),
+        Candidate("adaboost", lambda n, d, k: AdaBoostRegressor(n_rounds=50 if full else 10)),
     ]
 
 
@@ -137,6 +142,7 @@ def classification_candidates(effort: str = "quick") -> list[Candidate]:
                                          ("impurity", ["gini", "entropy"])])),
         Candidate("gradient_boosting", gbt, gbt_grid),
         Candidate("mlp", mlp, mlp_grid),
+        Candidate("knn", lambda n, d, k: NearestNeighbours(None, "label", vector="features", n_classes=k)),
         Candidate("adaboost", lambda n, d, k: AdaBoostClassifier(n_rounds=50 if full else 10, n_classes=k)),
     ]
 
@@ -182,13 +188,22 @@ def train_supervised(data: DataFrame, problem_type: str, n_classes: int, n_featu
     if models:
         cands = [c for c in cands if c.name in models]
     n = data.count()
-    # Folds from the row id hash (set by the caller from the raw row)
-    folded = data.select("features", "label",
-                         F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__row")), F.lit(folds)).cast("int").alias("fold"))
+    # Folds from the row id hash (set by the caller from the raw row), per class where there are classes
+    order = F.xxhash64(F.lit(seed + 1), F.col("__row"))
+    if problem_type == "Classification":
+        folded = stratified_folds(data, folds, "label", order).select("features", "label", "fold")
+    else:
+        folded = data.select("features", "label", F.pmod(order, F.lit(folds)).cast("int").alias("fold"))
+    folded = cut_lineage(folded)
     out = []
     for c in cands:
         try:
             est = c.make(n, n_features, n_classes)
+            if isinstance(est, NearestNeighbours):      # scored from neighbour tables, not fitted per setting
+                picked, score = est.search(folded, folds, n, n_iter, seed) if folds >= 2 and n > folds else ({}, None)
+                chosen = est.copy(picked or {"k": min(est.k, k_ceiling(n, folds))})
+                out.append(Trained(c.name, chosen.fit(folded), chosen_params(chosen, picked), score, None, chosen))
+                continue
             grid = c.grid(est, n) if c.grid else []
             maps = random_search(est, grid, n_iter, seed)
             if len(maps) > 1 and folds >= 2:

@@ -60,7 +60,7 @@ def pivots(points: DataFrame) -> np.ndarray:
     n = points.count()
     want = int(min(MAX_PIVOTS, max(1, -(-n // ROWS_A_PIVOT))))
     rows = points.select("x", F.xxhash64("x").alias("h")).distinct().orderBy("h", "x").limit(want).collect()
-    return np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], dtype=float) if rows else np.empty((0, 0))
 
 
 def homes(points: DataFrame, at: np.ndarray, norm: int) -> DataFrame:

@@ -3,9 +3,11 @@ hash of whole rows: independent of partitioning and of executor loss, no
 shuffle, no global sort."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranged
+
 BUCKETS = 10_000
 
 
@@ -39,11 +41,23 @@ def assign_folds(df: DataFrame, k: int, seed: int = 42, key_cols: list[str] | No
     return df.withColumn("fold", F.pmod(row_hash(df, seed + 1, key_cols), F.lit(k)).cast("int"))
 
 
-def fold_count_regression(n: int) -> int:
-    """clamp(n // 10, 2, 5)."""
-    return max(2, min(5, n // 10))
-
-
-def fold_count_classification(min_class: int) -> int:
-    """clamp(smallest class count, 2, 5)."""
-    return max(2, min(5, min_class))
+def stratified_folds(df: DataFrame, k: int, label: str, order: Column, out: str = "fold") -> DataFrame:
+    """``out`` in 0..k-1, the rank of a row among those of its label in the
+    order of a hash, modulo k: sizes per label differ by one at most.  Ranks
+    come from ranges of (label, hash), so a label with all rows is no single
+    task; equal hashes are spread by row."""
+    rows = ranged(df.withColumn("__o", order).withColumn("__e", F.xxhash64("__o", F.monotonically_increasing_id())), label, "__o", "__e")
+    sums = rows.groupBy(label, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(label).alias("__l"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(label, "__part").orderBy("__o", "__e")
+    met = rows.withColumn("__r", F.row_number().over(inside)).join(
+        F.broadcast(offsets),                     # at most a row per range and per label
+        rows[label].eqNullSafe(offsets["__l"]) & (rows["__part"] == offsets["__p"]))
+    return met.select(*df.columns, F.pmod(F.col("__r") - 1 + F.col("__ahead"), F.lit(k)).cast("int").alias(out))
+
+
+def fold_count(n: int, smallest_class: int | None = None) -> int:
+    """clamp(n // 10, 2, 5) for regression, clamp(smallest class, 2, 5) for
+    classification."""
+    return max(2, min(5, n // 10 if smallest_class is None else smallest_class))

@@ -811,3 +811,4 @@ def _h4(spark, sf):
 
 
 from . import catalog_models  # noqa: E402,F401  (registers the model checks)
+from . import catalog_planted  # noqa: E402,F401
