@@ -36,6 +36,22 @@ def running_sums(grouped: DataFrame, order_col: str, sum_cols: list[str],
     return joined.select(*grouped.columns, *[(F.sum(c).over(inside) + F.col("__o_" + c)).alias(prefix + c) for c in sum_cols])
 
 
+def with_next(rows: DataFrame, order_col: str, cols: list[str], descending: bool = False, prefix: str = "next_") -> DataFrame:
+    """Each row with ``cols`` of the row that follows in the order of
+    ``order_col`` (null for the last).  Inside a range this is a window; the last
+    row of a range takes the first row of the next range that has one."""
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    held = ranged(rows, order)
+    pick = F.max_by if descending else F.min_by
+    after = Window.orderBy("__part")                                # one row per range
+    firsts = held.groupBy("__part").agg(pick(F.struct(*cols), F.col(order_col)).alias("__f"))
+    nexts = firsts.select("__part", F.lead("__f").over(after).alias("__f"))
+    inside = Window.partitionBy("__part").orderBy(order)
+    met = held.withColumn("__n", F.lead(F.struct(*cols)).over(inside)).join(F.broadcast(nexts), "__part")
+    follower = F.coalesce("__n", "__f")
+    return met.select(*rows.columns, *[follower[c].alias(prefix + c) for c in cols])
+
+
 def average_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
     """Distinct values of ``col`` with their average 1-based rank
     (ties share the mean of their positions), nulls excluded."""

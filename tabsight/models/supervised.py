@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -233,7 +234,9 @@ def train_supervised(data: DataFrame, problem_type: str, n_classes: int, n_featu
 
 def predict_all(models: list[Trained], data: DataFrame, problem_type: str) -> DataFrame:
     """Score ``data`` with every fitted model; output long form
-    (model, label, prediction, probability array or null)."""
+    (model, label, prediction, probability array or null, scores): ``scores``
+    holds the probabilities or, where a model has none, its raw decision values
+    (K15)."""
     parts = []
     for t in models:
         if t.model is None:
@@ -245,8 +248,10 @@ def predict_all(models: list[Trained], data: DataFrame, problem_type: str) -> Da
             prob = F.col("probability").cast("array<double>")
         else:
             prob = vector_to_array(F.col("probability"))
+        raw = vector_to_array(F.col("rawPrediction")) if "rawPrediction" in p.columns else F.lit(None).cast("array<double>")
+        p = p.withColumn("__s", F.coalesce(prob, raw))
         parts.append(p.select(F.lit(t.name).alias("model"), F.col("label"), F.col("prediction"),
-                              prob.alias("probability"), *([F.col("__row")] if "__row" in p.columns else [])))
+                              prob.alias("probability"), F.col("__s").alias("scores"), *([F.col("__row")] if "__row" in p.columns else [])))
     out = parts[0]
     for q in parts[1:]:
         out = out.unionByName(q)
@@ -288,25 +293,36 @@ def learning_curve(estimator, data: DataFrame, problem_type: str, folds: int = 3
                    seed: int = 42) -> DataFrame:
     """Fit on growing nested fractions (20 %..100 %) of each fold's
     training part, score on the held-out fold (R2, or weighted F1).  The
-    fraction is a hash threshold, so each size contains the smaller ones."""
+    fraction is a hash threshold, so each size contains the smaller ones; folds
+    are stratified by class.  Fewer than 12 rows, or a class with one row, give
+    an empty curve.  Fits run several at a time."""
     spark = data.sparkSession
-    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__row")), F.lit(folds))
-    unit = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("__row")), F.lit(10_000)) / 10_000.0
-    d = data.select("features", "label", fold.alias("fold"), unit.alias("u"))
+    schema = "train_fraction double, fold int, n_train bigint, score double"
+    unit = (F.pmod(F.xxhash64(F.lit(seed + 2), F.col("__row")), F.lit(10_000)) / 10_000.0).alias("u")
+    order = F.xxhash64(F.lit(seed + 1), F.col("__row"))
+    if problem_type == "Regression":
+        if data.count() < 12:
+            return spark.createDataFrame([], schema)
+        d = data.select("features", "label", F.pmod(order, F.lit(folds)).cast("int").alias("fold"), unit)
+    else:
+        sizes = data.groupBy("label").count().agg(F.min("count").alias("least"), F.sum("count").alias("n")).first()
+        if (sizes["n"] or 0) < 12 or sizes["least"] < 2:
+            return spark.createDataFrame([], schema)
+        folds = min(folds, sizes["least"])
+        d = stratified_folds(data, folds, "label", order).select("features", "label", "fold", unit)
+    d = cut_lineage(d)
     ev = (RegressionEvaluator(metricName="r2") if problem_type == "Regression"
           else MulticlassClassificationEvaluator(metricName="f1"))
-    rows = []
-    for f in range(folds):
-        val = d.filter(F.col("fold") == f)
-        for s in range(1, steps + 1):
-            frac = s / steps
-            tr = d.filter((F.col("fold") != f) & (F.col("u") < frac))
-            n = tr.count()
-            if n < 2:
-                continue
-            m = estimator.fit(tr)
-            rows.append((frac, f, n, float(ev.evaluate(m.transform(val)))))
-    return spark.createDataFrame(rows, "train_fraction double, fold int, n_train bigint, score double")
+
+    def one(setting):
+        f, frac = setting
+        tr = d.filter((F.col("fold") != f) & (F.col("u") < frac))
+        n = tr.count()
+        return (frac, f, n, float(ev.evaluate(estimator.fit(tr).transform(d.filter(F.col("fold") == f))))) if n >= 2 else None
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(one, [(f, s / steps) for f in range(folds) for s in range(1, steps + 1)]))
+    return spark.createDataFrame([r for r in rows if r], schema)
 
 
 def params_table(spark, trained: list[Trained] | dict) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import running_sums
+from ..functions.ranks import running_sums, with_next
 from ..functions.stats import quantiles
 
 MAX_CLASSES = 10_000
@@ -99,6 +99,27 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     return origin.unionByName(pts)
 
 
+def thinned(curve: DataFrame) -> DataFrame:
+    """The rows of ``binary_curve`` without those between two equal steps: the
+    lines through the rest, and the areas under them, are the same."""
+    rows = with_next(curve, "score", ["tp", "fp"], descending=True)
+    corner = F.col("next_tp").isNull() | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
+    first = F.col("cum_tp") + F.col("cum_fp") == F.col("tp") + F.col("fp")
+    return rows.filter(corner | first).drop("next_tp", "next_fp")
+
+
+def micro_curves(df: DataFrame, label: str, scores: str, classes: list) -> DataFrame:
+    """(threshold, fpr, tpr, precision, recall) at the corners of the curve
+    of the flattened one-vs-rest matrix."""
+    cur = binary_curve(flatten_scores(df, label, scores, classes), "y", "score")
+    total = cur.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n")).first()
+    share = lambda c, n: F.col(c) / F.lit(n) if n else F.lit(None).cast("double")
+    return thinned(cur).select(F.col("score").alias("threshold"), share("cum_fp", total["n"]).alias("fpr"),
+                               share("cum_tp", total["p"]).alias("tpr"),
+                               (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
+                               share("cum_tp", total["p"]).alias("recall"))
+
+
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC (trapezoids; ties at a score form one step)."""
     cur = binary_curve(df, y, score)

@@ -193,6 +193,22 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, by: str
                        (F.col("__s") / (F.col("__n") * F.col("__bw") * F.lit(SQRT_2PI))).alias("density"))
 
 
+def distribution_grid(df: DataFrame, cols: list[str], bins: int | str = "auto", gridsize: int = 200) -> DataFrame:
+    """(column_name, kind, position, x, value): the histogram (x = middle of
+    the bin, value = count) and the density of every column, one job each for
+    all columns together."""
+    cols = [c for c in cols if is_numeric(df.schema[c].dataType)]
+    bars = histogram(df, cols, bins).select(
+        "column_name", F.lit("histogram").alias("kind"), F.col("bin").cast("long").alias("position"),
+        ((F.col("lo") + F.col("hi")) / 2).alias("x"), F.col("count").cast("double").alias("value"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols]))
+                     .alias("kv")).select("kv.*")
+    lines = kde(long, "v", gridsize, by="column_name").select(
+        "column_name", F.lit("density").alias("kind"), F.col("grid_index").cast("long").alias("position"), "x",
+        F.col("density").alias("value"))
+    return bars.unionByName(lines)
+
+
 def violin(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """Density over 100 grid points (cut 2) with the quartiles of each
     group.  The caller bounds the number of groups."""
@@ -408,12 +424,16 @@ def target_vs_feature(df: DataFrame, feat: str, target: str, n: int = 1000, seed
 
 
 def qq_points(df: DataFrame, feat: str, target: str) -> DataFrame:
-    """Ordered residuals against normal order-statistic medians
-    (Filliben).  Ordinal ranks come from running counts over distinct
+    """Ordered residuals of the one-feature line against normal quantiles."""
+    return qq_of(residuals(df, feat, target))
+
+
+def qq_of(r: DataFrame) -> DataFrame:
+    """Ordered values of ``residual`` against normal order-statistic
+    medians (Filliben).  Ordinal ranks come from running counts over distinct
     residual values, so the global order never sits in one task."""
     from ..functions.normal import inv_norm
     from ..functions.ranks import running_sums
-    r = residuals(df, feat, target)
     g = r.groupBy("residual").agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(g, "residual", ["__c"])
     n = r.count()

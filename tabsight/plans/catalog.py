@@ -676,7 +676,7 @@ def _i_cls(spark, sf):
     from .analyze import analyze
     a = analyze(_quality_table(spark, sf), target="quality",
                 models=["logistic_regression", "naive_bayes", "decision_tree", "random_forest", "adaboost"], n_iter=1,
-                run_views=False, refit=False)
+                run_views=False, refit=False, curve=False)
     return a.metrics
 
 
@@ -754,6 +754,12 @@ DG_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 register("d22_distribution_grid", _union([f"SELECT * FROM ({_hist_sql(c, 'lineitem')})" for c in DG_COLS]))(
     lambda spark, sf: rounded(views.histogram(li(spark, sf), DG_COLS)))
 
+register("d22_histogram_density_grid", _union(
+    [f"""SELECT column_name, 'histogram' AS kind, bin AS position, round((lo + hi) / 2, 3) + 0.0 AS x, count::DOUBLE AS value
+ FROM ({_hist_sql(c, 'lineitem')})
+ UNION ALL SELECT '{c}', 'density', grid_index::BIGINT, round(x, 3) + 0.0, density FROM ({_kde_sql(c, 'lineitem')})""" for c in DG_COLS]))(
+    lambda spark, sf: rounded(views.distribution_grid(li(spark, sf), DG_COLS)).withColumn("x", F.round("x", 3) + 0.0))
+
 register("d37_dataset_summary")(lambda spark, sf: profile.dataset_summary(li(spark, sf)))
 
 

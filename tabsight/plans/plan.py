@@ -97,7 +97,7 @@ def _violin(r: Request) -> DataFrame:
 
 
 def _grid(r: Request) -> DataFrame:
-    return views.histogram(r.df, (r.numeric or numeric_columns(r.df))[:int(r.param("max_cols", 8))])
+    return views.distribution_grid(r.df, (r.numeric or numeric_columns(r.df))[:int(r.param("max_cols", 8))])
 
 
 def _clustered(kind: str) -> Callable[[Request], DataFrame]:

@@ -34,6 +34,60 @@ def test_auc_ap_match_bruteforce(spark):
     assert abs(met.average_precision(df).first()[0] - _ap_bruteforce(y, s)) < 1e-12
 
 
+def test_thinned_curve_keeps_the_areas(spark):
+    rng = np.random.default_rng(3)
+    s = np.round(rng.random(600), 3)
+    y = (rng.random(600) < s).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "score": s})).repartition(5)
+    full, thin = met.binary_curve(df).toPandas(), met.thinned(met.binary_curve(df)).toPandas()
+    assert len(thin) < len(full)
+
+    def area(t):
+        t = t.sort_values("score", ascending=False)
+        x, v = np.r_[0, t["cum_fp"]], np.r_[0, t["cum_tp"]]
+        return np.trapezoid(v, x)
+
+    assert abs(area(thin) - area(full)) < 1e-9
+    order = full.sort_values("score", ascending=False).reset_index(drop=True)
+    step = list(zip(order["tp"], order["fp"]))
+    want = {order["score"][i] for i in range(len(step)) if i in (0, len(step) - 1) or step[i] != step[i + 1]}
+    assert set(thin["score"]) == want
+
+
+def test_curves_from_decision_values_and_learning_guards(spark):
+    from tabsight.models.supervised import learning_curve
+    from tabsight.plans.analyze import analyze
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    for classes in (2, 3):
+        y = np.digitize(x[:, 0], [0.0] if classes == 2 else [-0.5, 0.5])
+        df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+        a = analyze(df, target="y", problem_type="Classification", models=["linear_svm"], n_iter=1, run_views=False, refit=False)
+        assert a.post["score_source"] == "rawPrediction" and "calibration" not in a.post
+        area = a.post["roc_auc"].first()[0] if classes == 2 else a.post["micro_auc_ap"].first()["auc"]
+        assert area > 0.8
+        assert {"roc_curve", "pr_curve"} <= set(a.post) if classes == 2 else a.post["micro_curves"].count() > 2
+        curve = a.post["learning_curve"].collect()
+        assert {r["train_fraction"] for r in curve} == {0.2, 0.4, 0.6, 0.8, 1.0}
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    few = spark.createDataFrame([(float(i), float(i == 0), i) for i in range(20)], "a double, label double, __row int")
+    few = VectorAssembler(inputCols=["a"], outputCol="features").transform(few)
+    assert learning_curve(LogisticRegression(), few, "Classification").count() == 0
+    assert learning_curve(LogisticRegression(), few.limit(5), "Classification").count() == 0
+
+
+def test_holdout_views_of_a_regression(spark):
+    from tabsight.plans.analyze import analyze
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(a), float(2 * a + 0.1 * b)) for a, b in rng.normal(size=(200, 2))], "a double, y double")
+    a = analyze(df, target="y", models=["linear_regression"], n_iter=1, run_views=False, refit=False)
+    q = a.post["residual_qq"].orderBy("i").collect()
+    assert len(q) == a.post["residual_vs_fitted"].count() and all(u["ordered"] <= v["ordered"] for u, v in zip(q, q[1:]))
+    line = a.post["identity"].first()
+    assert line["low"] < -1 and line["high"] > 1
+
+
 def test_weighted_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1)], "label int, prediction int")
     r = met.classification_metrics(df).first()
@@ -85,7 +139,8 @@ def test_neighbours_come_from_all_labelled_rows(spark, monkeypatch):
     import hashlib
     from collections import Counter
     from tabsight.models import knn
-    monkeypatch.setattr(knn, "BLOCK", 64)                # several blocks on both sides
+    from tabsight.operators import near
+    monkeypatch.setattr(near, "BLOCK", 64)               # several blocks on both sides
     rows = [(i, float(i * 37 % 101), float(i * 53 % 29), "abc"[i * 7 % 3]) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, x double, z double, y string")
     got = {r["id"]: r["prediction"] for r in knn.NearestNeighbours(["x", "z"], "y", k=5).fit(df, ["id"]).transform(df).collect()}
