@@ -18,6 +18,34 @@ from pyspark.sql import functions as F
 from .ranks import ranged
 
 
+def grouped_quantiles(df: DataFrame, by: str, col: str, probs: list[float]) -> DataFrame:
+    """(by, q0, q1, ...) exact quantiles of ``col`` for any number of groups, by
+    the same ranges keyed by (group, value): a group with all rows is many
+    ranges, and nothing reaches the driver.  Groups without a value are absent."""
+    v = F.col(col).cast("double")
+    grouped = df.select(F.col(by).alias("g"), v.alias("v")).filter(F.col("v").isNotNull()).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = ranged(grouped, "g", "v")
+    parts = rows.groupBy("g", "__part").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy("g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("g").alias("og"), F.col("__part").alias("op"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("below"),
+                           F.sum("m").over(Window.partitionBy("g")).alias("total"))
+    inside = Window.partitionBy("g", "__part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("upto", F.sum("n").over(inside))
+    placed = placed.join(offsets, placed["g"].eqNullSafe(offsets["og"]) & (placed["__part"] == offsets["op"]))
+    placed = placed.withColumn("upto", F.col("upto") + F.col("below"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("v")))
+
+    spots = {j: F.lit(float(p)) * (F.col("total") - 1) for j, p in enumerate(probs)}
+    found = placed.groupBy("g").agg(F.max("total").alias("total"), *[
+        c for j, s in spots.items() for c in (at(F.floor(s)).alias(f"a{j}"), at(F.least(F.floor(s) + 1, F.col("total") - 1)).alias(f"b{j}"))])
+    step = {j: s - F.floor(s) for j, s in spots.items()}
+    return found.select(F.col("g").alias(by), *[
+        F.when(F.col(f"a{j}") == F.col(f"b{j}"), F.col(f"a{j}")).otherwise(
+            (1.0 - w) * F.col(f"a{j}") + w * F.col(f"b{j}")).alias(f"q{j}") for j, w in step.items()])
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Exact, pandas-compatible quantiles of several numeric columns."""
     if not cols:

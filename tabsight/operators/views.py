@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import attach, average_ranks
 from ..functions.scalar import as_label, sqrt_abs
-from ..functions.stats import quantiles
+from ..functions.stats import grouped_quantiles, quantiles
 from .profile import _stack, correlation_long, top_values, value_counts
 from .schema import distinct_counts, existing, is_numeric, numeric_columns
 
@@ -242,12 +242,10 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, limit_cols:
             raise ViewRefused("no value in the numeric columns")
         return df.agg(*aggs).select(_stack(pairs, ["column_name", "group", "q1", "median", "q3", "whisker_lo",
                                                    "whisker_hi", "n_fliers", "n"]))
-    # grouped: exact quartiles per group with percentile (groups are few:
-    # callers check the group count; per-group value maps are bounded by it)
+    # grouped: exact quartiles from ranges of (group, value)
     x = F.col(cols[0]).cast("double")
-    qs = df.filter(x.isNotNull()).groupBy(by).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("__q"))
-    qs = qs.select(by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
-    j = df.join(F.broadcast(qs), [by], "inner").filter(x.isNotNull())
+    qs = grouped_quantiles(df, by, cols[0], [0.25, 0.5, 0.75]).toDF(by, "q1", "median", "q3")
+    j = df.join(qs, [by], "inner").filter(x.isNotNull())
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy(by, "q1", "median", "q3").agg(

@@ -8,12 +8,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from ..functions.stats import grouped_quantiles
 from ..models import cluster as clu
 from ..models import supervised as sup
 from ..models.boosting import AdaBoostRegressor
 from ..models.centres import birch, mean_shift
 from ..models.mixture import best_mixture
 from ..operators.split import stratified_folds
+from ..session import scratch_path
+from ..sources.sinks import write_json_documents, write_table
 from . import catalog as base
 
 KEY, KEY_SQL, li, load, register, rounded = base.KEY, base.KEY_SQL, base.li, base.load, base.register, base.rounded
@@ -114,6 +117,24 @@ register("j7_mean_shift_planted", _BLOBS_SQL)(_clustered(lambda d: mean_shift(d,
 register("j2_auto_k_planted", "SELECT count(DISTINCT c_nationkey % 4)::INT AS k FROM customer")(
     lambda spark, sf: spark.createDataFrame([(_sweep(_blobs(spark, sf).select("features")).best_k,)], "k int"))
 
+# ---------------------------------------------------------------- A5, grouped quantiles
+@register("a5_result_roundtrip", """SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*)::BIGINT AS n,
+ to_json({'n': count(*)}) AS document FROM orders GROUP BY ALL""")
+def _a5(spark, sf):
+    counts = load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"))
+    table, documents = scratch_path(spark, "result"), scratch_path(spark, "documents")
+    write_table(counts, table, partition_by=["status"])
+    back = spark.read.parquet(table)
+    write_json_documents(back.select("n").distinct(), documents)
+    texts = spark.read.text(documents).select(F.get_json_object("value", "$.n").cast("long").alias("n"), F.col("value").alias("document"))
+    return back.join(texts, "n").select("priority", F.col("status").cast("string").alias("status"), "n", "document")
+
+
+register("d12_quartiles_of_many_groups", """SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.25), 4) AS q0,
+ round(quantile_cont(l_extendedprice, 0.5), 4) AS q1, round(quantile_cont(l_extendedprice, 0.9), 4) AS q2 FROM lineitem GROUP BY 1""")(
+    lambda spark, sf: rounded(grouped_quantiles(li(spark, sf), "l_suppkey", "l_extendedprice", [0.25, 0.5, 0.9]), 4))
+
 # ---------------------------------------------------------------- E7
 _MD5 = "md5(concat_ws('|', '43', {k}))"
 register("e7_stratified_folds", f"""SELECT {KEY_SQL}, ((row_number() OVER (PARTITION BY l_returnflag

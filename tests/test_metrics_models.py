@@ -62,7 +62,8 @@ def test_curves_from_decision_values_and_learning_guards(spark):
     for classes in (2, 3):
         y = np.digitize(x[:, 0], [0.0] if classes == 2 else [-0.5, 0.5])
         df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
-        a = analyze(df, target="y", problem_type="Classification", models=["linear_svm"], n_iter=1, run_views=False, refit=False)
+        a = analyze(df, target="y", problem_type="Classification", models=["linear_svm"], n_iter=1, run_views=False,
+                    refit=False, curve=True)
         assert a.post["score_source"] == "rawPrediction" and "calibration" not in a.post
         area = a.post["roc_auc"].first()[0] if classes == 2 else a.post["micro_auc_ap"].first()["auc"]
         assert area > 0.8

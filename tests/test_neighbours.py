@@ -221,12 +221,12 @@ def test_birch_summary_is_bounded_and_finds_groups(spark, monkeypatch):
 
 @pytest.mark.parametrize("kind", mixture.TYPES)
 def test_mixture_equals_plain_em(spark, kind):
-    x, middle, df = planted(spark, 150)
+    x, middle, df = planted(spark, 60)
     points = df.select(near.point(["a", "b"]).alias("x"))
-    got = mixture.fit_from(points, middle + 0.5, kind, rounds=6, tolerance=0.0)
+    got = mixture.fit_from(points, middle + 0.5, kind, rounds=3, tolerance=0.0)
     share, _ = mixture.nearest_share(middle + 0.5)(x)
     model = mixture.from_statistics(kind, mixture.statistics(x, share, kind in ("full", "tied")), 3, 2)
-    for _ in range(6):
+    for _ in range(3):
         r = np.stack([w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c))
                       for w, m, c in zip(model.weights, model.means, model.covariances)], axis=1)
         r /= r.sum(1, keepdims=True)
@@ -260,7 +260,7 @@ def test_adaboost_r2_equals_plain_loop(spark, loss):
     y = np.sin(x) + 0.1 * rng.normal(size=300)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, label double")
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
-    model = AdaBoostRegressor(n_rounds=6, max_depth=2, loss=loss).fit(df)
+    model = AdaBoostRegressor(n_rounds=3, max_depth=2, loss=loss).fit(df)
     preds = [np.array([r["prediction"] for r in t.transform(df).orderBy("id").collect()]) for t in model.trees]
     w = np.ones(300)
     for p, weight in zip(preds, model.weights):

@@ -90,3 +90,17 @@ def test_running_sums_over_text(spark):
 def test_distinct_counts_are_exact_when_large(spark):
     df = spark.range(150_000).select(F.col("id").alias("a"), (F.col("id") % 120_001).alias("b"))
     assert distinct_counts(df, ["a", "b"]) == {"a": 150_000, "b": 120_001}
+
+
+def test_grouped_quantiles_with_a_hot_group(spark):
+    import numpy as np
+    from tabsight.functions.stats import grouped_quantiles
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in rng.normal(size=900)] + [(None, 1.0), (None, 2.0), ("one", 5.0), ("none", None), ("nan", float("nan"))]
+    rows += [("hot", 0.5)] * 500
+    df = spark.createDataFrame(rows, "g string, v double").replace(float("nan"), None).repartition(6)
+    got = {r["g"]: tuple(r)[1:] for r in grouped_quantiles(df, "g", "v", [0.0, 0.3, 0.5, 1.0]).collect()}
+    hot = [v for g, v in rows if g == "hot"]
+    assert set(got) == {"hot", None, "one"}
+    assert np.allclose(got["hot"], np.quantile(hot, [0.0, 0.3, 0.5, 1.0]))
+    assert np.allclose(got[None], [1.0, 1.3, 1.5, 2.0]) and got["one"] == (5.0, 5.0, 5.0, 5.0)
