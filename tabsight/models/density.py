@@ -43,24 +43,23 @@ def _links(eps: float, norm: int):
         rid, core = pdf["rid"].to_numpy(), pdf["core"].to_numpy().astype(bool)
         root, out, touches = np.arange(len(pdf)), [], []
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
         for i, j, _ in _within(pdf, key, eps, norm):
             both = core[i] & core[j]
-            for a, b in zip(i[both].tolist(), j[both].tolist()):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    root[rb] = ra
-                    out.append((True, rid[a], rid[b]))
+            ci, cj = i[both], j[both]
+            # pairs come row by row: a row joins the parts that its partners are in, each part once
+            ends = np.flatnonzero(np.diff(ci)) + 1
+            for row, js in zip(ci[np.concatenate([[0], ends])] if len(ci) else (), np.split(cj, ends)):
+                parts, first = np.unique(root[js], return_index=True)
+                for part, at in zip(parts.tolist(), first.tolist()):
+                    if part != root[row]:
+                        root[root == part] = root[row]
+                        out.append((True, rid[row], rid[js[at]]))
             one = core[i] != core[j]
             edge, at = np.where(core[i[one]], j[one], i[one]), np.where(core[i[one]], i[one], j[one])
             touches.append(np.stack([edge, at], axis=1))
-        seen = {(b, find(c)) for b, c in np.concatenate([np.empty((0, 2), dtype=int), *touches]).tolist()}
-        out += [(False, rid[b], rid[c]) for b, c in seen]
+        touched = np.concatenate([np.empty((0, 2), dtype=int), *touches])
+        seen = set(zip(touched[:, 0].tolist(), root[touched[:, 1]].tolist()))
+        out += [(False, rid[b], rid[c]) for b, c in seen]          # a part is named by one of its cores
         return pd.DataFrame(out, columns=["core", "a", "b"])
     return run
 
