@@ -2,15 +2,17 @@
 
 Every source is a flow with a target in words.  Its documents queue in a
 hashed (shuffled) order, again for every further pass over the source, and a
-queued document has the virtual finish time
+queued packet has the virtual finish time
 
     words of its source up to and including it / target of its source.
 
-At virtual time 1 every flow has been served exactly its target, so the total
-served there is the total budget: ordering all queued documents by finish time
-and cutting the order at the budget is the cut at time 1.  A document that
-straddles the cut gives the words before it.  Only DataFrame functions are
-used.
+All packets of all sources are then sorted by finish time over ranges, running
+totals go across the ranges, and the order is truncated where the total reaches
+the budget (the sum of the whole-word targets): ``cut_time``.  What finishes
+later is not taken.  A document is one packet, but one in which its source's
+target lies is two, as a router splits a packet: so each source is served to
+the word, and every target is met by the one global cut.  Only DataFrame
+functions are used.
 
 Hot sources: the queue position is a prefix sum over (source, slice of the
 hash range).  A source's slices hold equal shares of it whatever its size, so
@@ -28,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsight.functions.ranks import running_sums
 from tabsight.llm.common import WHITE, free_name, word_count
 from tabsight.session import cut_lineage
 
@@ -67,59 +70,84 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return s.select("key", "source_size", "weight", target.alias("target"))
 
 
-def _queue(rows: DataFrame, names: dict[str, str], weights, share, cap) -> DataFrame:
-    """``rows`` with source size, target and the words queued before each row."""
-    key, part, size, h, tie = (names[k] for k in ("key", "slice", "size", "h", "tie"))
+_BASE = ("key", "slice", "size", "h", "tie", "ahead", "source_size", "target", "source")
+
+
+def _rows(docs: DataFrame, keep: list[str], seed: int, id_col: str, text_col: str, source_col: str):
+    """``docs`` with source key, slice, size and queue order, and the names of those columns."""
+    names = {"doc_id": id_col, **{b: free_name(docs.select(*keep), f"mix_{b}") for b in _BASE}}
+    src, h = F.col(source_col), shuffle_key(F.col(id_col), seed)
+    rows = docs.select(
+        *keep,
+        F.when(src.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(names["key"]),
+        src.alias(names["source"]), word_count(F.col(text_col)).alias(names["size"]), h.alias(names["h"]),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(names["tie"]))
+    return rows.withColumn(names["slice"], F.floor(F.col(names["h"]) / F.lit((1 << 60) // SLICES)).cast("int")), names
+
+
+def _slices(rows: DataFrame, names: dict[str, str], weights, share, cap) -> DataFrame:
+    """One row per source and slice: the words of the slices before it, source size and target."""
+    key, part, size = names["key"], names["slice"], names["size"]
     totals = (rows.groupBy(F.col(key).alias("key"), F.col(part).alias("slice"))
               .agg(F.first(names["source"]).alias("source"), F.sum(size).alias("words")))
     totals = cut_lineage(totals)
     targets = source_targets(totals.groupBy("key").agg(F.first("source").alias("source"),
                                                        F.sum("words").alias("source_size")), weights, share, cap)
     ahead = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (totals.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-              .join(targets, "key")
-              .select(F.col("key").alias(key), F.col("slice").alias(part), F.col("ahead").alias(names["ahead"]),
-                      F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])))
+    return (totals.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+            .join(targets, "key").select("key", "slice", "ahead", "source_size", "target"))
+
+
+def _queue(rows: DataFrame, slices: DataFrame, names: dict[str, str], cap: float) -> DataFrame:
+    """``rows`` with source size, target and their packets (pass, finish, words)."""
+    key, part, size, h, tie = (names[k] for k in ("key", "slice", "size", "h", "tie"))
+    slices = slices.select(*[F.col(c).alias(names[c]) for c in ("key", "slice", "ahead", "source_size", "target")])
     queue = Window.partitionBy(key, part).orderBy(h, F.col(names["doc_id"]), size, tie).rowsBetween(
         Window.unboundedPreceding, -1)
-    return (rows.join(slices, [key, part])
-            .withColumn(names["ahead"], F.col(names["ahead"]) + F.coalesce(F.sum(size).over(queue), F.lit(0))))
+    queued = (rows.join(slices, [key, part])
+              .withColumn(names["ahead"], F.col(names["ahead"]) + F.coalesce(F.sum(size).over(queue), F.lit(0))))
+    target, time = F.col(names["target"]), F.nullif(F.col(names["target"]), F.lit(0.0))
+    packets = []
+    for p in range(max(1, int(-(-cap // 1)))):
+        start = F.col(names["ahead"]) + p * F.col(names["source_size"])
+        first = F.greatest(F.lit(0), F.least(F.col(size), F.floor(target) - start))
+        for words, end in ((first, start + first), (F.col(size) - first, start + F.col(size))):
+            packets.append(F.struct(F.lit(p).alias("pass"), F.coalesce(end / time, F.lit(float("inf"))).alias("finish"),
+                                    words.cast("long").alias("words")))
+    return queued.withColumn(names["ahead"], F.filter(F.array(*packets), lambda x: x["words"] > 0))
+
+
+def cut_time(packets: DataFrame, budget: int) -> float:
+    """Finish time of the last of ``packets(finish, words)`` that the budget
+    serves: a sort over ranges of finish time, running totals across them,
+    truncated at the budget.  Packets that finish together go together; -1 if
+    the first is too large."""
+    together = packets.groupBy("finish").agg(F.sum("words").alias("words"))
+    served = running_sums(together, "finish", ["words"]).filter(F.col("cum_words") <= F.lit(budget))
+    last = served.agg(F.max("finish")).first()[0]
+    return -1.0 if last is None else last
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 6,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         carry: list[str] | None = None) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken`` and
-    ``served``: an array of (pass, start, finish, words) for each pass that
-    takes words of it, start and finish in virtual time.  ``carry`` names more
-    input columns to keep under a prefix-free name (used to mix whole rows)."""
+    """One row per document: ``doc_id, size, source_size, target`` and
+    ``served``: an array of (pass, finish, words) for each pass that takes
+    words of it, finish in virtual time.  ``carry`` names more input columns
+    to keep under a prefix-free name (used to mix whole rows); queue and cut
+    are found on narrow rows first."""
     keep = carry if carry is not None else [id_col]
-    base = ["key", "slice", "size", "h", "tie", "ahead", "source_size", "target", "source"]
-    names = {"doc_id": id_col}
-    for b in base:
-        names[b] = free_name(docs.select(*keep), f"mix_{b}")
-    src = F.col(source_col)
-    h = shuffle_key(F.col(id_col), seed)
-    rows = docs.select(
-        *keep,
-        F.when(src.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(names["key"]),
-        src.alias(names["source"]), word_count(F.col(text_col)).alias(names["size"]), h.alias(names["h"]),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(names["tie"]))
-    rows = rows.withColumn(names["slice"], F.floor(F.col(names["h"]) / F.lit((1 << 60) // SLICES)).cast("int"))
-    if carry is None:
-        rows = cut_lineage(rows)      # narrow rows: the texts are read once
-    queued = _queue(rows, names, weights, share, cap)
-    size, total, target, ahead = (F.col(names[k]) for k in ("size", "source_size", "target", "ahead"))
-    passes = max(1, int(-(-cap // 1)))
-    whole = F.floor(target)
-
-    def one(p):
-        start = ahead + p * total
-        words = F.greatest(F.lit(0), F.least(size, whole - start)).cast("long")
-        return F.struct(F.lit(p).alias("pass"), (start / F.nullif(target, F.lit(0.0))).alias("start"),
-                        ((start + size) / F.nullif(target, F.lit(0.0))).alias("finish"), words.alias("words"))
-
-    served = F.filter(F.array(*[one(p) for p in range(passes)]), lambda x: x["words"] > 0)
+    narrow, names = _rows(docs, [id_col], seed, id_col, text_col, source_col)
+    narrow = cut_lineage(narrow)          # the texts are read once
+    slices = _slices(narrow, names, weights, share, cap)
+    queued = cut_lineage(_queue(narrow, slices, names, cap))
+    budget = slices.select("key", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0
+    cut = cut_time(queued.select(F.explode(names["ahead"]).alias("x")).select("x.finish", "x.words"), int(budget))
+    if carry is not None:
+        rows, names = _rows(docs, keep, seed, id_col, text_col, source_col)
+        queued = _queue(rows, slices, names, cap)
+    served = F.filter(names["ahead"], lambda x: x["finish"] <= F.lit(cut))
+    size, total, target = (F.col(names[k]) for k in ("size", "source_size", "target"))
     return queued.select(*keep, size.alias(names["size"]), total.cast("long").alias(names["source_size"]),
                          target.alias(names["target"]), served.alias(free_name(docs.select(*keep), "mix_served")))
 

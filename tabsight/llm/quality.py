@@ -3,7 +3,7 @@
 ``ledger`` measures every text once and evaluates every rule once: the result
 holds the measurements and one failure bit per rule.  ``apply_policy`` reads
 only the ledger: a policy is a named, versioned set of rules, so a new policy
-or an ablation never touches the texts again.  ``ablations`` counts, with
+or an ablation never touches the texts again (``stored_ledger`` is a table).  ``ablations`` counts, with
 bitwise aggregation over distinct bit patterns, what each rule rejects, what
 it alone rejects and what a policy without it would keep.
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import bounded_batches
+from tabsight.llm.common import bounded_batches, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -99,6 +99,8 @@ class Policy:
 
 
 DEFAULT = Policy("default", 1, tuple(r.name for r in RULES))
+# Version 2 keeps upper-case texts and texts led by one word (tables, refrains).
+DEFAULT_2 = Policy("default", 2, tuple(r.name for r in RULES if r.name not in ("shouting", "one_word_dominates")))
 
 
 def _measures(columns: list[str]):
@@ -118,6 +120,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return src.mapInPandas(_measures(["doc_id"]), schema).withColumn("fail_bits", fail_bits(rules))
 
 
+def stored_ledger(docs: DataFrame, **kw) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it."""
+    return written(ledger(docs, **kw), "quality_ledger")
+
+
 def fail_bits(rules=RULES) -> Column:
     bits = F.lit(0).cast("long")
     for k, r in enumerate(rules):
@@ -154,6 +161,17 @@ def ablations(entries: DataFrame, policy: Policy = DEFAULT, rules=RULES) -> Data
         total((F.col("hit") == 0) | (F.col("hit") == bit)).alias("n_kept_without"))
 
 
+def with_ablation(judged: DataFrame, policy: Policy = DEFAULT, rules=RULES) -> DataFrame:
+    """Adds to each entry ``only_rule``, the rule that alone makes the policy
+    reject it (else null), and ``only_rule_docs``, how many documents the
+    policy would win without that rule, out of ``ablations``."""
+    hit = F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long"))
+    only = F.coalesce(*[F.when(hit == (1 << k), F.lit(r.name)) for k, r in enumerate(rules)])
+    won = F.broadcast(ablations(judged, policy, rules).select(         # one row per rule
+        F.col("rule").alias("only_rule"), F.col("n_only").alias("only_rule_docs")))
+    return judged.withColumn("only_rule", only).join(won, "only_rule", "left")
+
+
 def kept_documents(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` the policy keeps, same columns.  The verdict is taken
     row by row (no join), so repeated or null ids cannot mix verdicts."""

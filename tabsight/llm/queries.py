@@ -20,9 +20,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(load(spark, sf_dir, "documents")))
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                          "base_failed", "kept", "fail_bits")
+    """Both policy versions and the ablation of the first, all from the stored ledger."""
+    entries = quality.stored_ledger(load(spark, sf_dir, "documents"))
+    second = quality.apply_policy(entries, quality.DEFAULT_2).withColumnRenamed("kept", "kept_v2")
+    judged = quality.with_ablation(quality.apply_policy(second.drop("base_failed", "policy")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "fail_bits", "kept_v2", "only_rule", "only_rule_docs")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +181,10 @@ SQL: dict[str, str] = {
                 + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 32 * (2 * n_upper > n_words)::BIGINT
                 + 64 * (10 * n_alpha < 5 * n_words)::BIGINT + 128 * (10 * top_word > 4 * n_words)::BIGINT AS fail_bits FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
-               fail_bits = 0 AS kept, fail_bits FROM b""",
+               fail_bits = 0 AS kept, fail_bits, fail_bits & 95 = 0 AS kept_v2, o.rule AS only_rule,
+               CASE WHEN o.rule IS NOT NULL THEN count(*) OVER (PARTITION BY fail_bits) END AS only_rule_docs
+        FROM b LEFT JOIN (VALUES (1, 'few_words'), (2, 'repeated_windows'), (4, 'symbols'), (8, 'duplicate_lines'), (16, 'word_length'),
+               (32, 'shouting'), (64, 'few_alphabetic'), (128, 'one_word_dominates')) o(bit, rule) ON bit = fail_bits""",
     "op2_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings),

@@ -16,11 +16,14 @@ separator.  A larger record is closed by an empty member.
 
 Index.  Lines (capture key, place of the record) are sorted by the
 reversed-host form of the URL and page id, and packed into compressed blocks
-of ``BLOCK_LINES``; the sparse directory has one row per block (file, offset,
-length, first and last key).  ``lookup`` finds the index file of a key among
-the files' first keys (one per file: as many as partitions), binary-searches
-that file's part of the directory and reads only the blocks it needs;
-``read_records`` then reads the ranges out of the archives.
+of ``BLOCK_LINES``, at most ``FILE_BLOCKS`` of them a file; the sparse
+directory has one row per block (file, offset, length, first and last key).
+``lookup`` finds the index file of a key among the files' first keys (one row
+for each 100,000 captures), binary-searches that file's part of the directory,
+and reads the ranges of the blocks it needs; ``read_records`` reads the ranges
+of the records out of the archives.  Only places and keys are shuffled; tasks
+open the files themselves by ``pyarrow.fs`` (local and mounted paths, and the
+stores that library knows: any other scheme is an error there).
 
 Defined cases: null html is an empty payload; null urls and ids have keys of
 their own; equal rows give one response and revisits to it; line breaks in a
@@ -37,6 +40,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ from tabsight.llm.common import written
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
 BLOCK_LINES = 500
+FILE_BLOCKS = 200
+READ_BYTES = 4 << 20
 _EMPTY = gzip.compress(b"", mtime=0)
 
 
@@ -239,31 +245,50 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(n, "ckey").sortWithinPartitions("ckey", "path", "offset")
     (ordered.mapInPandas(_blocks, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\x00").option("compression", "none").text(f"{path}/blocks"))
+     .write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS)
+     .text(f"{path}/blocks"))
     _files(spark, f"{path}/blocks").mapInPandas(_directory, _DIRECTORY).write.parquet(f"{path}/directory")
 
 
-def _find(queries: pd.DataFrame, directory: pd.DataFrame, files: pd.DataFrame) -> list[tuple]:
-    """Binary search of sorted keys in one index file; each needed block is
-    cut out of the file and decompressed once."""
-    keys = sorted(set(queries["ckey"]))
+def read_ranges(path: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes of each (offset, length) of a file, by offset; ranges that
+    touch are read at once, up to ``READ_BYTES``."""
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        i = 0
+        while i < len(ranges):
+            start, j = ranges[i][0], i + 1
+            end = start + ranges[i][1]
+            while j < len(ranges) and ranges[j][0] <= end and sum(ranges[j]) - start <= READ_BYTES:
+                end, j = max(end, sum(ranges[j])), j + 1
+            data = f.read_at(end - start, start)
+            yield from (data[at - start:at - start + length] for at, length in ranges[i:j])
+            i = j
+
+
+def _find(keys: list[str], directory: pd.DataFrame, path: str) -> list[tuple]:
+    """Binary search of keys in the directory of one index file; each block
+    that may hold one is read from the file and decompressed once."""
     d = directory.sort_values("offset")
     first, last = d["first_key"].tolist(), d["last_key"].tolist()
-    content = files["content"].iloc[0]
-    need: dict[int, list[str]] = {}
+    need: dict[int, set[str]] = {}
     for k in keys:
         i = bisect.bisect_left(last, k)
         while i < len(first) and first[i] <= k:
-            need.setdefault(i, []).append(k)
+            need.setdefault(i, set()).add(k)
             i += 1
+    blocks = sorted(need)
+    ranges = [(int(d["offset"].iloc[i]), int(d["length"].iloc[i])) for i in blocks]
     out = []
-    for i, wanted in need.items():
-        at, length = int(d["offset"].iloc[i]), int(d["length"].iloc[i])
-        block, wanted = b"".join(x for _, _, x in members(content[at:at + length])), set(wanted)
-        for line in block.decode("utf-8", "surrogatepass").split("\n"):
-            k, path, offset, size = line.split("\x1f")
-            if k in wanted:
-                out.append((k, path, int(offset), int(size)))
+    for i, block in zip(blocks, read_ranges(path, ranges)):
+        text = b"".join(x for _, _, x in members(block)).decode("utf-8", "surrogatepass")
+        for line in text.split("\n"):
+            k, archive, offset, size = line.split("\x1f")
+            if k in need[i]:
+                out.append((k, archive, int(offset), int(size)))
     return out
 
 
@@ -286,43 +311,38 @@ def lookup(spark: SparkSession, index: str, keys: DataFrame) -> DataFrame:
                     i += 1
             yield pd.DataFrame({"path": paths, "ckey": ks}, dtype=object)
 
-    # keys and directory rows of one index file meet its content in one group
-    asked = (keys.distinct().mapInPandas(route, "path string, ckey string")
-             .select("path", "ckey", *[F.lit(None).cast(t).alias(c) for c, t in
-                                       (("offset", "long"), ("length", "long"), ("first_key", "string"), ("last_key", "string"))]))
-    known = directory.select("path", F.lit(None).cast("string").alias("ckey"), "offset", "length", "first_key", "last_key")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_dir = left["first_key"].notna()
-        found = _find(left[~is_dir], left[is_dir], right) if len(right) and is_dir.any() and not is_dir.all() else []
+    def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        found = _find(asked["ckey"].tolist(), known, asked["path"].iloc[0]) if len(asked) and len(known) else []
         return pd.DataFrame(found, columns=["ckey", "path", "offset", "length"])
 
-    return (asked.unionByName(known).groupBy("path").cogroup(_files(spark, f"{index}/blocks").groupBy("path"))
-            .applyInPandas(search, _LINES))
+    # keys and directory rows of one index file (both bounded) meet in one group
+    routed = keys.distinct().mapInPandas(route, "path string, ckey string")
+    return routed.groupBy("path").cogroup(directory.groupBy("path")).applyInPandas(search, _LINES)
 
 
 _READ = ("page_id long, payload_bytes long, payload_digest string, stored_digest string, record_type string, "
          "refers_to long")
 
 
+def _read(frames):
+    for pdf in frames:
+        for path, places in pdf.groupby("path", sort=False):
+            out = []
+            ranges = sorted(zip(places["offset"].astype(int), places["length"].astype(int)))
+            for blob in read_ranges(path, ranges):
+                h, payload = parse(b"".join(x for _, _, x in members(blob)))
+                own = h["WARC-Type"] == "response"
+                out.append((_num(h.get("Page-ID")), len(payload) if own else None,
+                            hashlib.sha1(payload).hexdigest() if own else None, h["WARC-Payload-Digest"][5:],
+                            h["WARC-Type"], _num(h.get("Refers-To-Page-ID"))))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")], dtype=object)
+
+
 def read_records(spark: SparkSession, archives: str, places: DataFrame) -> DataFrame:
-    """Records at ``places``: each archive's wanted ranges are cut out and parsed."""
-    def read(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        content = right["content"].iloc[0] if len(right) else b""
-        for offset, length in zip(left["offset"], left["length"]) if len(right) else ():
-            data = b"".join(x for _, _, x in members(content[int(offset):int(offset) + int(length)]))
-            h, payload = parse(data)
-            kind = h["WARC-Type"]
-            page, refers = h.get("Page-ID"), h.get("Refers-To-Page-ID")
-            own = kind == "response"
-            out.append((None if page is None else int(page), len(payload) if own else None,
-                        hashlib.sha1(payload).hexdigest() if own else None, h["WARC-Payload-Digest"][5:], kind,
-                        None if refers is None else int(refers)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")], dtype=object)
-
-    return (places.groupBy("path").cogroup(_files(spark, archives).groupBy("path"))
-            .applyInPandas(read, _READ))
+    """Records at ``places``: the places of an archive come to one task in
+    order of offset, which reads and parses just those ranges."""
+    return (places.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+            .mapInPandas(_read, _READ))
 
 
 def read_back(spark: SparkSession, archives: str, index: str, pages: DataFrame, id_col: str = "page_id",

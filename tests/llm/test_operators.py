@@ -459,6 +459,30 @@ def test_mixed_documents_repeat_and_cut_rows(spark):
         assert abs(words[s] - t) <= 1
 
 
+def test_mix_cuts_the_global_order_at_the_budget(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(400) / 100, rng.randrange(1, 30)) for _ in range(3000)]
+    packets = spark.createDataFrame(rows, "finish double, words long").repartition(7)
+    sums = Counter()
+    for finish, words in rows:
+        sums[finish] += words
+    for budget in (0, 1, 500, 20_000, sum(sums.values()), 10**9):
+        total, want = 0, -1.0
+        for finish in sorted(sums):
+            total += sums[finish]
+            if total > budget:
+                break
+            want = finish
+        assert mixing.cut_time(packets, budget) == want
+    assert mixing.cut_time(packets.limit(0), 5) == -1.0
+    # a mix takes what finishes first over all sources, and the whole budget
+    docs = odd_documents(spark)
+    served = mixing.mix(docs).select("mix_source_size", "mix_target", F.explode("mix_served").alias("x")).collect()
+    targets = {r["mix_source_size"]: int(r["mix_target"]) for r in mixing.mix(docs).collect()}
+    assert sum(r["x"]["words"] for r in served) == sum(targets.values())
+    assert max(r["x"]["finish"] for r in served) <= 1
+
+
 # ------------------------------------------------------------- op7
 
 def _pages(spark):
@@ -501,6 +525,52 @@ def test_warc_round_trip(spark):
     assert warc.read_back(spark, f"{path}/a", f"{path}/i", none).collect() == []
 
 
+def test_warc_reads_only_the_ranges_it_needs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    monkeypatch.setattr(warc, "FILE_BLOCKS", 3)
+    rows = [(i, f"http://host{i % 17}.example/{i}", f"<p>{i} " + "word " * (i % 50)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = scratch_path(spark, "warc_ranges")
+    warc.write_archives(pages, f"{path}/a")
+    warc.write_index(spark, f"{path}/a", f"{path}/i")
+    directory = spark.read.parquet(f"{path}/i/directory").collect()
+    assert sum(r["n"] for r in directory) == 400 and max(r["n"] for r in directory) <= 10
+    assert max(Counter(r["path"] for r in directory).values()) <= 3
+    # everything but the asked block and the asked record is overwritten on disk
+    wanted = warc.capture_key(*reversed(rows[123][:2]))
+    block = next(r for r in directory if r["first_key"] <= wanted <= r["last_key"])
+    _spoil_except(directory, block["path"], block["offset"], block["length"])
+    places = warc.lookup(spark, f"{path}/i", spark.createDataFrame([(wanted,)], "ckey string")).collect()
+    assert [r["ckey"] for r in places] == [wanted]
+    record = places[0]
+    _spoil_except([record], record["path"], record["offset"], record["length"])
+    got = warc.read_records(spark, f"{path}/a", spark.createDataFrame(places)).collect()
+    html = rows[123][2].encode()
+    assert [(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got] == [
+        (123, len(html), hashlib.sha1(html).hexdigest())]
+
+
+def _spoil_except(files, path, offset, length):
+    for name in {r["path"] for r in files}:
+        with open(name.removeprefix("file:").replace("//", "/"), "r+b") as f:
+            size = f.seek(0, 2)
+            at, n = (offset, length) if name == path else (0, 0)
+            f.seek(0)
+            f.write(b"?" * at)
+            f.seek(at + n)
+            f.write(b"?" * (size - at - n))
+
+
+def test_ranges_that_touch_are_read_at_once(tmp_path, monkeypatch):
+    data = bytes(range(256)) * 40
+    (tmp_path / "f").write_bytes(data)
+    for limit in (1, 100, 1 << 20):
+        monkeypatch.setattr(warc, "READ_BYTES", limit)
+        ranges = [(0, 10), (10, 90), (100, 5), (300, 700), (9000, 1240)]
+        assert list(warc.read_ranges(f"file:{tmp_path}/f", ranges)) == [data[a:a + n] for a, n in ranges]
+    assert list(warc.read_ranges(f"file:{tmp_path}/f", [])) == []
+
+
 def test_warc_records_parse():
     payload = b"a\r\n\r\nb" * 10
     data = warc.record(3, "http://x/\n", payload, "00", None, None, 1, False)
@@ -614,6 +684,17 @@ def test_quality_ledger_policies_and_ablations(spark):
         assert r["n_kept_without"] == sum(x["fail_bits"] & ~b == 0 for x in rows)
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
+    stored = quality.stored_ledger(docs)
+    second = quality.apply_policy(stored, quality.DEFAULT_2).collect()
+    assert sum(r["kept"] for r in second) >= kept.count()
+    dropped = bits["shouting"] | bits["one_word_dominates"]
+    assert all(r["kept"] == (r["fail_bits"] & ~dropped == 0) for r in second)
+    ablated = quality.with_ablation(quality.apply_policy(stored)).collect()
+    assert len(ablated) == len(second)
+    patterns, names = Counter(r["fail_bits"] for r in ablated), {b: n for n, b in bits.items()}
+    for r in ablated:
+        assert r["only_rule"] == names.get(r["fail_bits"])
+        assert r["only_rule_docs"] == (patterns[r["fail_bits"]] if r["only_rule"] else None)
     lenient = quality.Policy("words", 2, ("few_words",))
     assert quality.kept_documents(docs, lenient).count() >= kept.count()
     assert quality.ledger(empty_documents(spark)).collect() == []
