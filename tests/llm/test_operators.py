@@ -1,5 +1,7 @@
 """Each training-data operator against a brute-force version on awkward rows."""
 import hashlib
+import itertools
+import math
 import random
 import re
 import struct
@@ -286,6 +288,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), none).collect() == []
 
 
+def _features_plain(text, lexicon):
+    """Every rate of a text, token by token, as the feature list words it."""
+    text = text or ""
+    if not text:
+        return [0.0] * len(toxicity.FEATURES)
+    tokens = re.findall(r"[^\W_]+(?:[@$!*'][^\W_]+)*", text.lower())
+    n = max(1, len(tokens))
+
+    def masks_seed(w):
+        if w in toxicity.SEED or not any(c in "0123456789@$!*" for c in w):
+            return False
+        plain = "".join(c for c in w.translate(str.maketrans("013457@$!", "oieastasi")) if c.isalnum() or c == "_")
+        return plain != w and plain in toxicity.SEED or "*" in w and any(
+            len(s) == len(w) and s[0] == w[0] and s[-1] == w[-1] for s in toxicity.SEED)
+
+    def stem_odds(w):
+        return 0.0 if w in lexicon else max([lexicon.get(w[:k] + "*", 0.0) for k in (5, 6, 7) if len(w) >= k] or [0.0])
+
+    seed = [w in toxicity.SEED for w in tokens]
+    masked, term = [masks_seed(w) for w in tokens], [w in lexicon for w in tokens]
+    stem = [stem_odds(w) > 0 for w in tokens]
+    person = [w in toxicity.SECOND_PERSON for w in tokens]
+    hot = [a or b or c or d for a, b, c, d in zip(seed, masked, term, stem)]
+    near = sum(hot[i] and not person[i] and any(person[max(0, i - 5):i + 6]) for i in range(len(tokens)))
+    runs = ["".join(g) for single, g in itertools.groupby(tokens, lambda t: len(t) == 1 and t.isalpha()) if single]
+    spelled = sum(len(r) >= 4 and (r in toxicity.SEED or r in lexicon) for r in runs)
+    caps = sum(c.isupper() for c in text)
+    marks = sum(text.count(c) for c in "!?")
+    doubled = sum(len(r) // 2 for c in "!?" for r in re.findall(re.escape(c) + "+", text))
+    weight = sum(lexicon.get(w, 0.0) + stem_odds(w) for w in tokens)
+    return [sum(seed) / n, math.log1p(sum(seed)), sum(term) / n, sum(stem) / n, weight / n, math.log1p(sum(term) + sum(stem)),
+            near / n, sum(person) / n, caps / max(1, sum(c.isalpha() for c in text)),
+            sum(len(w) > 1 and w.isupper() for w in text.split()) / n, marks / n, doubled / n, sum(masked) / n, spelled / n,
+            math.log1p(len(tokens))]
+
+
+def test_toxic_features_equal_a_plain_count():
+    rng = random.Random(12)
+    lexicon = {"grumble": 2.5, "zork": 3.0, "blath*": 2.1, "blather*": 4.0, "you": 2.2}
+    parts = ["you", "YOUR", "idiot", "1d1ot", "m*ron", "sh!t", "zork", "Blathering", "blathy", "grumble", "i d i o t", "z o r k",
+             "the", "house", "É", "été", "ÇA", "!!!", "??!", "x_y", "12", "a'b", "f*ck", "\n", ".", "word", "du", "S", "tú"]
+    for n in [0, 1, 2, 3] * 30 + [20] * 200 + [300] * 20:
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", "", ", ", "\t"]) for _ in range(n))
+        for words in (lexicon, {}):
+            assert toxicity.features(text, words) == pytest.approx(_features_plain(text, words)), text
+
+
 def test_toxicity_features_see_disguise():
     f = dict(zip(toxicity.FEATURES, toxicity.features("You are an 1d1ot and a m*ron! i d i o t", {})))
     assert f["masked_density"] > 0 and f["spelled_density"] > 0 and f["person_density"] > 0
