@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+PART_ROWS = 250_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -89,26 +90,35 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are followed twice, and the edges are contracted to the new roots, so the
     edge table shrinks until it is empty.  All state is tables in the shared
     checkpoint folder; only the count of remaining edges reaches the driver.
+    The tables of a round go to as many files as its edges fill (``PART_ROWS``
+    each, two a core at least), however many shuffle partitions there are.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
+    def kept(df: DataFrame, rows: int) -> DataFrame:
+        return cut_lineage(df.coalesce(max(2 * cores, -(-rows // PART_ROWS))))
+
     edges = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("a"),
                                                       F.greatest("a", "b").alias("b")).distinct())
+    first = n = edges.count()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    labels = kept(nodes.select("node", F.col("node").alias("label")), 2 * first)
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        if not n:
             return labels
         # b > a on every edge: each b hooks to its smallest neighbour below it
-        hook = cut_lineage(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")))
+        hook = kept(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")), n)
         for _ in range(2):
             up = hook.select(F.col("root").alias("up"), F.col("up").alias("up2"))
             hook = hook.join(up, "up", "left").select("root", F.coalesce("up2", "up").alias("up"))
-        hook = cut_lineage(hook)
-        labels = cut_lineage(labels.join(hook.withColumnRenamed("root", "label"), "label", "left")
-                             .select("node", F.coalesce("up", "label").alias("label")))
+        hook = kept(hook, n)
+        labels = kept(labels.join(hook.withColumnRenamed("root", "label"), "label", "left")
+                      .select("node", F.coalesce("up", "label").alias("label")), 2 * first)
         ha = hook.select(F.col("root").alias("a"), F.col("up").alias("ua"))
         hb = hook.select(F.col("root").alias("b"), F.col("up").alias("ub"))
         mapped = (edges.join(ha, "a", "left").join(hb, "b", "left")
                   .select(F.coalesce("ua", "a").alias("x"), F.coalesce("ub", "b").alias("y")))
-        edges = cut_lineage(mapped.filter("x <> y").select(F.least("x", "y").alias("a"),
-                                                           F.greatest("x", "y").alias("b")).distinct())
+        edges = kept(mapped.filter("x <> y").select(F.least("x", "y").alias("a"),
+                                                    F.greatest("x", "y").alias("b")).distinct(), n)
+        n = edges.count()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -140,7 +140,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     narrow, names = _rows(docs, [id_col], seed, id_col, text_col, source_col)
     narrow = cut_lineage(narrow)          # the texts are read once
     slices = _slices(narrow, names, weights, share, cap)
-    queued = cut_lineage(_queue(narrow, slices, names, cap))
+    queued = _queue(narrow, slices, names, cap)
+    if carry is None:
+        queued = cut_lineage(queued)      # read twice: for the cut and for the result
     budget = slices.select("key", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0
     cut = cut_time(queued.select(F.explode(names["ahead"]).alias("x")).select("x.finish", "x.words"), int(budget))
     if carry is not None:
