@@ -117,6 +117,25 @@ def test_neighbours_equal_plain_version(spark, small_blocks, norm, weights, clas
             assert abs(got[r[0]] - sum(v * full[j][4] for j, v in zip(best, w)) / sum(w)) < 1e-9
 
 
+def test_neighbours_send_rows_in_proportion(spark, small_blocks, monkeypatch):
+    """Held rows go once per block of a partition's queries, equal points are answered from k of them."""
+    sent, dealt = [], near.dealt
+    monkeypatch.setattr(near, "dealt", lambda df, n, *keys: (sent.append(df.count()) if "qb" in keys else None, dealt(df, n, *keys))[1])
+    rows = blobs(n=150, copies=900)
+    df = spark.createDataFrame([(*r, r[0] % 3, float(r[0])) for r in rows], "id long, a double, b double, fold int, t double").repartition(4)
+    held = df.select(near.point(["a", "b"]).alias("x"), F.col("id").alias("hid"), F.lpad(F.col("id").cast("string"), 9, "0").alias("o"),
+                     F.col("fold").alias("apart"))
+    asked = df.select(F.col("id").alias("qid"), near.point(["a", "b"]).alias("x"), F.col("fold").alias("apart"))
+    got = {}
+    for r in near.nearest_rows(held, asked, 4).collect():
+        got.setdefault(r["qid"], {})[r["n"]] = r["hid"]
+    d = gaps(rows)
+    for r in rows:
+        others = [j for j in range(len(rows)) if j % 3 != r[0] % 3]
+        assert [got[r[0]][n] for n in range(1, 5)] == sorted(others, key=lambda j: (d[r[0], j], j))[:4]
+    assert sent and max(sent) <= 5 * len(rows)
+
+
 def test_neighbours_of_few_rows_and_missing_components(spark):
     df = frame(spark, [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, None, 0.0)]).withColumn("y", F.col("id").cast("double"))
     model = knn.NearestNeighbours(["a", "b"], "y", k=5, classify=False).fit(df, ["id"])
