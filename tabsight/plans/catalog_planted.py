@@ -15,7 +15,7 @@ from ..models.boosting import AdaBoostRegressor
 from ..models.centres import birch, mean_shift
 from ..models.mixture import best_mixture
 from ..operators.split import stratified_folds
-from ..session import scratch_path
+from ..session import scratch_path, sized
 from ..sources.sinks import write_json_documents, write_table
 from . import catalog as base
 
@@ -51,7 +51,10 @@ _STEP_SQL = f"SELECT {KEY_SQL}, round({_STEP}, 3)::DOUBLE AS prediction FROM lin
 def _step(estimator):
     def run(spark, sf):
         d = _features(li(spark, sf).withColumn("label", F.expr(_STEP).cast("double")), ["l_quantity", "l_discount"])
-        return rounded(estimator().fit(d.select(*KEY, "features", "label")).transform(d).select(*KEY, "prediction"), 3)
+        rows = d.select(*KEY, "features", "label")
+        with sized(spark, rows.count()):
+            model = estimator().fit(rows)
+        return rounded(model.transform(d).select(*KEY, "prediction"), 3)
     return run
 
 
