@@ -14,8 +14,9 @@ shard.
 
 Encoding.  A byte-level BPE encodes chunks between white space or marks
 independently (its split pattern never joins text across a chunk border), so a
-task encodes each distinct chunk once with the library and looks the rest up; the memory is
-bounded (a full table takes no more, long chunks are never kept).
+task encodes each distinct chunk once with the library and looks the rest up, each
+distinct word once a batch; the memory is bounded (a full table takes no more, long
+chunks are never kept).
 Texts with control characters on which white-space rules differ, and texts that
 hold an added token of the file (``<|endoftext|>``), are encoded whole.
 
@@ -28,26 +29,29 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import bounded_batches, per_process
+from tabsight.llm.common import any_of, bounded_batches, id_lists, ids_of_texts, per_process, slices_of
 
 # Chunk borders are borders of the split pattern too: white space, and a letter followed by an ASCII mark.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(rf" ?[{_LETTERS}]++(?=[!-/:-@\[-`{{-~])| ?\S+|\s+(?!\S)|\s+")
+_MARKS = frozenset(string.punctuation)
 _UNLIKE = "\x1c\x1d\x1e\x1f\x85"   # white space for one rule set and not for the other
 LONGEST_KEPT = 48
 MOST_WORDS = 600_000   # frequent words come early: a full table is kept, the rest is encoded again
 MOST_CHUNKS = 100_000
-SLICE_CHARS = 1_000_000
+SLICE_ROWS = 500
 
 SCHEMA = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
                        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -90,14 +94,14 @@ class Encoder(dict):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def one(self, chunk: str) -> bytes:
-        letters = chunk[1:] if chunk[0] == " " else chunk
-        if not self.direct or not letters.isalpha():
+        spaced = chunk[0] == " "
+        if not self.direct or not (chunk[1:] if spaced else chunk).isalpha():
             return self.whole(chunk)
         # letters are one piece of the split pattern
         if not chunk.isascii():
             mapped = chunk.encode().decode("latin-1").translate(self.letters)
         else:
-            mapped = chunk if letters is chunk else self.letters[32] + letters
+            mapped = self.letters[32] + chunk[1:] if spaced else chunk
         return array("i", [t.id for t in self.pieces(mapped)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -111,17 +115,18 @@ class Encoder(dict):
     def chunks(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
+    def text(self, text: str) -> bytes:
+        """Ids of a text that is no sequence of words behind single spaces."""
+        return self.whole(text) if any(map(text.__contains__, self.uncut)) else self.chunks(text)
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as int32 arrays."""
-        for text in texts:
-            if any(map(text.__contains__, self.uncut)):
-                got = self.whole(text)
-            elif "  " in text:
-                got = self.chunks(text)
-            else:       # every space opens a chunk: whole words are looked up first
-                first, *rest = text.split(" ")
-                got = b"".join([self.chunks(first), *map(self.words.__getitem__, rest)])
-            yield np.frombuffer(got, dtype=np.int32)
+        ids, before = self.batch(pa.array(texts, pa.string()))
+        return (ids[a:b] for a, b in zip(before[:-1], before[1:]))
+
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the ids before each; without two spaces in a row every space opens a chunk."""
+        return ids_of_texts(texts, any_of(texts, "  ", *self.uncut), self.text, self.chunks, self.words.__getitem__, end)
 
 
 class _Words(dict):
@@ -132,30 +137,25 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.one(" " + word) if word.isalpha() else self.encoder.chunks(" " + word)
+        if not word.isalpha():      # cheap: its parts are looked up in turn
+            if word[-1:] in _MARKS and word.isascii() and word[:-1].isalpha():
+                return self[word[:-1]] + self.encoder[word[-1]]
+            return self.encoder.chunks(" " + word)
+        ids = self.encoder.one(" " + word)
         if len(word) <= LONGEST_KEPT and len(self) < MOST_WORDS:
             self[word] = ids
         return ids
 
 
-def _encoded(model: str, end_id: int, columns: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encoded(model: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process("token_files", zlib.crc32(model.encode()), lambda: Encoder(model))
-        end = np.array([end_id], dtype=np.int32)
-        for pdf in frames:
-            texts = ["" if t is None else t for t in pdf["text"]]
-            i = 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
-                    chars += len(texts[j])
-                    j += 1
-                ids = [np.append(x, end) for x in encoder.encode(texts[i:j])]
-                out = pdf.iloc[i:j][columns].reset_index(drop=True)
-                out["n_tokens"] = [len(x) for x in ids]
-                out["ids"] = ids
-                yield out
-                i = j
+        end = np.array([end_id], dtype=np.int32).tobytes()
+        for batch in batches:
+            ids, before = encoder.batch(batch["text"], end)
+            out = pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(before)), id_lists(ids, before)],
+                                             ["doc_id", "n_tokens", "ids"])
+            yield from slices_of(out, SLICE_ROWS)
     return run
 
 
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, id_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return rows.mapInPandas(_encoded(model, end_id, ["doc_id"]), "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(_encoded(model, end_id), "doc_id long, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, row_group: int = 16 << 20, page: int = 128 << 10, **kw) -> None:

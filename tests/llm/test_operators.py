@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -686,6 +687,17 @@ def test_encoder_equals_the_library(texts):
 _ENCODERS = []
 
 
+def test_encoder_asks_once_for_a_word_with_and_without_its_mark():
+    with open(token_files.default_tokenizer(), encoding="utf-8") as f:
+        enc, tok = token_files.Encoder(f.read()), _tok()
+    asked = []
+    enc.one = lambda chunk, one=enc.one: asked.append(chunk) or one(chunk)
+    texts = ["go wurble, wurble. wurble", "é, wurble é", "", "wurble's wurble\nwurble", "a  wurble"] * 20
+    ids, before = enc.batch(pa.array(texts, pa.string()), b"\2\0\0\0")
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert asked.count(" wurble") == 1 and len(enc.words) < 10
+
+
 def test_added_tokens_equal_the_unmodified_library(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(token_files.default_tokenizer())
