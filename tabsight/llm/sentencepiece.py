@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 1).
 
 Encoding.  A text falls into words (a word keeps the spaces before it, as the
-normaliser's U+2581).  All words of all documents are counted; the most
+normaliser's U+2581).  All words of all documents are counted (tasks cut texts
+at spaces, then each distinct chunk into words, and shuffle sums); the most
 frequent ones, at most ``TABLE_WORDS`` (a fixed bound, so the result can be
 broadcast), are exploded into substrings of bounded length, which are
 equi-joined to the piece table; the matches of a word are its lattice edges,
@@ -9,7 +10,7 @@ grouped by word, and a higher-order ``aggregate`` folds them into the word's
 ids.  Documents then take their ids from that word table in the scan: texts
 are never shuffled.  Words outside the table (rare ones, and those above
 ``LONG`` code points, for which an array fold is quadratic) are folded in the
-task over the same piece table, by the same rules, each once per task.
+task over the same piece table, by the same rules, each once per batch at most.
 
 Two folds over the same lattice:
 
@@ -35,18 +36,24 @@ import re
 import string
 import uuid
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import batches_of, bounded_batches, free_name, per_process, written
+from tabsight.llm.common import (any_of, bounded_batches, free_name, id_lists, ids_of_texts, per_process, slices_of,
+                                 strings_of, written)
 
 TABLE_WORDS = 1 << 18
 MEMO_WORDS = 120_000
+COUNT_WORDS = 300_000     # words that a task counts before it passes them on
 SLICE_ROWS = 500
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
@@ -312,11 +319,47 @@ class OtherWords:
 
 # ------------------------------------------------------------------ documents
 
+def joined_words(texts: pa.Array) -> np.ndarray:
+    """Texts whose words may reach over a single space (Arrow): two spaces in a
+    row, one at the start (after the dummy one), a U+2581 of the text's own.  Empty ones, without words, too."""
+    bare = pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")).to_numpy(zero_copy_only=False)
+    return any_of(texts, "  ", SPACE) | bare
+
+
+def split_text(split: re.Pattern, text: str) -> list[str]:
+    """The words of a whole text."""
+    return split.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
 def word_counts(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts, words up to ``LONG`` code points."""
+    bounded_batches(docs.sparkSession)
+    pattern = model.pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = re.compile(pattern), Counter()
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            words, n = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+            counts.clear()
+            return slices_of(pa.RecordBatch.from_arrays([words, n], ["word", "n"]), 10_000)
+
+        for batch in batches:
+            texts = batch[0]
+            odd = joined_words(texts)
+            chunks = pc.split_pattern(texts.filter(pa.array(~odd)), " ").flatten().value_counts()
+            for chunk, n in zip(strings_of(chunks.field("values")), chunks.field("counts").to_numpy().tolist()):
+                for word in split.findall(SPACE + chunk):
+                    if len(word) <= LONG:
+                        counts[word] += n
+            for text in strings_of(texts.filter(pa.array(odd))):
+                counts.update(w for w in split_text(split, text) if len(w) <= LONG)
+            if len(counts) > COUNT_WORDS:
+                yield from passed_on()
+        yield from passed_on()
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.explode(words_of(text, model)).alias("word")).filter(F.length("word") <= LONG)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(text.alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most: int = TABLE_WORDS) -> DataFrame:
@@ -334,9 +377,11 @@ def word_table(docs: DataFrame, model: PieceModel, text_col: str = "text", most:
 class _Words(dict):
     """The word table and a bounded number of other words that tasks have folded."""
 
-    def __init__(self, table: dict[str, bytes], other: OtherWords):
-        super().__init__(table)
-        self.other, self.most = other, len(table) + MEMO_WORDS
+    def __init__(self, table: pa.Table, model: PieceModel):
+        ids = table["ids"].combine_chunks()
+        held, at = ids.flatten().to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
+        super().__init__(zip(strings_of(table["word"]), (held[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))))
+        self.other, self.split, self.most = OtherWords(model), re.compile(model.pattern), len(self) + MEMO_WORDS
 
     def __missing__(self, word: str) -> bytes:
         ids = array("i", self.other.encode(word)).tobytes()
@@ -344,6 +389,17 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a text between two spaces."""
+        known = self.get(SPACE + chunk)
+        return b"".join(map(self.__getitem__, self.split.findall(SPACE + chunk))) if known is None else known
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, split_text(self.split, text)))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return ids_of_texts(texts, joined_words(texts), self.text, self.chunk, self.chunk)
+
 
 def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "text",
            keep: list[str] | None = None, ids_name: str = "ids", most: int = TABLE_WORDS,
@@ -355,30 +411,41 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "te
     model = model or PieceModel.load()
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     texts = free_name(docs, "sp_text")
-    # at most ``most`` words of at most LONG code points
-    rows = {r["word"]: np.asarray(r["ids"], dtype=np.int32).tobytes() for r in word_table(docs, model, text_col, most).collect()}
+    # at most ``most`` words of at most LONG code points, as Arrow columns: rows would fill the driver
+    rows = word_table(docs, model, text_col, most).toArrow()
     table, run_id = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_name, T.ArrayType(T.IntegerType())),
                            *([T.StructField(verify, T.BooleanType())] if verify else [])])
     back = piece_bytes(model) if verify else []
 
-    def run(frames):
-        split = re.compile(model.pattern)
-        words = per_process("sentencepiece", run_id, lambda: _Words(table.value, OtherWords(model)))
-
-        def ids_of(text: str) -> np.ndarray:
-            parts = split.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-            return np.frombuffer(b"".join(map(words.__getitem__, parts)), dtype=np.int32)
-
-        for pdf in batches_of(frames, SLICE_ROWS):      # small results: ids are larger than the text
-            out = pdf[keep].copy()
-            out[ids_name] = [ids_of(t) for t in pdf[texts]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = per_process("sentencepiece", run_id, lambda: _Words(table.value, model))
+        pieces = pa.array(back, pa.large_binary())
+        for batch in batches:
+            ids, before = words.batch(batch[texts])
+            columns = [*(batch[c] for c in keep), id_lists(ids, before)]
             if verify:
-                out[verify] = [text_of(x, back) == t.replace(SPACE, " ") for x, t in zip(out[ids_name], pdf[texts])]
-            yield out[[*keep, ids_name, *([verify] if verify else [])]]
+                columns.append(pa.array(gives_texts(ids, before, pieces, back, batch[texts])))
+            # small results: ids are larger than the text
+            yield from slices_of(pa.RecordBatch.from_arrays(columns, names=schema.names), SLICE_ROWS)
 
     src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(texts))
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
+
+
+def gives_texts(ids: np.ndarray, before: np.ndarray, pieces: pa.Array, back: list[bytes], texts: pa.Array) -> list[bool]:
+    """Whether each text's ids decode to it: the bytes of all ids of a batch are
+    put together at once; where they differ from the text's, it is decoded alone."""
+    taken = pieces.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1)[before].tolist()
+    whole = taken.buffers()[2].to_pybytes() if at[-1] else b""
+
+    def same(i: int, text: str) -> bool:
+        got = whole[at[i]:at[i + 1]]
+        return (got[1:] if got[:1] == b" " else got) == text.encode() \
+            or text_of(ids[before[i]:before[i + 1]], back) == text.replace(SPACE, " ")
+
+    return [same(i, t) for i, t in enumerate(strings_of(texts))]
 
 
 def piece_bytes(model: PieceModel) -> list[bytes]:

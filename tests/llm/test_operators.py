@@ -44,6 +44,43 @@ def test_sentencepiece_ids_equal_the_library(spark):
             assert r["back"] == text.replace("▁", " ")
 
 
+_WIDE = ["a b", "a  b", " a", "a ", "", "a\n b \nc", "x▁y z", "end. of, (it) don't", "é, ç. naïve", "\n", " ", "w" * 70 + " tail", "a b"]
+
+
+def test_sentencepiece_counts_equal_the_words_of_whole_texts(spark):
+    model = sentencepiece.PieceModel.load()
+    docs = spark.createDataFrame([(t,) for t in [*_WIDE, None]], "text string")
+    got = {r["word"]: r["n"] for r in sentencepiece.word_counts(docs, model).collect()}
+    want = Counter(w for t in _WIDE for w in sentencepiece.split_text(re.compile(model.pattern), t) if len(w) <= sentencepiece.LONG)
+    assert got == want and want["▁a"] == 5
+
+
+def test_sentencepiece_batch_equals_the_library_and_checks_texts():
+    model, lib = sentencepiece.PieceModel.load(), _library()
+    texts, none = pa.array(_WIDE, pa.string()), pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    words = sentencepiece._Words(none, model)
+    looked = []
+    words.chunk = lambda c, chunk=words.chunk: looked.append(c) or chunk(c)
+    ids, before = words.batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == [lib.encode(t) for t in _WIDE]
+    back = sentencepiece.piece_bytes(model)
+    pieces = pa.array(back, pa.large_binary())
+    assert all(sentencepiece.gives_texts(ids, before, pieces, back, texts))
+    wrong = pa.array(["no", *_WIDE[1:]], pa.string())
+    assert sentencepiece.gives_texts(ids, before, pieces, back, wrong) == [False] + [True] * (len(_WIDE) - 1)
+    ids, before = words.batch(pa.array(["same words"] * 50))     # a chunk of a batch is looked up once, and once where it opens a text
+    assert len(ids) == 50 * len(lib.encode("same words")) and looked.count("words") == 1
+
+
+def test_word_table_reaches_the_driver_as_arrow(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words again") for i in range(3)], "doc_id long, text string")
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("rows of words") if "word" in self.columns else collect(self))
+    coded = sentencepiece.encode(docs, verify="same").toArrow()
+    assert coded["same"].to_pylist() == [True] * 3 and coded["ids"].to_pylist() == [_library().encode("some words again")] * 3
+    assert sentencepiece.encode(docs.limit(0)).toArrow().num_rows == 0
+
+
 def test_sentencepiece_lattice_fold_equals_the_library(spark):
     model, lib = sentencepiece.PieceModel.load(), _library()
     rng = random.Random(3)
