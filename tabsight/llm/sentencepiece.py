@@ -55,6 +55,7 @@ TABLE_WORDS = 1 << 18
 MEMO_WORDS = 120_000
 COUNT_WORDS = 300_000     # words that a task counts before it passes them on
 SLICE_ROWS = 500
+SLICE_BYTES = 5 << 19      # of text that a task encodes at once
 LONG = 64
 WIDTH = 128          # edge key: start * WIDTH + length
 SPACE = "▁"
@@ -422,12 +423,13 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text_col: str = "te
         words = per_process("sentencepiece", run_id, lambda: _Words(table.value, model))
         pieces = pa.array(back, pa.large_binary())
         for batch in batches:
-            ids, before = words.batch(batch[texts])
-            columns = [*(batch[c] for c in keep), id_lists(ids, before)]
-            if verify:
-                columns.append(pa.array(gives_texts(ids, before, pieces, back, batch[texts])))
-            # small results: ids are larger than the text
-            yield from slices_of(pa.RecordBatch.from_arrays(columns, names=schema.names), SLICE_ROWS)
+            for part in slices_of(batch, max(1, batch.num_rows * SLICE_BYTES // max(1, batch[texts].nbytes))):
+                ids, before = words.batch(part[texts])
+                columns = [*(part[c] for c in keep), id_lists(ids, before)]
+                if verify:
+                    columns.append(pa.array(gives_texts(ids, before, pieces, back, part[texts])))
+                # small results: ids are larger than the text
+                yield from slices_of(pa.RecordBatch.from_arrays(columns, names=schema.names), SLICE_ROWS)
 
     src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(texts))
     return src.mapInArrow(run, schema)
