@@ -369,9 +369,9 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same columns (``n_chars``, if there, follows the new text)."""
     names = docs.columns
     spans = free_name(docs, "pii_spans")
-    # the fit keeps narrow rows only; the texts are scanned again (cheap) instead of being written twice
-    model = fit(candidates(docs, text_col, [F.lit(1).alias("one")]))
-    found = docs.withColumn(spans, _scan(F.col(text_col).cast("string")))
+    # scan and redaction read files each: in one plan a task would hold a Python worker for either, and executors keep them
+    found = candidates(docs, text_col, names, spans)
+    model = fit(found, spans)
     kept = reported(F.col(spans), model)
     slim = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     new = F.when(F.size(kept) > 0, _redacted(F.col(text_col), slim)).otherwise(F.col(text_col))

@@ -284,6 +284,16 @@ def test_redaction_keeps_columns_and_other_text(spark):
     assert row["n_chars"] == len(row["text"])
 
 
+def test_redaction_runs_one_python_step_a_task(spark):
+    """Each Python step of a plan takes a worker of its own, and executors keep them all."""
+    docs = odd_documents(spark)
+    out = pii.redacted(docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs.filter("doc_id is not null")).collect()}
+    changed = {r["doc_id"] for r in out.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").filter("text <> was").collect()}
+    assert changed and changed == {i for i, s in spans.items() if s}
+
+
 def test_estimate_finds_the_better_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
