@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import bounded_batches, free_name, written
+from tabsight.llm.common import bounded_batches, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "secret", "ssn")
@@ -355,27 +355,33 @@ def _redact(text: str, kinds, starts, ends) -> str:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for t, s in zip(texts, spans):
-        s = [] if s is None else [x if isinstance(x, dict) else x.asDict() for x in s]
-        out.append(_redact(t, [x["kind"] for x in s], [x["start"] for x in s], [x["end"] for x in s]) if s else t)
-    return pd.Series(out, dtype=object)
+def accepted(found: DataFrame, model: SpanModel, name: str = "spans", at_least: float = 0.5) -> set[tuple[str, str, int]]:
+    """The (kind, votes, bucket) of the candidates that the classifier accepts
+    (as bounded as the patterns of ``fit``)."""
+    s = F.col("s")
+    rows = found.select(F.explode(name).alias("s")).filter(~s["base"]).select("s.kind", "s.votes", "s.bucket").distinct()
+    rows = rows.select(F.struct("kind", "votes", "bucket").alias("s")).filter(model.probability(s) >= at_least)
+    return {(r["kind"], r["votes"], r["bucket"]) for r in rows.select("s.*").collect()}
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span replaced by its kind in brackets;
     same columns (``n_chars``, if there, follows the new text)."""
     names = docs.columns
-    spans = free_name(docs, "pii_spans")
-    # scan and redaction read files each: in one plan a task would hold a Python worker for either, and executors keep them
-    found = candidates(docs, text_col, names, spans)
-    model = fit(found, spans)
-    kept = reported(F.col(spans), model)
-    slim = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    new = F.when(F.size(kept) > 0, _redacted(F.col(text_col), slim)).otherwise(F.col(text_col))
-    rows = found.withColumn(text_col, new)
+    # only the candidates are written: texts would stay on disk until the scratch folder goes
+    found = candidates(docs, text_col, [F.lit(1).alias("one")])
+    yes = accepted(found, fit(found))
+
+    # scan and redaction in one step: a task would hold a Python worker for either, and executors keep them
+    @F.pandas_udf(T.StringType())
+    def changed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            s = [x for x in scan(t) if x["base"] or (x["kind"], x["votes"], x["bucket"]) in yes]
+            out.append(_redact(t, [x["kind"] for x in s], [x["start"] for x in s], [x["end"] for x in s]) if s else None)
+        return pd.Series(out, dtype=object)
+
+    rows = docs.withColumn(text_col, F.coalesce(changed(F.col(text_col).cast("string")), F.col(text_col)))
     if "n_chars" in names and text_col != "n_chars":
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)

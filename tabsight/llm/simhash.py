@@ -237,16 +237,16 @@ def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col:
     smallest id (rows without id last; of rows with that same id and
     fingerprint one stays, chosen by a hash of the row)."""
     names = docs.columns
-    fp, key, rank = (free_name(docs, f"near_{x}") for x in ("fp", "key", "rank"))
-    id_key = F.concat_ws("", F.lit("i"), F.col(id_col).cast("string"))
-    rows = written(fingerprints(docs, shingle, text_col, [*names, id_key.alias(key)], fp), "simhash_rows")
-    points = written(rows.groupBy(F.col(fp).alias("fp"))
-                     .agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"),
-                                         F.col(key).alias("key"))).alias("least")), "simhash_points")
+    key, tie, rank = (free_name(docs, f"near_{x}") for x in ("key", "tie", "rank"))
+    id_key, row_hash = F.concat_ws("", F.lit("i"), F.col(id_col).cast("string")), F.xxhash64(*names)
+    # narrow: what is written stays on disk until the scratch folder goes, the texts are read again from the input
+    rows = fingerprints(docs, shingle, text_col, [F.col(id_col).alias("id"), id_key.alias("key"), row_hash.alias("tie")])
+    points = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key", "tie")).alias("least")),
+                     "simhash_points")
     label = F.coalesce("label", "fp")
     chosen = (points.join(classes(points, max_bits), "fp", "left").groupBy(label.alias("label"))
-              .agg(F.min(F.struct("least", "fp")).alias("c"))
-              .select(F.col("c.fp").alias(fp), F.col("c.least.key").alias(key)))
-    kept = rows.join(chosen, [fp, key], "left_semi")
-    order = Window.partitionBy(fp, key).orderBy(F.xxhash64(*names))
-    return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*names)
+              .agg(F.min(F.struct("least.no", "least.id", "least.key", "fp", "least.tie")).alias("c"))
+              .select(F.col("c.key").alias(key), F.col("c.tie").alias(tie)))
+    kept = docs.withColumns({key: id_key, tie: row_hash}).join(chosen, [key, tie], "left_semi")
+    equal = Window.partitionBy(key, tie).orderBy(tie)
+    return kept.withColumn(rank, F.row_number().over(equal)).filter(F.col(rank) == 1).select(*names)
